@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from srcatlas.llm import ann, jaccard, sharding
+from srcatlas.llm import ann, chat, jaccard, quality, sharding, substring
 
 QUERIES = {
     "op1_feistel_sharding": sharding.query,
     "op2_permutation_ann": ann.query,
     "op3_ngram_jaccard": jaccard.query,
+    "op4_substring_dedup": substring.query,
+    "op5_chat_format": chat.query,
+    "op7_quality_rules": quality.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_substring_dedup": substring.SQL,
+    "op5_chat_format": chat.SQL,
+    "op7_quality_rules": quality.SQL,
+}
