@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from srcatlas.llm import ann, chat, jaccard, quality, sharding, substring
+from srcatlas.llm import ann, bpe, chat, jaccard, packing, quality, sharding, substring
 
 QUERIES = {
     "op1_feistel_sharding": sharding.query,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_ngram_jaccard": jaccard.query,
     "op4_substring_dedup": substring.query,
     "op5_chat_format": chat.query,
+    "op6_bpe_transducer": bpe.query,
     "op7_quality_rules": quality.query,
+    "op10_best_fit_packing": packing.query,
 }
 
 ORACLE: dict[str, str] = {

@@ -102,7 +102,12 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return words.doc()[start], spans(words.hashes(), start, np.minimum(start + k, last[start]) if len(start) else start)
 
 
-def tokenized(column: pa.Array | pa.ChunkedArray, chunk: int = CHUNK_BYTES) -> Iterator[Words]:
+#: For language models: runs of ASCII letters and of all bytes beyond ASCII are words, and ASCII letters lose their case.
+NOT_LETTER = np.array([b < 0x80 and not chr(b).isalpha() for b in range(256)])
+FOLD = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
+
+
+def tokenized(column: pa.Array | pa.ChunkedArray, chunk: int = CHUNK_BYTES, breaks: np.ndarray = IS_SPACE, fold: np.ndarray | None = None) -> Iterator[Words]:
     """The words of every document of a string column, some documents at a time; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
@@ -115,12 +120,13 @@ def tokenized(column: pa.Array | pa.ChunkedArray, chunk: int = CHUNK_BYTES) -> I
     lo = 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + chunk, "right")) - 1)
-        yield _words(lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        own = data[offsets[lo] : offsets[hi]]
+        yield _words(lo, hi, own if fold is None else fold[own], offsets[lo : hi + 1] - offsets[lo], breaks)
         lo = hi
 
 
-def _words(lo: int, hi: int, data: np.ndarray, bounds: np.ndarray) -> Words:
-    ink = ~IS_SPACE[data]
+def _words(lo: int, hi: int, data: np.ndarray, bounds: np.ndarray, breaks: np.ndarray) -> Words:
+    ink = ~breaks[data]
     opens, closes = ink.copy(), ink.copy()
     opens[1:] &= ~ink[:-1]
     closes[:-1] &= ~ink[1:]
