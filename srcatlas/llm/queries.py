@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from srcatlas.llm import ann, bpe, chat, jaccard, packing, quality, sharding, substring
+from srcatlas.llm import ann, bpe, chat, jaccard, langid, packing, quality, sharding, substring, toxicity
 
 QUERIES = {
     "op1_feistel_sharding": sharding.query,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_chat_format": chat.query,
     "op6_bpe_transducer": bpe.query,
     "op7_quality_rules": quality.query,
+    "op8_kneser_ney_toxicity": toxicity.query,
+    "op9_mixture_langid": langid.query,
     "op10_best_fit_packing": packing.query,
 }
 

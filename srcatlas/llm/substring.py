@@ -250,7 +250,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     docs that are not named here are not read. With an index, the batch's windows are
     added to it; batches should come in order of their ids.
     """
-    carried = [F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]
+    carried = [F.col(c).alias(f"c{k}") for k, c in enumerate(carry) if c != text_col]
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *carried)
     total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, math.ceil(total / batch_bytes))
@@ -274,8 +274,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
 
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(span)), T.StructField("kept_text", T.StringType())])
-    for c in range(len(carry)):
-        schema.add(f"c{c}", base.schema[f"c{c}"].dataType)
+    held = ["text" if c == text_col else f"c{k}" for k, c in enumerate(carry)]
+    for c, name in enumerate(held):
+        schema.add(f"c{c}", base.schema[name].dataType)
 
     def applied(t: pa.Table, marks: pa.Table) -> pa.Table:
         batch = opened(t)
@@ -305,7 +306,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
                 kept.append(b" ".join(own).decode())
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         out = {"id": t["id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "removed": pa.array(spans, kind), "kept_text": pa.array(kept, pa.string())}
-        return pa.table(out | {f"c{k}": t[f"c{k}"] for k in range(len(carry))})
+        return pa.table(out | {f"c{k}": t[name] for k, name in enumerate(held)})
 
     if every:
         marks = docs.sparkSession.createDataFrame([], MARK)
