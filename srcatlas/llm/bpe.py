@@ -30,7 +30,7 @@ END_OF_WORD = "</w>"
 SPACE = r"\t-\r \x85\xa0  -     　"
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 #: Bytes of a chunk that is remembered, half the chunks remembered, and bytes of a pretoken that needs no streaming.
-CHUNK_BYTES, CHUNKS, WHOLE = 48, 1 << 19, 64
+CHUNK_BYTES, CHUNKS, WHOLE = 48, 1 << 18, 64
 _NONE = 1 << 60
 
 
@@ -173,8 +173,8 @@ class Transducer:
 class Encoder:
     """Encodes whole texts as the vocabulary's pipeline does: special tokens, NFC, lower case, pretokens, BPE."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.v = vocabulary
+    def __init__(self, vocabulary: Vocabulary, chunks: int = CHUNKS) -> None:
+        self.v, self.chunks = vocabulary, chunks
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.words: dict[str, list[int]] = {}
@@ -210,7 +210,7 @@ class Encoder:
             if len(raw) > WHOLE:
                 t = Transducer(self.v)
                 return [*t.feed(raw), *t.finish()]
-            if len(self.words) >= CHUNKS // 2:
+            if len(self.words) >= self.chunks // 2:
                 self.words.clear()
             out = self.words[word] = self.v.merge(raw)
         return out
@@ -223,7 +223,7 @@ class Encoder:
                 out.byteswap()
             out = out.tobytes()
         if len(chunk) <= CHUNK_BYTES:
-            if len(self.known) >= CHUNKS:  # what was not asked for since the last change is forgotten
+            if len(self.known) >= self.chunks:  # what was not asked for since the last change is forgotten
                 self.known, self.before = {}, self.known
             self.known[chunk] = out
         return out
@@ -277,11 +277,11 @@ def read_vocabulary(spark: SparkSession, path: str) -> Vocabulary:
 _ENCODERS: dict[int, Encoder] = {}
 
 
-def encoder_of(content: str) -> Encoder:
+def encoder_of(content: str, chunks: int = CHUNKS) -> Encoder:
     """One encoder for each vocabulary and worker process, so that what it remembers outlives a task."""
-    key = hash(content)
+    key = hash((content, chunks))
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(Vocabulary(content))
+        _ENCODERS[key] = Encoder(Vocabulary(content), chunks)
     return _ENCODERS[key]
 
 
