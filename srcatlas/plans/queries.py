@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcatlas.functions import text as T
+from srcatlas.extract import run as extraction
+from srcatlas.extract import sfc
 from srcatlas.operators import explore as X
 from srcatlas.operators import lookup as L
 from srcatlas.operators import maintain as M
@@ -292,3 +294,28 @@ add("identifier_tokens", _docs(lambda: [F.array_join(T.identifiers(F.col("text")
 add("parent_paths", lambda s, d: view(s, d, "ix_files").select("path", schema.parent_path(F.col("path")).alias("parent_path"), schema.base_name(F.col("path")).alias("base")), "SELECT path, parent_path, string_split(path, '/')[-1] AS base FROM ix_files", "ix_files")
 add("lang_detect", lambda s, d: view(s, d, "ix_files").select("path", languages.detect(F.col("path")).alias("lang")), "SELECT path, lang FROM ix_files", "ix_files")
 add("visibility_levels", lambda s, d: view(s, d, "ix_symbols").select("symbol_id", schema.level_of(F.col("visibility")).alias("level")), "SELECT symbol_id, visibility_level AS level FROM ix_symbols", "ix_symbols")
+
+
+# Extraction from pages.
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    import pandas as pd
+
+    def task(batches):
+        for batch in batches:
+            made = [(i, k, b.language, b.start_line, b.source) for i, html in zip(batch["page_id"], batch["html"], strict=True) for k, b in enumerate(sfc.blocks(html or "", "html"))]
+            yield pd.DataFrame(made, columns=["page_id", "block", "lang", "start_line", "source"])
+
+    return table(spark, d, "pages").select("page_id", "html").mapInPandas(task, "page_id long, block int, lang string, start_line int, source string")
+
+
+_SCRIPT = "s AS (SELECT page_id, html, regexp_extract(html, '(?s)<script[^>]*>(.*?)</script>', 1) AS source FROM pages WHERE regexp_matches(html, '<script[ >]'))"
+add("html_script_blocks", _blocks, f"WITH {_SCRIPT} SELECT page_id, CAST(0 AS INT) AS block, 'javascript' AS lang, CAST(len(string_split(string_split(html, '<script')[1], chr(10))) AS INT) AS start_line, source FROM s WHERE trim(source) <> ''")
+
+
+def _pages_index(spark: SparkSession, d: str) -> Index:
+    pages = table(spark, d, "pages").select(F.lit("web").alias("project"), F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    return extraction.build(pages)
+
+
+add("html_call_refs", lambda s, d: _pages_index(s, d).refs.select("file", "name", "kind", "line_start"), f"WITH {_SCRIPT} SELECT 'p' || page_id || '.html' AS file, unnest(regexp_extract_all(source, '([A-Za-z_]+)[(]', 1)) AS name, 'call' AS kind, CAST(len(string_split(string_split(html, '<script')[1], chr(10))) AS INT) AS line_start FROM s")
+add("html_files", lambda s, d: _pages_index(s, d).files.select("path", "lang", "lines", "parent_path"), "SELECT 'p' || page_id || '.html' AS path, 'html' AS lang, CAST(CASE WHEN html = '' THEN 0 ELSE len(string_split(html, chr(10))) - CASE WHEN right(html, 1) = chr(10) THEN 1 ELSE 0 END END AS INT) AS lines, '.' AS parent_path FROM pages")
