@@ -17,6 +17,13 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows here are whole documents: lower Spark's default of 10000 rows in an Arrow batch, unless it has been set already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: this cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srcatlas.llm._store import bound_batches
+
 END_OF_WORD = "</w>"
 #: The white space of the vocabulary's patterns.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -301,6 +303,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     A null or empty text has no ids. Rows are independent: repeated rows, null ids and
     an empty table need no care. Other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(file_content(vocabulary))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.llm import words as W
-from srcatlas.llm._store import materialize
+from srcatlas.llm._store import bound_batches, materialize
 from srcatlas.llm.components import connected_components
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
@@ -215,6 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copy_of and class_id are its own id. Repeated rows are copies of each other. An
     empty table gives an empty result; other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(sign(base, "doc_id", "text", k), "signed")
     known = signed.filter("doc_id is not null")

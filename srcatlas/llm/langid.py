@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from srcatlas.llm import words as W
+from srcatlas.llm._store import bound_batches
 from srcatlas.llm.tables import PART, entries, merged
 
 GRAMS, EM_STEPS, TEMPER = 1 << 16, 8, 0.5
@@ -133,14 +134,17 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     no language could be learned. Null ids are never held out. Memory grows with the
     number of languages (1 MB each). An empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     rest = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(4))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = base.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.coalesce(rest, F.lit(0)) != 2))
     tables = merged(known.select("text", "lang").mapInArrow(count, PART), lambda name: SIZES[name[0]])
     shared = docs.sparkSession.sparkContext.broadcast(Mixture(tables))
-    carried = [F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]
+    carried = [F.col(c).alias(f"c{k}") for k, c in enumerate(carry) if c != text_col]
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *carried)
-    schema = T.StructType([source.schema["id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_langs", T.IntegerType()), *source.schema.fields[2:]])
+    held = ["text" if c == text_col else f"c{k}" for k, c in enumerate(carry)]
+    kept = (T.StructField(f"c{k}", source.schema[name].dataType) for k, name in enumerate(held))
+    schema = T.StructType([source.schema["id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_langs", T.IntegerType()), *kept])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -152,7 +156,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                     pick[words.lo : words.hi], score[words.lo : words.hi], size[words.lo : words.hi] = model.predict(words)
             names = pa.array([model.langs[x] if y else UNKNOWN for x, y in zip(pick, lettered, strict=True)])
             columns = [batch.column(0), names, pa.array(np.where(lettered, np.clip(score, 0, 1), 0.0)), pa.array(np.where(lettered, size, 0).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(name) for name in held)], schema.names)
 
     found = source.mapInArrow(task, schema)
     held = F.coalesce(rest == 2, F.lit(False))

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from srcatlas.llm import words as W
+from srcatlas.llm._store import bound_batches, materialize
 
 WINDOW, GRAM = 20, 5
 #: Bytes of text in one run.
@@ -250,6 +251,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     docs that are not named here are not read. With an index, the batch's windows are
     added to it; batches should come in order of their ids.
     """
+    bound_batches(docs.sparkSession)
     carried = [F.col(c).alias(f"c{k}") for k, c in enumerate(carry) if c != text_col]
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *carried)
     total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -314,8 +316,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
         marks = base.select("b", "id", "text").groupBy("b").applyInArrow(anchor_runs, RUN).groupBy("range").applyInArrow(_merge_anchors, MARK)
     runs = base.groupBy("b").cogroup(marks.groupBy("b")).applyInArrow(window_runs, RUN)
     if every:
-        from srcatlas.llm._store import materialize
-
         runs = materialize(runs, "runs")
         history = materialize(index.runs(), "history")
     merged = (runs.unionByName(history) if every else runs).groupBy("range").applyInArrow(_merge_windows, MARK)
