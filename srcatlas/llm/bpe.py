@@ -175,8 +175,8 @@ class Transducer:
 class Encoder:
     """Encodes whole texts as the vocabulary's pipeline does: special tokens, NFC, lower case, pretokens, BPE."""
 
-    def __init__(self, vocabulary: Vocabulary, chunks: int = CHUNKS) -> None:
-        self.v, self.chunks = vocabulary, chunks
+    def __init__(self, vocabulary: Vocabulary, chunks: int = CHUNKS, merge=None) -> None:
+        self.v, self.chunks, self.merge = vocabulary, chunks, merge
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.words: dict[str, list[int]] = {}
@@ -209,6 +209,8 @@ class Encoder:
         out = self.words.get(word)
         if out is None:
             raw = word.encode()
+            if self.merge:
+                return self.merge(raw)
             if len(raw) > WHOLE:
                 t = Transducer(self.v)
                 return [*t.feed(raw), *t.finish()]
@@ -232,8 +234,26 @@ class Encoder:
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a UTF-8 text, little-endian unsigned 32-bit. No token and no normal form crosses ASCII white space."""
-        get, learn = self.known.get, self._learn
-        return b"".join([x if (x := get(c)) is not None else learn(c) for c in text.split()])
+        chunks = text.split()
+        found = list(map(self.known.get, chunks))
+        try:
+            return b"".join(found)
+        except TypeError:  # a chunk is not known yet
+            learn = self._learn
+            return b"".join([learn(c) if x is None else x for x, c in zip(found, chunks, strict=True)])
+
+
+def library_merge(path_content: str):
+    """The tokenizers library's own BPE of one pretoken, for operators that don't stream; the same ids as Vocabulary.merge."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_str(path_content).model
+    table = dict(enumerate(byte_alphabet()))
+
+    def merge(word: bytes) -> list[int]:
+        return [t.id for t in model.tokenize(word.decode("latin-1").translate(table))]
+
+    return merge
 
 
 class Decoder:
@@ -279,11 +299,11 @@ def read_vocabulary(spark: SparkSession, path: str) -> Vocabulary:
 _ENCODERS: dict[int, Encoder] = {}
 
 
-def encoder_of(content: str, chunks: int = CHUNKS) -> Encoder:
+def encoder_of(content: str, chunks: int = CHUNKS, library: bool = False) -> Encoder:
     """One encoder for each vocabulary and worker process, so that what it remembers outlives a task."""
-    key = hash((content, chunks))
+    key = hash((content, chunks, library))
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(Vocabulary(content), chunks)
+        _ENCODERS[key] = Encoder(Vocabulary(content), chunks, library_merge(content) if library else None)
     return _ENCODERS[key]
 
 

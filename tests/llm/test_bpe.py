@@ -60,6 +60,13 @@ def test_transducer_in_parts(encoder, library):
     assert held <= 8 * encoder.v.longest < encoder.v.lookahead()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=40).map("".join))
+def test_with_the_librarys_merging(library, text):
+    e = bpe.encoder_of(bpe.file_content(bpe.default_vocabulary()), library=True)
+    assert ids(e, text) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_forgetting_changes_nothing(library):
     small = bpe.Encoder(bpe.Vocabulary(bpe.file_content(bpe.default_vocabulary())), chunks=8)
     text = " ".join(f"word{k % 29} Andthe{k % 13}." for k in range(300))
