@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcatlas.llm._store import materialize
+from srcatlas.llm._store import discard, materialize
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -16,6 +16,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     (small star), below their least; both keep every component connected and the
     number of edges from growing. Rounds end when the edges no longer change, and
     each is written to the shared folder. No edge reaches the driver, only a sum.
+    The result reads the last round's table, which `discard` deletes.
     """
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
@@ -25,7 +26,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        now = materialize(down.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        then, now = now, materialize(down.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(then)
         state = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
         if state == before or not state[0]:
             break
@@ -33,4 +35,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("u").alias("id"), F.col("v").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
+    out = roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
+    out._scratch = now._scratch
+    return out

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.llm import words as W
-from srcatlas.llm._store import bound_batches, materialize
+from srcatlas.llm._store import bound_batches, discard, materialize
 from srcatlas.llm.components import connected_components
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
@@ -225,7 +225,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = reps.select(F.explode("keys").alias("key"), "rep")
     leaders = materialize(banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"), "leaders")
     edges = banded.join(leaders, "key").filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-    components = materialize(connected_components(edges), "candidates")
+    raw = connected_components(edges)
+    components = materialize(raw, "candidates")
+    discard(raw, leaders)
 
     sizes = components.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     few = max(1, math.ceil(components.count() / TILE))
@@ -243,7 +245,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in_class = known.select("doc_id", "digest").join(per, "digest").select("doc_id", F.col("rep").alias("copy_of"), "class_id", "n_copies", "n_links")
     blank = F.col("text").isNull() | F.col("doc_id").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     alone = base.filter(blank).select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
-    return in_class.unionByName(alone)
+    out = materialize(in_class.unionByName(alone), "near")
+    discard(signed, copies, components, linked, roots)
+    return out
 
 
 def query(spark, sf_dir):

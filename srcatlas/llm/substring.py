@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from srcatlas.llm import words as W
-from srcatlas.llm._store import bound_batches, materialize
+from srcatlas.llm._store import bound_batches, discard, materialize
 
 WINDOW, GRAM = 20, 5
 #: Bytes of text in one run.
@@ -256,7 +256,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *carried)
     total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, math.ceil(total / batch_bytes))
-    bits = index.bits if index else max(3, math.ceil(math.log2(parts)))
+    bits = index.bits if index else max(5, math.ceil(math.log2(parts)))
     base = base.withColumn("b", F.pmod(F.xxhash64("id", "text"), F.lit(parts))).repartition("b")
     every = index is not None
     opened = lambda t: _Batch(t, window, gram, bits, every)
@@ -323,6 +323,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     if every:
         found = materialize(found, "kept")
         index.append(runs)
+        discard(runs, history)
     return found.select(F.col("id").alias(id_col), "n_words", "n_removed", "removed", "kept_text", *(F.col(f"c{k}").alias(c) for k, c in enumerate(carry)))
 
 
