@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from srcatlas.extract.base import Extracted, Ref, Scopes, Symbol, comment_text, is_constant, string_text, token_set
-from srcatlas.extract.lexer import FAMILY, pairs, tokenize
+from srcatlas.extract.lexer import FAMILY, Token, pairs, tokenize
 
 # Words that are no calls, types that are no references, and words that say nothing about a body.
 CONTROL = frozenset("if for while switch catch return do else try throw new delete super this assert".split())
@@ -77,6 +77,10 @@ class Reader:
             else:
                 n += 1
         self.match = pairs(self.code)
+        # Unfinished sources point behind the last token, so one more stands there.
+        self.size = len(self.code)
+        last = every[-1].end_line if every else 1
+        self.code.append(Token("punct", "", last, last, 0))
         self.skip, self.primitive, self.stop = (x.get(self.family, frozenset()) for x in (SKIP, PRIMITIVE, STOP))
         self.keywords = KEYWORDS[self.family]
         self._names: set[int] = set()  # where declared names stand, which are no calls
@@ -131,7 +135,7 @@ class Reader:
 
     # Results.
     def symbol(self, level: Level, name: str, kind: str, first: int, last: int, visibility: str | None, body: tuple[int, int] | None = None, alias: str | None = None, callable_: bool | None = None, qualify: bool = True, tokens: str | None = None) -> str:
-        last = min(last, len(self.code) - 1)
+        first, last = min(first, self.size), min(last, max(self.size - 1, 0))
         full = f"{level.parent}{self.separator}{name}" if level.parent and qualify else name
         if body and tokens is None:
             tokens = token_set((t.text for t in self.code[body[0] : body[1] + 1] if t.kind == "word"), self.stop, capitals=self.family not in ("c", "csharp", "java"))
@@ -155,12 +159,12 @@ class Reader:
 
     # Walking.
     def run(self) -> Extracted:
-        self.level(0, len(self.code), Level())
+        self.level(0, self.size, Level())
         for at, t in self.other:
             if t.kind == "directive":
                 self.directive(t)
             else:
-                found = comment_text(t.text, t.line, t.end_line, self.scopes.around(at) if at < len(self.code) else None)
+                found = comment_text(t.text, t.line, t.end_line, self.scopes.around(at) if at < self.size else None)
                 if found:
                     self.out.texts.append(found)
         for i, t in enumerate(self.code):
@@ -287,7 +291,7 @@ class Rust(Reader):
             start = split + 1 if split < brace else k
             stop = self.find(start, brace, ("where",))
             shape = "".join(t.text for t in self.code[start:stop])
-            last = self.match.get(brace, brace)
+            last = min(self.match.get(brace, brace), self.size)
             self.out.symbols.append(Symbol(shape, "trait_impl" if split < brace else "impl", self.code[first].line, self.code[last].end_line, None, None, None, "private"))
             owner = shape.lstrip("&").split("<")[0]
             if split < brace:
