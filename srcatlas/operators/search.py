@@ -152,17 +152,19 @@ def _kinds(values: list[str] | None) -> list[str]:
     return [v for v in values or [] if v]
 
 
-def search(ix: Index, query: str, scope: list[str] | None = None, kind: list[str] | None = None, path: str | None = None, project: str | None = None, visibility: str | None = "public", limit: int | None = LIMIT, offset: int = 0, docs: DataFrame | None = None) -> DataFrame:
+def search(ix: Index, query: str, scope: list[str] | None = None, kind: list[str] | None = None, path: str | None = None, project: str | None = None, visibility: str | None = "public", limit: int | None = LIMIT, offset: int = 0, docs: DataFrame | None = None, corpus: tuple[int, float] | None = None) -> DataFrame:
     """The best rows for a query, by BM25 with column weights, then shorter names.
 
     An exact name match (of the query's first word) comes first. The statistics (rows,
     mean length, rows with a phrase) are those of the whole index: filters come after
-    them. `docs` may be a tokenized table that the caller keeps.
+    them. `docs` may be a tokenized table that the caller keeps, or, with the number of
+    rows and their mean length in `corpus`, only those rows that hold any of the tokens.
     """
     compiled = Compiled(query)
     rows = (docs if docs is not None else tokenized(search_docs(ix))).withColumns(compiled.columns)
     counts = [F.sum(F.when(f > 0, 1).otherwise(0)).alias(f"n{i}") for i, f in enumerate(compiled.raw)]
-    stats = rows.agg(F.count(F.lit(1)).alias("__n"), F.avg("n_tokens").alias("__avg"), *counts)  # one row, of literals' size
+    size = [F.count(F.lit(1)), F.avg("n_tokens")] if corpus is None else [F.lit(corpus[0]), F.lit(corpus[1])]
+    stats = rows.agg(*counts, size[0].alias("__n"), size[1].alias("__avg"))  # one row
     found = rows.filter(compiled.matches)
     if _kinds(scope):
         found = found.filter(F.col("type").isin(_kinds(scope)))
