@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcatlas.extract.run import build, rows
+from srcatlas import ship
+from srcatlas.extract.run import build
 from srcatlas.operators import explore as X
 from srcatlas.operators import lookup, maintain, render, search, snippets
 from srcatlas.plans.schema import Index
@@ -27,6 +28,7 @@ class CodeIndex:
 
     @classmethod
     def of_tree(cls, spark: SparkSession, root: str) -> CodeIndex:
+        ship.ensure(spark)
         files = listing.with_content(listing.listing(spark, root)).persist()
         index = build(files)
         out = cls(spark, index, files.select("project", "path", F.decode(F.col("content"), "UTF-8").alias("content")), root)
@@ -128,6 +130,3 @@ def show(df: DataFrame, form: str = "json") -> str:
     line = render.search_line() if "type" in df.columns else render.ref_line() if "caller" in df.columns else render.symbol_line()
     block = render.snippet_block(F.col("snippet")) if "snippet" in df.columns else F.lit(None).cast("string")
     return "\n".join("\n".join(x for x in (r.line, r.block) if x is not None) for r in df.select(line.alias("line"), block.alias("block")).collect())
-
-
-__all__ = ["CodeIndex", "rows", "show"]
