@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.extract import base, curly, markdown, metadata, python, ruby, sfc
-from srcatlas.functions.blake3 import short_hash
+from srcatlas.functions.blake3 import short_hashes
 from srcatlas.plans.schema import FILES, REFS, SYMBOLS, TEXTS, Index, to_query_form
 from srcatlas.sources import languages
 
 EXTRACTORS = {"python": python.extract, "ruby": ruby.extract, "markdown": markdown.extract, **{k: curly.extract for k in curly.READERS}}
+BATCH = 200  # files hashed side by side
 EMBEDDING = ("html", "vue", "svelte", "astro")
 
 
@@ -36,12 +37,12 @@ def line_count(source: str) -> int:
     return source.count("\n") + (1 if source and not source.endswith("\n") else 0)
 
 
-def rows(project: str, path: str, content: bytes) -> Iterator[tuple[str, str]]:
+def rows(project: str, path: str, content: bytes, hashed: str | None = None) -> Iterator[tuple[str, str]]:
     """(relation, JSON row) for one file. A file that can't be parsed keeps its file row."""
     source = content.decode("utf-8", "replace").removeprefix("﻿")
     language = languages.of(path)
     title, description = metadata.of(source, language)
-    yield "files", json.dumps({"project": project, "path": path, "lang": language, "hash": short_hash(content), "lines": line_count(source), "title": title, "description": description})
+    yield "files", json.dumps({"project": project, "path": path, "lang": language, "hash": hashed or short_hashes([content])[0], "lines": line_count(source), "title": title, "description": description})
     try:
         found = parse(source, language) if language else base.Extracted()
     except (RecursionError, IndexError, ValueError):
@@ -59,8 +60,12 @@ def extract(files: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [x for p, path, c in zip(batch["project"], batch["path"], batch["content"], strict=True) for x in rows(p or "", path, bytes(c or b""))]
-            yield pd.DataFrame(made, columns=["relation", "row"])
+            for lo in range(0, len(batch), BATCH):
+                part = batch.iloc[lo : lo + BATCH]
+                contents = [bytes(c or b"") for c in part["content"]]
+                every = zip(part["project"], part["path"], contents, short_hashes(contents), strict=True)
+                made = [x for p, path, c, h in every for x in rows(p or "", path, c, h)]
+                yield pd.DataFrame(made, columns=["relation", "row"])
 
     return files.select("project", "path", F.col("content").cast("binary")).mapInPandas(task, "relation string, row string")
 

@@ -314,7 +314,7 @@ add("html_script_blocks", _blocks, f"WITH {_SCRIPT} SELECT page_id, CAST(0 AS IN
 
 def _pages_index(spark: SparkSession, d: str) -> Index:
     pages = table(spark, d, "pages").select(F.lit("web").alias("project"), F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
-    return extraction.build(pages)
+    return extraction.build(pages.repartition(spark.sparkContext.defaultParallelism))  # one row group would be one task
 
 
 add("html_call_refs", lambda s, d: _pages_index(s, d).refs.select("file", "name", "kind", "line_start"), f"WITH {_SCRIPT} SELECT 'p' || page_id || '.html' AS file, unnest(regexp_extract_all(source, '([A-Za-z_]+)[(]', 1)) AS name, 'call' AS kind, CAST(len(string_split(string_split(html, '<script')[1], chr(10))) AS INT) AS line_start FROM s")

@@ -172,6 +172,9 @@ def test_blake3():
     data = lambda n: bytes(i % 251 for i in range(n))
     for n, want in {0: "af1349b9f5f9a1a6", 1: "2d3adedff11b61f1", 1024: "42214739f095a406", 1025: "d00278ae47eb27b3", 2048: "e776b6028c7cd22a", 5121: "628bd2cb2004694a"}.items():
         assert blake3.short_hash(data(n)) == want
+    sizes = [0, 1, 63, 64, 65, 1023, 1024, 1025, 2048, 2049, 3072, 3073, 5121, 7168, 9000, 16385, 31744]
+    assert blake3.short_hashes([data(n) for n in sizes]) == [blake3.short_hash(data(n)) for n in sizes]
+    assert blake3.short_hashes([]) == []
 
 
 def test_snippets(spark):
