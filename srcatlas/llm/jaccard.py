@@ -212,7 +212,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     this one reaches the threshold; class_id is the least document that is reachable
     over such links. A text of fewer than k words has one shingle, all its words. A
     null text, one without words, or a null id is a class of its own, without links:
-    copy_of and class_id are its own id. Repeated rows are copies of each other. An
+    copy_of and class_id are its own id. Repeated rows are copies of each other; of different texts under one id, one
+    is compared for both. An
     empty table gives an empty result; other columns are not read.
     """
     bound_batches(docs.sparkSession)
@@ -234,7 +235,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cuts = F.ceil(F.col("size") / TILE).cast("int")
     members = components.join(sizes, "root").withColumn("cuts", cuts).select("id", F.col("root").alias("comp"), "cuts", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int").alias("side"), F.when(F.col("cuts") == 1, -1 - F.pmod(F.xxhash64("root"), F.lit(few))).otherwise(F.col("root")).alias("bin"))
     signs = known.select(F.col("doc_id").alias("id"), "signature").join(members, "id").dropDuplicates(["id"])
-    texts = base.withColumnRenamed("doc_id", "id").join(members.select("id"), "id").groupBy("id").agg(F.min("text").alias("text"))
+    # One plan at every size: the members of a small table would be broadcast, those of a large one not.
+    texts = base.withColumnRenamed("doc_id", "id").join(members.select("id").hint("merge"), "id").groupBy("id").agg(F.min("text").alias("text"))
     tiles = signs.join(texts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     tiles = tiles.select("bin", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "id", "comp", "side", "signature", "text")
     linked = materialize(tiles.groupBy("bin", "i", "j").applyInArrow(_tile(threshold, tolerance, k), TILED).filter("links > 0 or peer <> id"), "linked")
