@@ -206,11 +206,11 @@ class Encoder:
         return out
 
     def _word(self, word: str) -> list[int]:
+        if self.merge:
+            return self.merge(word)
         out = self.words.get(word)
         if out is None:
             raw = word.encode()
-            if self.merge:
-                return self.merge(raw)
             if len(raw) > WHOLE:
                 t = Transducer(self.v)
                 return [*t.feed(raw), *t.finish()]
@@ -243,15 +243,17 @@ class Encoder:
             return b"".join([learn(c) if x is None else x for x, c in zip(found, chunks, strict=True)])
 
 
-def library_merge(path_content: str):
+def library_merge(content: str):
     """The tokenizers library's own BPE of one pretoken, for operators that don't stream; the same ids as Vocabulary.merge."""
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_str(path_content).model
+    tokenize = Tokenizer.from_str(content).model.tokenize
     table = dict(enumerate(byte_alphabet()))
 
-    def merge(word: bytes) -> list[int]:
-        return [t.id for t in model.tokenize(word.decode("latin-1").translate(table))]
+    def merge(word: str) -> list[int]:
+        if not (word.isascii() and word.isprintable()):  # else each character stands for its own byte
+            word = word.encode().decode("latin-1").translate(table)
+        return [t.id for t in tokenize(word)]
 
     return merge
 
