@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from srcatlas import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
@@ -18,7 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows here are whole documents: lower Spark's default of 10000 rows in an Arrow batch, unless it has been set already."""
+    """Before Python runs: workers get the package, and, as rows here are whole documents, Arrow batches 1000 rows instead of Spark's default of 10000, unless that has been set already."""
+    ship.ensure(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name, "10000") == "10000":
         spark.conf.set(name, str(rows))

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from srcatlas import ship
+
 ROUNDS = 6
 
 
@@ -93,6 +95,7 @@ def shard(df: DataFrame, order: list[str], shards: int, seed: int = 0, buckets:
     """
     if shards < 1:
         raise ValueError("shards must be positive")
+    ship.ensure(df.sparkSession)
     df = df.drop("row_number", "shard", "slot")
     n = df.count()
     numbered = number_rows(df, order, buckets)
