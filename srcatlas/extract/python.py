@@ -49,7 +49,6 @@ def extract(source: str, language: str = "python") -> Extracted:
     exported = _dunder_all(tokens, lines)
     stack: list[tuple[int, str, str]] = []  # (indent, qualified name, kind) of open blocks
     docstrings: set[int] = set()
-    ends: list[tuple[Symbol, int, int, int]] = []
 
     def block_end(k: int) -> int:
         """The index of the line after the block that line k opens."""
@@ -65,8 +64,6 @@ def extract(source: str, language: str = "python") -> Extracted:
             e -= 1
         return e
 
-    decorated: int | None = None
-    body_start = 0
     for k, (indent, first, end) in enumerate(lines):
         while stack and indent <= stack[-1][0]:
             stack.pop()
@@ -92,8 +89,6 @@ def extract(source: str, language: str = "python") -> Extracted:
             out.symbols.append(Symbol(qualified, kind, tokens[first].line, tokens[last].end_line, parent, found, None, shown))
             scopes.add(colon, last, qualified)
             stack.append((indent, qualified, kind))
-            if kind == "class" and text(i + 2) == "(":
-                pass
             continue
         if word == "import":
             _import(out, tokens, i, end, parent)

@@ -54,7 +54,6 @@ def first_sentence(text: Column) -> Column:
 def split_docstring(text: Column) -> tuple[Column, Column]:
     """(title, description): the first line, and the first sentence of the first paragraph after it."""
     clean = F.trim(text)
-    rest = F.regexp_replace(F.when(F.instr(clean, "\n") > 0, F.substring_index(clean, "\n", 1 - 1_000_000)).otherwise(F.lit("")), r"^\s+", "")
     rest = F.when(F.instr(clean, "\n") > 0, F.regexp_replace(clean, r"(?s)^[^\n]*\n\s*", "")).otherwise(F.lit(""))
     paragraph = F.regexp_replace(F.regexp_extract(rest, r"(?s)^(.*?)(\n\s*\n|$)", 1), r"\s*\n\s*", " ")
     description = F.trim(first_sentence(paragraph))
