@@ -31,7 +31,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the least document of each group of near duplicates. Rows that repeat an id are one document; a null id stays."""
     found = jaccard.near_duplicates(docs)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi").select(*COLUMNS)
+    # One plan at every size, instead of a broadcast of the ids only where they are few.
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi").select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
