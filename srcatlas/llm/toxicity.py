@@ -1,13 +1,17 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two word models, of toxic and of ordinary training rows, are compared by
-length-normalised log-likelihood. A word is predicted from the class of the word
-before it (a hash class); discounted counts of (class, word) are interpolated with
-discounted continuation counts, the numbers of different words before it, and those
-with counts that both models share, gathered over all documents. The discount takes
-the first counts of every expression away, so what is rare in both models goes to the
-shared counts and says nothing. All counts live in hashed tables of a fixed size;
-continuations are counted in 64-bit masks (linear counting).
+Two bigram models, of toxic and of ordinary training rows, are compared by
+length-normalised log-likelihood. Counts of (word before, word) are interpolated with
+continuation counts, the numbers of different words before a word, and those with
+counts that both models share, gathered over all documents. The discount takes
+the first counts of every expression away.
+
+All counts are exact and keyed by 64-bit word hashes; no table is held whole anywhere.
+Documents become chunks: distinct words and the sequence of their indices. A chunk
+sends its distinct pairs with their counts, cut into cells by hash; a cell adds them up,
+answers every chunk with the totals of its own pairs, and hands on what the pairs say
+about single words. These sums meet the chunks' words in ranges in the same way. A
+chunk then has all counts that its words need. Cells and ranges grow with the tokens.
 
 A logistic curve over the document's mean, its worst passage's and its highest words'
 log ratios makes a probability of the comparison. It is fitted on at most `sample`
@@ -16,115 +20,266 @@ training rows, with models that have not seen these rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from srcatlas.llm import words as W
-from srcatlas.llm._store import bound_batches
-from srcatlas.llm.tables import PART, entries, merged
+from srcatlas.llm._store import bound_batches, discard, materialize
 
-WORDS, CLASSES, DISCOUNT = 1 << 19, 4, 3.0
+#: Bytes of text in a chunk (a longer document is one alone), and tokens for each cell of pairs and range of words.
+CHUNK, CELL = 8 << 20, 1 << 20
 #: Words of a passage; training rows for the curve; the score from which a document counts as toxic.
 PASSAGE, SAMPLE, TOXIC_AT = 24, 20000, 0.3
 #: Label rows up to which they are broadcast; beyond, the join is shuffled.
 LABELS_BROADCAST = 1_000_000
-#: Tables of a group: counts of (word, class before it) and masks of words before it; and the shared counts of words.
-SIZES = {"b": (WORDS * CLASSES, np.int32), "l": (WORDS, np.uint64), "s": (WORDS, np.int64)}
-FEATURES = 5
-
-
-def keys(words: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word: its bucket, the class of the word before it (0 opens a document), and the mask bit of that word."""
-    h = words.hashes()
-    before = np.zeros_like(h)
-    before[1:] = h[:-1]
-    before[words.first[:-1][words.counts() > 0]] = 0
-    return (h >> np.uint64(45)).astype(np.int64), (before % np.uint64(CLASSES)).astype(np.int64), np.uint64(1) << (before >> np.uint64(58))
-
-
-def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (text, group) to table entries; group 0 to 3 is 2 * fold + class, -1 counts for the shared table only."""
-    tables: dict[str, np.ndarray] = {"s": np.zeros(WORDS, np.int64)}
-    for batch in batches:
-        group = batch.column(1).to_numpy(zero_copy_only=False)
-        for words in W.tokenized(batch.column(0), breaks=W.NOT_LETTER, fold=W.FOLD):
-            w, before, bit = keys(words)
-            np.add.at(tables["s"], w, 1)
-            own = group[words.lo : words.hi][words.doc()]
-            for g in np.unique(own[own >= 0]):
-                m = own == g
-                for k in "bl":
-                    tables.setdefault(f"{g}_{k}", np.zeros(*SIZES[k]))
-                np.add.at(tables[f"{g}_b"], w[m] * CLASSES + before[m], 1)
-                np.bitwise_or.at(tables[f"{g}_l"], w[m], bit[m])
-    yield from entries(tables)
-
-
-def distinct(masks: np.ndarray) -> np.ndarray:
-    """Linear counting: about how many different words a 64-bit mask has seen."""
-    return -64 * np.log1p(-np.minimum(np.bitwise_count(masks), 63.5) / 64)
-
-
-class Model:
-    """Both classes' tables, ready to look up."""
-
-    def __init__(self, tables: dict[str, np.ndarray], folds: tuple[int, ...]) -> None:
-        shared = tables.get("s", np.zeros(WORDS, np.int64)) + 0.5
-        shared = shared / shared.sum()
-        self.low, self.high, self.back = [], [], []
-        self.ready = True
-        for c in (0, 1):
-            b, left = np.zeros(WORDS * CLASSES), np.zeros(WORDS, np.uint64)
-            for f in folds:
-                b += tables.get(f"{2 * f + c}_b", 0)
-                left |= tables.get(f"{2 * f + c}_l", np.uint64(0))
-            b = b.reshape(WORDS, CLASSES)
-            # A full mask tells no more; plain counts then carry on.
-            k = np.maximum(distinct(left), np.where(np.bitwise_count(left) > 60, 24 * np.sqrt(b.sum(axis=1)), 0))
-            total = k.sum()
-            self.ready &= bool(total)
-            kept = np.maximum(k - DISCOUNT, 0)
-            low = (kept + (total - kept.sum()) * shared) / total if total else shared
-            n = np.maximum(b.sum(axis=0), 1)
-            high = np.maximum(b - DISCOUNT, 0) / n
-            self.low.append(low.astype(np.float32))
-            self.high.append(high.reshape(-1).astype(np.float32))
-            self.back.append((1 - high.sum(axis=0)).astype(np.float32))
-
-    def ratios(self, words: W.Words) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary), for each word after the one before it."""
-        w, before, _ = keys(words)
-        at = w * CLASSES + before
-        p = [self.high[c][at] + self.back[c][before] * self.low[c][w] for c in (0, 1)]
-        return np.log(p[1]) - np.log(p[0])
-
-    def features(self, words: W.Words) -> np.ndarray:
-        """For each document: mean ratio, that of its worst passage, its greatest and fifth greatest word ratios, log length."""
-        n = words.counts()
-        out = np.zeros((len(n), FEATURES))
-        r = np.clip(self.ratios(words).astype(np.float64), -12, 12)
-        total = np.concatenate([[0.0], np.cumsum(r)])
-        at = np.arange(len(r))
-        last = np.repeat(words.first[1:], n)
-        end = np.minimum(at + PASSAGE, last)
-        first = np.repeat(words.first[:-1], n)
-        begin = np.maximum(np.minimum(at, last - PASSAGE), first)
-        passage = (total[end] - total[begin]) / np.maximum(end - begin, 1)
-        full = np.flatnonzero(n)
-        if len(full):
-            s = words.first[full]
-            out[full, 0] = (total[words.first[full + 1]] - total[s]) / n[full]
-            out[full, 1] = np.maximum.reduceat(passage, s)
-            out[full, 2] = np.maximum.reduceat(r, s)
-            order = np.lexsort((-r, np.repeat(np.arange(len(n)), n)))
-            out[full, 3] = r[order][s + np.minimum(4, n[full] - 1)] * (n[full] > 4)
-            out[full, 4] = np.log1p(n[full])
-        return out
+#: Groups of counts are 2 * fold + class; models are 2 * (0 early, 1 full) + class.
+GROUPS, FEATURES = 4, 5
+CHUNKS = "chunk long, tokens long, words binary, seq binary, first binary, groups binary, rows binary"
+PAIRS = "cell int, chunk long, w binary, m binary, v binary, n binary"
+MERGED = "kind string, chunk long, part int, words binary, value binary"
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Small numbers, mostly zeros: a tenth of their size at little cost."""
+    return zlib.compress(np.ascontiguousarray(x), 1)
+
+
+def unpacked(blob: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob), kind)
+
+
+def chunks(carry: list[str]):
+    """Batches of (text, g, ...) to chunks; the columns in `carry` go with them as one Arrow stream."""
+
+    def pack(held: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        found = [(w.hashes(), w.counts()) for w in W.tokenized(t["text"], breaks=W.NOT_LETTER, fold=W.FOLD)]
+        h = np.concatenate([x for x, _ in found])
+        first = np.concatenate([[0], *(n for _, n in found)]).cumsum()
+        words, seq = np.unique(h, return_inverse=True)
+        words = np.concatenate([np.zeros(1, np.uint64), words])  # 0 opens a document
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.select(carry).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(t.select(carry))
+        blobs = (words.tobytes(), packed((seq + 1).astype(np.uint32)), first.astype(np.int64).tobytes(), t["g"].to_numpy().astype(np.int32).tobytes(), sink.getvalue().to_pybytes())
+        name = TaskContext.get().partitionId() << 32 | k
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(h)]), *(pa.array([b], pa.binary()) for b in blobs)], ["chunk", "tokens", "words", "seq", "first", "groups", "rows"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, k = [], 0, 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.column("text").nbytes
+            if size >= CHUNK:
+                yield pack(held, k)
+                held, size, k = [], 0, k + 1
+        if held:
+            yield pack(held, k)
+
+    return task
+
+
+class Chunk:
+    """A chunk's tokens, and its distinct pairs in the order of cells, words, words before."""
+
+    def __init__(self, row: dict, parts: int) -> None:
+        self.words, self.seq = np.frombuffer(row["words"], np.uint64), unpacked(row["seq"], np.uint32)
+        self.first = np.frombuffer(row["first"], np.int64)
+        n = np.diff(self.first)
+        self.own = np.repeat(np.frombuffer(row["groups"], np.int32), n)
+        before = np.zeros_like(self.seq)
+        before[1:] = self.seq[:-1]
+        before[self.first[:-1][n > 0]] = 0
+        code = self.seq.astype(np.uint64) << np.uint64(32) | before
+        order = np.argsort(code)
+        code = code[order]
+        new = np.ones(len(code), bool)
+        new[1:] = code[1:] != code[:-1]
+        code = code[new]
+        w, v = (code >> np.uint64(32)).astype(np.int64), (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        # A common word's pairs go to several cells once there are many.
+        across = 1 + parts // 64
+        cell = (self.words[w] >> np.uint64(40)) % np.uint64(parts) * np.uint64(across) + (self.words[v] >> np.uint64(40)) % np.uint64(across)
+        by_cell = np.argsort(cell, kind="stable")
+        self.w, self.v, self.cell = w[by_cell], v[by_cell], cell[by_cell].astype(np.int64)
+        rank = np.empty(len(w), np.int64)
+        rank[by_cell] = np.arange(len(w))
+        self.pair = np.empty(len(self.seq), np.int64)
+        self.pair[order] = rank[np.cumsum(new) - 1]
+        part = ((self.words >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+        self.by_part = np.argsort(part, kind="stable")
+        self.part = part[self.by_part]
+
+
+def cuts(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(key, from, to) of each run of sorted keys."""
+    at = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+    return ((int(keys[a]), a, b) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if b > a)
+
+
+def batch_of(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.table([pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(fields)], [name for name, _ in fields])
+
+
+def pairs(parts: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = Chunk(row, parts)
+                n = np.stack([np.bincount(c.pair[c.own == g], minlength=len(c.w)) for g in range(GROUPS)]).astype(np.uint32)
+                rows = []
+                for cell, a, b in cuts(c.cell):
+                    runs = [(w, y - x) for w, x, y in cuts(c.w[a:b])]
+                    rows.append((cell, row["chunk"], c.words[[w for w, _ in runs]].tobytes(), packed(np.array([m for _, m in runs], np.uint32)), c.words[c.v[a:b]].tobytes(), packed(n[:, a:b])))
+                yield from batch_of(rows, PAIRS).to_batches()
+
+    return task
+
+
+def asked(parts: int):
+    """The words of each chunk and how often they stand in it, by range."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, seq = np.frombuffer(row["words"], np.uint64), unpacked(row["seq"], np.uint32)
+                n = np.bincount(seq, minlength=len(words)).astype(np.int64)
+                part = ((words >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+                by = np.argsort(part, kind="stable")
+                rows = [("q", row["chunk"], p, words[by[a:b]].tobytes(), packed(n[by[a:b]])) for p, a, b in cuts(part[by])]
+                yield from batch_of(rows, MERGED).to_batches()
+
+    return task
+
+
+def counts_of_counts(x: np.ndarray) -> np.ndarray:
+    """For each model: how many are 1, 2, 3, 4, at least 3, and the sum of all."""
+    return np.stack([*((x == k).sum(axis=1) for k in (1, 2, 3, 4)), (x > 2).sum(axis=1), x.sum(axis=1)], axis=1).astype(np.int64)
+
+
+def summed(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[at], np.add.reduceat(x[:, order], at, axis=1)
+
+
+def add_pairs(parts: int):
+    """One cell: totals of every pair for each chunk ('a'), sums over the pairs for words ('w', 'v'), counts of counts ('c')."""
+
+    def merge(t: pa.Table) -> pa.Table:
+        got = t.to_pylist()
+        w = np.concatenate([np.repeat(np.frombuffer(r["w"], np.uint64), unpacked(r["m"], np.uint32)) for r in got])
+        v = np.concatenate([np.frombuffer(r["v"], np.uint64) for r in got])
+        n = np.concatenate([unpacked(r["n"], np.uint32).reshape(GROUPS, -1) for r in got], axis=1).astype(np.int64)
+        order = np.lexsort((v, w))
+        w, v = w[order], v[order]
+        new = np.ones(len(w), bool)
+        new[1:] = (w[1:] != w[:-1]) | (v[1:] != v[:-1])
+        total = np.add.reduceat(n[:, order], np.flatnonzero(new), axis=1)
+        back = np.empty(len(w), np.int64)
+        back[order] = np.cumsum(new) - 1
+        rows, at = [], 0
+        for r in got:
+            k = len(r["v"]) // 8
+            rows.append(("a", r["chunk"], r["cell"], None, packed(total[:, back[at : at + k]].astype(np.uint32))))
+            at += k
+        learned = total.any(axis=0)
+        w, v, total = w[new][learned], v[new][learned], total[:, learned]
+        x = np.concatenate([total[:2], total[:2] + total[2:]])
+        rows.append(("c", -1, -1, None, packed(counts_of_counts(x))))
+        if len(w):
+            sums = (("w", *summed(w, (x > 0).astype(np.int64))), ("v", *summed(v, np.concatenate([x, x == 1, x == 2, x > 2]).astype(np.int64))))
+            for kind, keys, values in sums:
+                part = ((keys >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+                by = np.argsort(part, kind="stable")
+                rows += [(kind, -1, p, keys[by[a:b]].tobytes(), packed(values[:, by[a:b]])) for p, a, b in cuts(part[by])]
+        return batch_of(rows, MERGED)
+
+    return merge
+
+
+def discounts(c: np.ndarray) -> np.ndarray:
+    """What is taken from counts 0, 1, 2 and more, for each model: up to 3."""
+    return np.tile(np.arange(4.0), (len(c), 1))
+
+
+def add_words(d: np.ndarray):
+    """One range of words: for each chunk, its words' [times as context, backoff mass] by model, continuation counts by model, and shared count."""
+
+    def merge(t: pa.Table) -> pa.Table:
+        got = [(r["kind"], r["chunk"], r["part"], np.frombuffer(r["words"], np.uint64), unpacked(r["value"], np.int64).reshape(-1, len(r["words"]) // 8)) for r in t.to_pylist()]
+        words = np.unique(np.concatenate([w for kind, _, _, w, _ in got if kind == "q"]))
+        sums = {"q": np.zeros((1, len(words)), np.int64), "w": np.zeros((4, len(words)), np.int64), "v": np.zeros((16, len(words)), np.int64)}
+        for kind, _, _, w, value in got:
+            sums[kind][:, np.searchsorted(words, w)] += value  # the words of a row differ
+        times = sums["v"][:4]
+        backoff = sum(d[:, j, None] * sums["v"][4 * j : 4 * j + 4] for j in (1, 2, 3)) / np.maximum(times, 1)
+        out = np.concatenate([times, np.where(times > 0, backoff, 1), sums["w"], sums["q"]]).astype(np.float32)
+        rows = [("u", chunk, part, None, packed(out[:, np.searchsorted(words, w)])) for kind, chunk, part, w, _ in got if kind == "q"]
+        shared = np.array([[0, 0, 0, 0, (sums["q"] > 0).sum(), sums["q"].sum()]], np.int64)
+        rows.append(("c", -1, -1, None, packed(np.concatenate([counts_of_counts(sums["w"]), shared]))))
+        return batch_of(rows, MERGED)
+
+    return merge
+
+
+class Models:
+    """The global numbers of both classes' early and full models."""
+
+    def __init__(self, of_pairs: np.ndarray, of_words: np.ndarray) -> None:
+        self.d, self.low, self.kept = discounts(of_pairs), discounts(of_words[:4]), of_words[:4].astype(float)
+        self.vocabulary, self.tokens = (float(x) for x in of_words[4, 4:])
+        self.ready = [bool(of_pairs[2 * m : 2 * m + 2, 5].all()) for m in (0, 1)]
+
+    def ratios(self, c: Chunk, n: np.ndarray, u: np.ndarray, m: int) -> np.ndarray:
+        """log P(word | word before, toxic) - log P(word | word before, ordinary), for each distinct pair. n: counts by group; u: what add_words says of each word."""
+        base = (u[12] + 0.5) / (self.tokens + 0.5 * self.vocabulary)
+        p = []
+        for k in (2 * m, 2 * m + 1):
+            cont, total = u[8 + k], self.kept[k, 5]
+            low = base
+            if total:
+                free = self.low[k, 1:] @ self.kept[k, [0, 1, 4]]
+                low = (cont - self.low[k][np.minimum(cont, 3).astype(np.int64)] + free * base) / total
+            x = n[k - 2 * m].astype(float) + (n[2 + k - 2 * m] if m else 0)
+            high = (x - self.d[k][np.minimum(x, 3).astype(np.int64)]) / np.maximum(u[k][c.v], 1)
+            p.append(high + u[4 + k][c.v] * low[c.w])
+        # Steps of 2^-20 add up exactly, wherever in a chunk a document stands.
+        return np.round(np.clip(np.log(p[1]) - np.log(p[0]), -12, 12) * 2**20) / 2**20
+
+
+def features(r: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each document: mean ratio, that of its worst passage, its greatest and fifth greatest word ratios, log length."""
+    n = np.diff(bounds)
+    out = np.zeros((len(n), FEATURES))
+    total = np.concatenate([[0.0], np.cumsum(r)])
+    at = np.arange(len(r))
+    last = np.repeat(bounds[1:], n)
+    end = np.minimum(at + PASSAGE, last)
+    first = np.repeat(bounds[:-1], n)
+    begin = np.maximum(np.minimum(at, last - PASSAGE), first)
+    passage = (total[end] - total[begin]) / np.maximum(end - begin, 1)
+    full = np.flatnonzero(n)
+    if len(full):
+        s = bounds[full]
+        out[full, 0] = (total[bounds[full + 1]] - total[s]) / n[full]
+        out[full, 1] = np.maximum.reduceat(passage, s)
+        out[full, 2] = np.maximum.reduceat(r, s)
+        order = np.lexsort((-r, np.repeat(np.arange(len(n)), n)))
+        out[full, 3] = r[order][s + np.minimum(4, n[full] - 1)] * (n[full] > 4)
+        out[full, 4] = np.log1p(n[full])
+    return out
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -142,42 +297,32 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return beta
 
 
-class Scorer:
-    def __init__(self, model: Model, centre: np.ndarray, scale: np.ndarray, beta: np.ndarray) -> None:
-        self.model, self.centre, self.scale, self.beta = model, centre, scale, beta
-
-    def scores(self, column: pa.Array) -> np.ndarray:
-        out = [np.zeros(0)]
-        for words in W.tokenized(column, breaks=W.NOT_LETTER, fold=W.FOLD):
-            x = (self.model.features(words) - self.centre) / self.scale
-            out.append(1 / (1 + np.exp(-np.clip(self.beta[0] + x @ self.beta[1:], -30, 30))))
-        return np.concatenate(out)
+def measure(models: Models, parts: int, names: list[str]):
+    """A chunk and the answers to it, to its rows with the features by the full model (x) and by the early one (early)."""
 
+    def task(own: pa.Table, answers: pa.Table) -> pa.Table:
+        row = own.to_pylist()[0]
+        c = Chunk(row, parts)
+        n, u = np.zeros((GROUPS, len(c.w)), np.uint32), np.zeros((13, len(c.words)))
+        found = {(r["kind"], r["part"]): r["value"] for r in answers.to_pylist()}
+        for cell, a, b in cuts(c.cell):
+            n[:, a:b] = unpacked(found["a", cell], np.uint32).reshape(GROUPS, -1)
+        for part, a, b in cuts(c.part):
+            u[:, c.by_part[a:b]] = unpacked(found["u", part], np.float32).reshape(13, -1)
+        rows = pa.ipc.open_stream(row["rows"]).read_all()
+        x = [features(models.ratios(c, n, u, m)[c.pair], c.first) for m in (1, 0)]
+        at = pa.array(np.arange(rows.num_rows + 1) * FEATURES, pa.int32())
+        return pa.table([*(pa.ListArray.from_arrays(at, pa.array(y.reshape(-1))) for y in x), *rows.columns], ["x", "early", *names])
 
-def train(texts: DataFrame, sample: int = SAMPLE) -> Scorer:
-    """texts: text, toxic int (null: unlabelled, or not to be learned from), fold int (0 or 1) and pick long (a hash of the row)."""
-    group = F.when(F.col("toxic").isin(0, 1), F.col("fold") * 2 + F.col("toxic")).otherwise(F.lit(-1)).cast("int")
-    parts = texts.select("text", group.alias("g")).mapInArrow(count, PART)
-    tables = merged(parts, lambda name: SIZES[name[-1]])
-    model, early = Model(tables, (0, 1)), Model(tables, (0,))
-    rows = texts.filter((F.col("fold") == 1) & F.col("toxic").isin(0, 1))
+    return task
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            x = [m.features(w) for w in W.tokenized(batch.column(0), breaks=W.NOT_LETTER, fold=W.FOLD)]
-            x = np.concatenate([*x, np.zeros((0, FEATURES))])
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * FEATURES, pa.int32()), pa.array(x.reshape(-1))), batch.column(1), batch.column(2)], ["x", "toxic", "pick"])
 
-    shared = texts.sparkSession.sparkContext.broadcast(early)
-    found = rows.select("text", F.col("toxic").cast("int"), "pick").mapInArrow(measure, "x array<double>, toxic int, pick long").orderBy("pick", "toxic", "x").limit(sample).collect()
-    x, y = np.array([r.x for r in found]).reshape(-1, FEATURES), np.array([r.toxic for r in found], float)
-    if not early.ready or len(set(y)) < 2:  # too little to fit a curve: the mean ratio alone, from a low start
-        base = np.zeros(FEATURES + 1)
-        base[:2] = (np.log(0.05 / 0.95), 1.0 if model.ready else 0.0)
-        return Scorer(model, np.zeros(FEATURES), np.ones(FEATURES), base)
-    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    return Scorer(model, centre, scale, fit((x - centre) / scale, y))
+def total(rows: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """The sum of the 'c' rows, one from each cell or range."""
+    out = np.zeros(shape, np.int64)
+    for r in rows.filter("kind = 'c'").select("value").toLocalIterator():
+        out += unpacked(bytes(r.value), np.int64).reshape(shape)
+    return out
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = TOXIC_AT, sample: int = SAMPLE, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -194,24 +339,40 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).cast("int").alias("toxic"))
     small = labels.count() <= LABELS_BROADCAST
     rest = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(4))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    carried = [F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *carried)
     joined = base.join(F.broadcast(known) if small else known, base["id"] == known["__id"], "left")
-    texts = joined.select("text", F.when(rest != 2, F.col("toxic")).alias("toxic"), (rest == 3).cast("int").alias("fold"), F.xxhash64("id", "text").alias("pick"))
-    shared = spark.sparkContext.broadcast(train(texts, sample))
-
-    carried = [F.col(c).alias(f"c{k}") for k, c in enumerate(carry) if c != text_col]
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *carried)
-    held = ["text" if c == text_col else f"c{k}" for k, c in enumerate(carry)]
-    schema = T.StructType([source.schema["id"], T.StructField("score", T.DoubleType()), *(T.StructField(f"c{k}", source.schema[name].dataType) for k, name in enumerate(held))])
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = shared.value
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scorer.scores(batch.column("text"))), *(batch.column(name) for name in held)], schema.names)
-
-    found = source.mapInArrow(task, schema)
-    held = F.coalesce(rest == 2, F.lit(False))
-    return found.select(F.col("id").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(f"c{k}").alias(c) for k, c in enumerate(carry) if c != "doc_id"))
+    toxic = F.when(rest != 2, F.col("toxic"))
+    group = F.when(toxic.isNotNull(), (rest == 3).cast("int") * 2 + toxic).otherwise(F.lit(-1)).cast("int")
+    names = ["id", "g", "pick", *(f"c{k}" for k in range(len(carry)))]
+    source = joined.select("text", "id", group.alias("g"), F.xxhash64("id", "text").alias("pick"), *names[3:])
+
+    cut = materialize(source.mapInArrow(chunks(names), CHUNKS), "toxicity-chunks")
+    parts = 16 + (cut.agg(F.sum("tokens")).first()[0] or 0) // CELL
+    bare = cut.drop("rows")
+    of_pairs = materialize(bare.mapInArrow(pairs(parts), PAIRS).groupBy("cell").applyInArrow(add_pairs(parts), MERGED), "toxicity-pairs")
+    coc = total(of_pairs, (4, 6))
+    words = bare.mapInArrow(asked(parts), MERGED).unionByName(of_pairs.filter(F.col("kind").isin("w", "v")))
+    of_words = materialize(words.groupBy("part").applyInArrow(add_words(discounts(coc)), MERGED), "toxicity-words")
+    models = Models(coc, total(of_words, (5, 6)))
+    answers = of_pairs.filter("kind = 'a'").unionByName(of_words.filter("kind = 'u'")).drop("words")
+    schema = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("early", T.ArrayType(T.DoubleType())), *(source.schema[c] for c in names)])
+    found = materialize(cut.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(measure(models, parts, names), schema), "toxicity")
+    discard(cut, of_pairs, of_words)
+
+    rows = found.filter("g >= 2").select("early", (F.col("g") - 2).alias("toxic"), "pick").orderBy("pick", "toxic", "early").limit(sample).collect()
+    x, y = np.array([r.early for r in rows]).reshape(-1, FEATURES), np.array([r.toxic for r in rows], float)
+    if not models.ready[0] or len(set(y)) < 2:  # too little to fit a curve: the mean ratio alone, from a low start
+        centre, scale, beta = np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1)
+        beta[:2] = (np.log(0.05 / 0.95), 1.0 if models.ready[1] else 0.0)
+    else:
+        centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+        beta = fit((x - centre) / scale, y)
+    z = F.lit(float(beta[0]))
+    for k in range(FEATURES):
+        z = z + (F.col("x")[k] - float(centre[k])) / float(scale[k]) * float(beta[k + 1])
+    scored = found.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z)))))
+    return scored.select(F.col("id").alias("doc_id"), F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(f"c{k}").alias(c) for k, c in enumerate(carry) if c != "doc_id"))
 
 
 def query(spark, sf_dir):

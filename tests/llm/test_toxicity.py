@@ -1,5 +1,10 @@
 import random
 import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from srcatlas.llm import toxicity
 
@@ -72,3 +77,34 @@ def test_labels_beyond_the_broadcast_bound(spark, monkeypatch):
     small = {r.doc_id: r.score for r in toxicity.score(df, labels).collect()}
     monkeypatch.setattr(toxicity, "LABELS_BROADCAST", 10)
     assert {r.doc_id: r.score for r in toxicity.score(df, labels).collect()} == small
+
+
+def test_counts_are_exact_over_chunks_and_cells():
+    rng = np.random.default_rng(4)
+    words = np.concatenate([np.zeros(1, np.uint64), np.unique(rng.integers(1, 2**63, 3000).astype(np.uint64))])
+    held, truth = [], Counter()
+    for k in range(3):
+        seq = rng.integers(1, len(words), 20000).astype(np.uint32)
+        first, groups = np.arange(0, 20001, 100), rng.integers(-1, 4, 200).astype(np.int32)
+        row = {"chunk": k, "words": words.tobytes(), "seq": toxicity.packed(seq), "first": first.tobytes(), "groups": groups.tobytes(), "rows": b""}
+        held.append(row)
+        for at, w in enumerate(seq.tolist()):
+            if groups[at // 100] >= 0:
+                truth[0 if at % 100 == 0 else int(seq[at - 1]), w, int(groups[at // 100])] += 1
+    parts = 7
+    cells = pa.Table.from_batches(list(toxicity.pairs(parts)(iter([pa.RecordBatch.from_pylist(held)]))))
+    merged = [r for c in set(cells["cell"].to_pylist()) for r in toxicity.add_pairs(parts)(cells.filter(pc.equal(cells["cell"], c))).to_pylist()]
+    for row in held:
+        chunk = toxicity.Chunk(row, parts)
+        answers = {r["part"]: r["value"] for r in merged if r["kind"] == "a" and r["chunk"] == row["chunk"]}
+        for cell, a, b in toxicity.cuts(chunk.cell):
+            n = toxicity.unpacked(answers[cell], np.uint32).reshape(4, -1)
+            assert all(n[g, k - a] == truth[int(chunk.v[k]), int(chunk.w[k]), g] for k in range(a, b) for g in range(4))
+    at = {int(h): k for k, h in enumerate(words.tolist())}
+    continuations = Counter()
+    for r in merged:
+        if r["kind"] == "w":
+            n = toxicity.unpacked(r["value"], np.int64).reshape(4, -1)
+            for k, h in enumerate(np.frombuffer(r["words"], np.uint64).tolist()):
+                continuations[at[h]] += int(n[3, k])
+    assert continuations == Counter(w for _, w in {(v, w) for v, w, g in truth if g % 2})
