@@ -3,8 +3,9 @@
 Two bigram models, of toxic and of ordinary training rows, are compared by
 length-normalised log-likelihood. Counts of (word before, word) are interpolated with
 continuation counts, the numbers of different words before a word, and those with
-counts that both models share, gathered over all documents. The discount takes
-the first counts of every expression away.
+counts that both models share, gathered over all documents. Discounts are modified
+Kneser-Ney: one each for counts of one, two and more, estimated from the counts of
+counts, always below the count, so that what was seen once keeps mass.
 
 All counts are exact and keyed by 64-bit word hashes; no table is held whole anywhere.
 Documents become chunks: distinct words and the sequence of their indices. A chunk
@@ -210,8 +211,14 @@ def add_pairs(parts: int):
 
 
 def discounts(c: np.ndarray) -> np.ndarray:
-    """What is taken from counts 0, 1, 2 and more, for each model: up to 3."""
-    return np.tile(np.arange(4.0), (len(c), 1))
+    """Modified Kneser-Ney discounts of counts 0, 1, 2 and more, for each model, from its counts of counts; each below its count."""
+    out = np.zeros((len(c), 4))
+    for k, n in enumerate(c[:, :4].astype(float)):
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        for j in (1, 2, 3):
+            d = j - (j + 1) * y * n[j] / n[j - 1] if n[j - 1] else y
+            out[k, j] = np.clip(d, 0.05, 0.95 * j)
+    return out
 
 
 def add_words(d: np.ndarray):

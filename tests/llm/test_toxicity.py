@@ -79,6 +79,29 @@ def test_labels_beyond_the_broadcast_bound(spark, monkeypatch):
     assert {r.doc_id: r.score for r in toxicity.score(df, labels).collect()} == small
 
 
+def spread(n, seed=5):
+    """Toxic rows hold words of their own, and ordinary rows others that are as rare: each is seen in about two training rows."""
+    rng = random.Random(seed)
+    names = [f"{z}{a}{b}{c}" for z in ("zu", "qo", "fi", "wa", "hy") for a in "bdfgk" for b in "aeiou" for c in "lmnprst"]
+    rng.shuffle(names)
+    cut = len(names) // 5
+    docs = []
+    for i, text, _ in corpus(n, seed):
+        toxic = int(i % 5 == 0)
+        docs.append((i, " ".join([*text.split()[:20], *(rng.choice(names[:cut] if toxic else names[cut:]) for _ in range(3))]), toxic))
+    return docs
+
+
+def test_rare_markers_are_evidence(spark):
+    docs = spread(700)
+    held = {i for i, _, _ in docs if zlib.crc32(str(i).encode()) % 4 == 2}
+    out = toxicity.score(spark.createDataFrame([(i, t, "x") for i, t, _ in docs], SCHEMA), spark.createDataFrame([(i, y, 0) for i, _, y in docs], LABELS)).collect()
+    got = {r.doc_id: r.predicted for r in out}
+    toxic = [got[i] for i, _, y in docs if y and i in held]
+    clean = [got[i] for i, _, y in docs if not y and i in held]
+    assert sum(toxic) / len(toxic) > 0.8 and sum(clean) / len(clean) < 0.1
+
+
 def test_counts_are_exact_over_chunks_and_cells():
     rng = np.random.default_rng(4)
     words = np.concatenate([np.zeros(1, np.uint64), np.unique(rng.integers(1, 2**63, 3000).astype(np.uint64))])
@@ -108,3 +131,10 @@ def test_counts_are_exact_over_chunks_and_cells():
             for k, h in enumerate(np.frombuffer(r["words"], np.uint64).tolist()):
                 continuations[at[h]] += int(n[3, k])
     assert continuations == Counter(w for _, w in {(v, w) for v, w, g in truth if g % 2})
+
+
+def test_discounts_stay_below_their_counts():
+    d = toxicity.discounts(np.array([[100, 40, 20, 12, 90, 500], [0, 0, 0, 0, 0, 0], [5, 0, 9, 1, 9, 40]]))
+    assert (d[:, 1:] > 0).all() and (d[:, 1:] < [1, 2, 3]).all()
+    y = 100 / 180
+    assert np.allclose(d[0, 1:], [1 - 2 * y * 0.4, 2 - 3 * y * 0.5, 3 - 4 * y * 0.6])
