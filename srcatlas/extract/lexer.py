@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -59,8 +60,13 @@ def _pattern(family: str) -> re.Pattern[str]:
 
 def tokenize(source: str, language: str) -> list[Token]:
     """All tokens in order, comments among them; white space is left out."""
+    return list(tokens(source, language))
+
+
+def tokens(source: str, language: str) -> Iterator[Token]:
+    """As tokenize, but only as far as they are asked for."""
     family = FAMILY.get(language, language)
-    pattern, out = _pattern(family), []
+    pattern = _pattern(family)
     at, line, begin = 0, 1, 0
     n = len(source)
     previous: Token | None = None
@@ -84,10 +90,9 @@ def tokenize(source: str, language: str) -> list[Token]:
             line = token.end_line
             begin = at + text.rindex("\n") + 1
         at += len(text)
-        out.append(token)
+        yield token
         if kind != "comment":
             previous = token
-    return out
 
 
 def _regex_may_stand(previous: Token | None) -> bool:

@@ -6,7 +6,7 @@ import re
 
 from srcatlas.extract import markdown
 from srcatlas.extract.base import clean_block, unquote
-from srcatlas.extract.lexer import tokenize
+from srcatlas.extract.lexer import tokens
 
 DECORATION = re.compile(r"^[\s=\-*#~_/+]*$")
 COPYRIGHT = re.compile(r"copyright|licen[sc]e|spdx|all rights reserved", re.I)
@@ -49,7 +49,7 @@ def _jsdoc(text: str) -> str:
 def _leading(source: str, language: str) -> list[str]:
     """The comments before any code."""
     out = []
-    for t in tokenize(source[:20_000], language):
+    for t in tokens(source, language):
         if t.kind != "comment":
             break
         out.append(t.text)
@@ -62,8 +62,8 @@ def of(source: str, language: str | None) -> tuple[str | None, str | None]:
     if language == "markdown":
         return _markdown(source)
     if language == "python":
-        tokens = [t for t in tokenize(source[:50_000], "python") if t.kind != "comment"]
-        return split(unquote(tokens[0].text)) if tokens and tokens[0].kind == "string" else (None, None)
+        first = next((t for t in tokens(source, "python") if t.kind != "comment"), None)
+        return split(unquote(first.text)) if first and first.kind == "string" else (None, None)
     comments = _leading(source, language)
     if language == "rust":
         doc = [clean_block(c) if c.startswith("/*!") else c[3:].strip() for c in comments if c.startswith(("//!", "/*!"))]

@@ -177,3 +177,12 @@ def test_build(spark):
     levels = {r.name: r.visibility_level for r in ix.symbols.collect()}
     assert levels["Person"] == 1 and levels["Person._greet"] == 2 and levels["__hidden"] == 3 and levels["T"] == 3
     assert ix.refs.filter("caller = 'main'").count() == 1
+
+
+@pytest.mark.parametrize("language, header, doc", [("rust", "// a line of the licence\n", "//! Title here\n"), ("csharp", "// a line of the licence\n", "/// <summary>Title here</summary>\nclass A {}\n"), ("python", "# a line of the licence\n", '"""Title here"""\n')])
+def test_metadata_after_a_long_header(language, header, doc):
+    assert metadata.of(header * 4000 + doc, language)[0] == "Title here"
+
+
+def test_metadata_of_one_long_comment():
+    assert metadata.of("/**\n * Title here\n *\n * " + "word " * 6000 + "end.\n */\nint a;\n", "java") == ("Title here", "word " * 6000 + "end.")
