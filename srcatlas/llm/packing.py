@@ -5,12 +5,15 @@ lengths, at most `capacity` counts, goes to the driver. There multiplicative wei
 solve the configuration LP: each step prices the lengths, a knapsack by dynamic
 programming finds the most valuable sequence layout, and the prices of the lengths it
 covers fall. Layouts are rounded down to whole uses, the rest is solved again, and
-what is left at last goes best fit into sequences of its own. The plan says which
+what is left at last goes best fit into sequences of its own. Prices also prove how few
+sequences any plan can have; a plan far from that is tried again by knapsacks alone. The plan says which
 ranks of each length go where; every piece finds its place from its length and rank.
 """
 
 from __future__ import annotations
 
+import logging
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -24,8 +27,12 @@ from srcatlas.llm import bpe
 from srcatlas.llm._store import bound_batches, materialize
 
 CAPACITY, END_ID = 4096, 1
-#: Steps of multiplicative weights in one LP, how hard prices fall, and LPs over what rounding leaves.
+#: For the first attempt at a plan: steps of multiplicative weights in one LP, how hard prices fall, and LPs over what rounding leaves.
 STEPS, RATE, LPS = 24, 0.5, 3
+#: How far above the bound that the prices prove a plan may be without another attempt.
+GAP = 0.01
+#: How much dearer for its size a longer piece is where knapsacks alone make a plan.
+LONG = 0.05
 #: Buckets over which the ranks of one length are counted, so that a hot length is spread.
 BUCKETS = 64
 
@@ -67,10 +74,13 @@ def fill(uses: np.ndarray, lengths: np.ndarray, left: np.ndarray, capacity: int)
     return out
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """A plan: (times, lengths, multiplicities) of each layout, which together use every piece once."""
-    order = np.argsort(lengths)
-    lengths, left = np.asarray(lengths, np.int64)[order], np.asarray(counts, np.int64)[order].copy()
+def attempt(lengths: np.ndarray, counts: np.ndarray, capacity: int, steps: int, rounds: int) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], float]:
+    """A plan from so many steps in each of so many LPs, and the best lower bound on any plan that its prices prove.
+
+    Without LPs, every layout is a knapsack over what is left, longer pieces slightly
+    dearer, used as often as it can be.
+    """
+    left, bound = counts.copy(), float(counts @ lengths) / capacity
     plan: list[tuple[int, np.ndarray, np.ndarray]] = []
 
     def use(layout: np.ndarray, times: int) -> None:
@@ -78,40 +88,71 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) ->
         held = np.flatnonzero(layout)
         plan.append((times, lengths[held], layout[held]))
 
-    if len(lengths) and lengths[-1] == capacity and left[-1]:
-        only = np.zeros(len(lengths), np.int64)
-        only[-1] = 1
-        use(only, int(left[-1]))
-    for _ in range(LPS):
+    for k in range(rounds):
         live = np.flatnonzero(left)
-        if int(left @ lengths) <= 64 * capacity:
+        if not len(live):
             break
         size, demand = lengths[live], left[live].astype(float)
-        prices, covered = size / capacity, np.zeros(len(live))
+        prices, covered, total, dual = size / capacity, np.zeros(len(live)), 0.0, float(left @ lengths) / capacity
         layouts: dict[bytes, list] = {}
-        for _ in range(STEPS):
-            a = fill(knapsack(size, prices, capacity), size, left[live], capacity)
+        for _ in range(steps):
+            best = knapsack(size, prices, capacity)
+            dual = max(dual, float(prices @ demand / (prices @ best)))  # these prices, over the dearest layout, are feasible for the dual
+            a = fill(best, size, left[live], capacity)
             held = a > 0
             step = max(1.0, float(np.min(demand[held] / a[held])) / 2)
             layouts.setdefault(a.tobytes(), [a, 0.0])[1] += step
             covered += a * step
-            prices = size / capacity * np.exp(-RATE * np.minimum(covered / demand, 60) * 4)
-        # scale to a cover, then round down, most used first
-        scale = 1 / max(float(np.max(covered / demand)), 1e-9)
-        before = int(left.sum())
+            total += step
+            share = covered / demand
+            if total <= (1 + GAP) * dual * share.min():  # scaled to a cover, the layouts are within GAP of the dual
+                break
+            prices = size / capacity * np.exp(-4 * RATE * np.minimum(share, 60))
+        if k == 0:
+            bound = max(bound, dual)
+        # scale down to what is there, then round down, most used first; the next LP is over what that leaves
+        scale = 1 / float(np.max(covered / demand))
         for a, x in sorted(layouts.values(), key=lambda v: -v[1]):
             held = a > 0
-            times = min(int(x * max(scale, 1e-9)) or 1, int(np.min(left[live][held] // a[held])))
+            times = min(int(x * scale) or 1, int(np.min(left[live][held] // a[held])))
             if times > 0:
                 whole = np.zeros(len(lengths), np.int64)
                 whole[live] = a
                 use(whole, times)
-        if int(left.sum()) == before:
-            break
+    while left.any() and not rounds:
+        live = np.flatnonzero(left)
+        size = lengths[live] / capacity
+        a = np.zeros(len(lengths), np.int64)
+        a[live] = fill(knapsack(lengths[live], size * (1 + LONG * size), capacity), lengths[live], left[live], capacity)
+        use(a, int(np.min(left[a > 0] // a[a > 0])))
     while left.any():  # best fit for the rest: the longest left, then the longest that fits beside it
         a = fill(np.zeros(len(lengths), np.int64), lengths, left, capacity)
         use(a, int(np.min(left[a > 0] // a[a > 0])))
-    return plan
+    return plan, bound
+
+
+def solved(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], int]:
+    """A plan of (times, lengths, multiplicities) of each layout, which together use every piece once; and a lower bound on the sequences of any plan.
+
+    If the plan of the LPs is not within GAP (or one sequence) of the bound, knapsacks
+    alone make another, and the better one is taken.
+    """
+    order = np.argsort(lengths)
+    lengths, counts = np.asarray(lengths, np.int64)[order], np.asarray(counts, np.int64)[order]
+    lengths, counts = lengths[counts > 0], counts[counts > 0]
+    plan: list[tuple[int, np.ndarray, np.ndarray]] = []
+    if not len(lengths):
+        return plan, 0
+    plan, lower = attempt(lengths, counts, capacity, STEPS, LPS)
+    made, bound = sum(t for t, _, _ in plan), math.ceil(lower - 1e-6)
+    if made > bound + max(1, int(GAP * bound)):
+        other, _ = attempt(lengths, counts, capacity, 0, 0)
+        plan = min(plan, other, key=lambda p: sum(t for t, _, _ in p))
+    return plan, bound
+
+
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    return solved(lengths, counts, capacity)[0]
 
 
 class Places:
@@ -173,7 +214,9 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     bound_batches(docs.sparkSession)
     cut = materialize(pieces(docs, vocabulary, id_col, text_col, capacity, end_id, with_ids), "pieces")
     histogram = cut.groupBy("length").count().collect()  # at most `capacity` rows
-    places = Places(solve(np.array([r["length"] for r in histogram], np.int64), np.array([r["count"] for r in histogram], np.int64), capacity))
+    plan, bound = solved(np.array([r["length"] for r in histogram], np.int64), np.array([r["count"] for r in histogram], np.int64), capacity)
+    places = Places(plan)
+    logging.getLogger(__name__).info("%d sequences, at least %d needed", places.sequences, bound)
     bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS))
     dealt = cut.withColumn("bucket", bucket)
     counts = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))  # at most capacity * BUCKETS rows

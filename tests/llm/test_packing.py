@@ -83,3 +83,10 @@ def test_odd_rows(spark):
     assert all(len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in out)
     assert len({(r.sequence_id, r.offset) for r in out}) == len(out) and len({r.sequence_id for r in out}) == 5
     assert packing.pack(df.limit(0), path).count() == 0
+
+
+def test_many_lengths_without_fillers():
+    a, n = np.unique(np.random.default_rng(3).integers(225, 475, 1500), return_counts=True)
+    made = check_plan(a.tolist(), n.tolist(), 1024)
+    _, bound = packing.solved(a, n, 1024)
+    assert -(-int(a @ n) // 1024) <= bound <= made <= 1.06 * bound
