@@ -3,6 +3,10 @@
 A word is a maximal run of characters other than space, tab, LF, VT, FF and CR.
 Those six are ASCII, so words are found on the UTF-8 bytes of a whole Arrow
 column at once. Hashes are 64 bits wide; all arithmetic wraps modulo 2**64.
+
+A word's hash is the sum of a random number for each (place, byte) in it: tabulation
+hashing, under which any two words of whatever structure meet with probability 2**-64.
+Other salts give hashes that are independent of it.
 """
 
 from __future__ import annotations
@@ -18,8 +22,9 @@ IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Bytes of text handled at once; a longer document is handled alone, whole.
 CHUNK_BYTES = 1 << 19
 
-_BYTE = np.random.default_rng(20011).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE, _SPAN_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: Places in a word whose random numbers are kept in a table; those beyond are computed.
+_PLACES = 64
+_SPAN_BASE = 0xC2B2AE3D27D4EB4F
 
 
 class _Powers:
@@ -41,7 +46,8 @@ class _Powers:
         return np.multiply.accumulate(out)
 
 
-_BYTES, _SPANS = _Powers(_BASE), _Powers(_SPAN_BASE)
+_SPANS = _Powers(_SPAN_BASE)
+_TABLES: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,6 +57,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _numbers(index: np.ndarray, salt: int) -> np.ndarray:
+    return mix(mix(index + np.uint64(0x9E3779B97F4A7C15)) + np.uint64(salt * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
+
+
 class Words(NamedTuple):
     """Words of documents lo..hi of a column. first has one entry more than there are documents."""
 
@@ -62,11 +72,21 @@ class Words(NamedTuple):
     end: np.ndarray
     first: np.ndarray  # index of each document's first word
 
-    def hashes(self) -> np.ndarray:
-        up, down = _BYTES.of(len(self.data) + 1)
+    def hashes(self, salt: int = 0) -> np.ndarray:
+        if salt not in _TABLES:
+            _TABLES[salt] = _numbers(np.arange(_PLACES << 8, dtype=np.uint64), salt)
+        at = np.arange(len(self.data))
+        begin = np.zeros(len(self.data), np.int64)
+        begin[self.start] = self.start
+        place = at - np.maximum.accumulate(begin)  # of a byte in its word; of no use between words
+        index = place << 8 | self.data
+        number = _TABLES[salt][np.minimum(index, (_PLACES << 8) - 1)]
+        if len(self.start) and int((self.end - self.start).max()) > _PLACES:
+            far = np.flatnonzero(place >= _PLACES)
+            number[far] = _numbers(index[far].astype(np.uint64), salt)
         total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * up[:-1], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        np.cumsum(number, out=total[1:])
+        return mix((total[self.end] - total[self.start]) + (self.end - self.start).astype(np.uint64))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -75,9 +95,9 @@ class Words(NamedTuple):
         return np.repeat(np.arange(self.hi - self.lo), self.counts())
 
 
-def spans(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+def spans(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of each sequence of words start..end, over word hashes."""
-    x = mix(hashes ^ np.uint64(salt)) if salt else hashes
+    x = hashes
     up, down = _SPANS.of(len(x) + 1)
     total = np.zeros(len(x) + 1, np.uint64)
     np.cumsum(x * up[:-1], out=total[1:])
