@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,22 +29,59 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: this cuts lineage and survives lost executors."""
+#: Spark's own setting: the shuffle files of a query go as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: this cuts lineage, survives lost executors, and frees the shuffle files behind it at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with freed(spark):
+        written = df.write.option("compression", "zstd")
+        (written.partitionBy(by) if by else written).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As materialize, in buckets by key, so that grouping by it needs no shuffle of the table."""
+    spark = df.sparkSession
+    unique = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_dir(spark)}/{unique}"
+    with freed(spark):
+        df.write.option("compression", "zstd").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).format("parquet").saveAsTable(unique)
+    out = spark.table(unique)
+    out._scratch, out._name = path, unique
+    return out
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def drop_part(df: DataFrame, *folders: str) -> None:
+    """Delete parts of a table materialized by a column, which no plan reads any more."""
+    for folder in folders:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{df._scratch}/{folder}")
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that no plan reads any more."""
     for df in tables:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if hasattr(df, "_name"):
+            spark.sql(f"DROP TABLE IF EXISTS {df._name}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,21 +7,25 @@ counts that both models share, gathered over all documents. Discounts are modifi
 Kneser-Ney: one each for counts of one, two and more, estimated from the counts of
 counts, always below the count, so that what was seen once keeps mass.
 
-All counts are exact and keyed by 64-bit word hashes; no table is held whole anywhere.
+Counts are exact and keyed by 44-bit word keys; no table is held whole anywhere.
 Documents become chunks: distinct words and the sequence of their indices. A chunk
-sends its distinct pairs with their counts, cut into cells by hash; a cell adds them up,
-answers every chunk with the totals of its own pairs, and hands on what the pairs say
-about single words. These sums meet the chunks' words in ranges in the same way. A
-chunk then has all counts that its words need. Cells and ranges grow with the tokens.
-
-A logistic curve over the document's mean, its worst passage's and its highest words'
-log ratios makes a probability of the comparison. It is fitted on at most `sample`
-training rows, with models that have not seen these rows.
+sends the distinct pairs of its training rows with their counts, and a 32-bit key of
+each pair that it only wants to know, sorted and as differences, cut into cells by hash.
+A cell adds up, answers every chunk with the totals of its pairs, and hands on what the
+pairs say about single words. These sums meet the chunks' words in ranges in the same
+way. A chunk then has all counts that its words need. Cells and ranges grow with the
+tokens, so a key that was asked for meets a wrong pair of its cell less than once in
+2000, at every size.
+
+A logistic curve over length-normalised log ratios, those of the document, its worst
+passage, its five worst words and the worst one, beside the length, makes a probability
+of the comparison: a long text may hold few toxic words, and its mean alone would hide
+them. It is fitted on at most `sample` training rows, with models that have not seen
+these rows.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,28 +36,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from srcatlas.llm import words as W
-from srcatlas.llm._store import bound_batches, discard, materialize
+from srcatlas.llm._store import bound_batches, bucketed, discard, drop_part, materialize
 
 #: Bytes of text in a chunk (a longer document is one alone), and tokens for each cell of pairs and range of words.
-CHUNK, CELL = 8 << 20, 1 << 20
+CHUNK, CELL = 16 << 20, 1 << 23
 #: Words of a passage; training rows for the curve; the score from which a document counts as toxic.
 PASSAGE, SAMPLE, TOXIC_AT = 24, 20000, 0.3
 #: Label rows up to which they are broadcast; beyond, the join is shuffled.
 LABELS_BROADCAST = 1_000_000
 #: Groups of counts are 2 * fold + class; models are 2 * (0 early, 1 full) + class.
 GROUPS, FEATURES = 4, 5
-CHUNKS = "chunk long, tokens long, words binary, seq binary, first binary, groups binary, rows binary"
-PAIRS = "cell int, chunk long, w binary, m binary, v binary, n binary"
-MERGED = "kind string, chunk long, part int, words binary, value binary"
+WORD_BITS, KEY_BITS = 44, 32
+CHUNKS = "chunk long, tokens long, keys binary, times binary, seq binary, first binary, groups binary, rows binary"
+PAIRS = "cell int, chunk long, words binary, m binary, v binary, n binary, asked binary"
+MERGED = "kind string, chunk long, part int, words binary, value binary, hits binary"
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Small numbers, mostly zeros: a tenth of their size at little cost."""
-    return zlib.compress(np.ascontiguousarray(x), 1)
+    """Numbers by their bytes' places, compressed: leading zeros cost nothing."""
+    x = np.ascontiguousarray(x).reshape(-1)
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def unpacked(blob: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), kind)
+    n, size = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(blob[8:], n * size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(kind)
+
+
+def ascending(x: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers as differences."""
+    return packed(np.diff(x, prepend=np.uint64(0)))
+
+
+def ascended(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(blob, np.uint64), dtype=np.uint64)
+
+
+def pair_hash(w: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return W.mix(w * np.uint64(0x9E3779B97F4A7C15) + W.mix(v + np.uint64(0x632BE59BD9B4E019)))
+
+
+def ranges(words: np.ndarray, parts: int) -> np.ndarray:
+    """The range of each word key; in order of the keys."""
+    return ((words >> np.uint64(WORD_BITS - 24)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
 
 
 def chunks(carry: list[str]):
@@ -62,16 +91,18 @@ def chunks(carry: list[str]):
     def pack(held: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
         found = [(w.hashes(), w.counts()) for w in W.tokenized(t["text"], breaks=W.NOT_LETTER, fold=W.FOLD)]
-        h = np.concatenate([x for x, _ in found])
+        h = np.maximum(np.concatenate([x for x, _ in found]) >> np.uint64(64 - WORD_BITS), 1)  # 0 opens a document
         first = np.concatenate([[0], *(n for _, n in found)]).cumsum()
-        words, seq = np.unique(h, return_inverse=True)
-        words = np.concatenate([np.zeros(1, np.uint64), words])  # 0 opens a document
+        words, seq, times = np.unique(h, return_inverse=True, return_counts=True)
+        by_times = np.argsort(-times, kind="stable")  # common words get small numbers
+        rank = np.empty(len(words), np.uint32)
+        rank[by_times] = np.arange(1, len(words) + 1, dtype=np.uint32)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, t.select(carry).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(t.select(carry))
-        blobs = (words.tobytes(), packed((seq + 1).astype(np.uint32)), first.astype(np.int64).tobytes(), t["g"].to_numpy().astype(np.int32).tobytes(), sink.getvalue().to_pybytes())
+        blobs = (ascending(words), packed(times.astype(np.uint32)), packed(rank[seq]), packed(np.diff(first).astype(np.uint32)), packed(t["g"].to_numpy().astype(np.int32)), sink.getvalue().to_pybytes())
         name = TaskContext.get().partitionId() << 32 | k
-        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(h)]), *(pa.array([b], pa.binary()) for b in blobs)], ["chunk", "tokens", "words", "seq", "first", "groups", "rows"])
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(h)]), *(pa.array([b], pa.binary()) for b in blobs)], ["chunk", "tokens", "keys", "times", "seq", "first", "groups", "rows"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, k = [], 0, 0
@@ -88,36 +119,49 @@ def chunks(carry: list[str]):
     return task
 
 
+def vocabulary_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's words in order of their keys, 0 before all, and how often each stands in it."""
+    return np.concatenate([np.zeros(1, np.uint64), ascended(row["keys"])]), np.concatenate([[0], unpacked(row["times"], np.uint32).astype(np.int64)])
+
+
 class Chunk:
-    """A chunk's tokens, and its distinct pairs in the order of cells, words, words before."""
+    """A chunk's tokens, and its distinct pairs in the order of cells; in a cell those of training rows, by word, before the others, by key."""
 
     def __init__(self, row: dict, parts: int) -> None:
-        self.words, self.seq = np.frombuffer(row["words"], np.uint64), unpacked(row["seq"], np.uint32)
-        self.first = np.frombuffer(row["first"], np.int64)
-        n = np.diff(self.first)
-        self.own = np.repeat(np.frombuffer(row["groups"], np.int32), n)
-        before = np.zeros_like(self.seq)
-        before[1:] = self.seq[:-1]
+        self.words, times = vocabulary_of(row)
+        by_times = np.concatenate([[0], 1 + np.argsort(-times[1:], kind="stable")])
+        seq = by_times.astype(np.uint32)[unpacked(row["seq"], np.uint32)]
+        n = unpacked(row["first"], np.uint32).astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(n)])
+        own = np.repeat(unpacked(row["groups"], np.int32).astype(np.int8), n)
+        before = np.zeros_like(seq)
+        before[1:] = seq[:-1]
         before[self.first[:-1][n > 0]] = 0
-        code = self.seq.astype(np.uint64) << np.uint64(32) | before
+        code = seq.astype(np.uint64) << np.uint64(32) | before.astype(np.uint64)
         order = np.argsort(code)
         code = code[order]
         new = np.ones(len(code), bool)
         new[1:] = code[1:] != code[:-1]
+        at = np.empty(len(seq), np.int32)
+        at[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        del order
         code = code[new]
-        w, v = (code >> np.uint64(32)).astype(np.int64), (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        # A common word's pairs go to several cells once there are many.
-        across = 1 + parts // 64
-        cell = (self.words[w] >> np.uint64(40)) % np.uint64(parts) * np.uint64(across) + (self.words[v] >> np.uint64(40)) % np.uint64(across)
-        by_cell = np.argsort(cell, kind="stable")
-        self.w, self.v, self.cell = w[by_cell], v[by_cell], cell[by_cell].astype(np.int64)
-        rank = np.empty(len(w), np.int64)
-        rank[by_cell] = np.arange(len(w))
-        self.pair = np.empty(len(self.seq), np.int64)
-        self.pair[order] = rank[np.cumsum(new) - 1]
-        part = ((self.words >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-        self.by_part = np.argsort(part, kind="stable")
-        self.part = part[self.by_part]
+        w, v = (code >> np.uint64(32)).astype(np.int32), (code & np.uint64(0xFFFFFFFF)).astype(np.int32)
+        learned = np.zeros(len(w), bool)
+        learned[at[own >= 0]] = True
+        h = pair_hash(self.words[w], self.words[v])
+        cell = (h >> np.uint64(40)) % np.uint64(parts)
+        key = h & np.uint64((1 << KEY_BITS) - 1)
+        place = np.where(learned, np.arange(len(w), dtype=np.uint64), key)
+        by_cell = np.argsort((cell << np.uint64(1) | ~learned) << np.uint64(KEY_BITS) | place, kind="stable")
+        self.w, self.v, self.key, self.learned, self.cell = w[by_cell], v[by_cell], key[by_cell], learned[by_cell], cell[by_cell].astype(np.int64)
+        rank = np.empty(len(w), np.int32)
+        rank[by_cell] = np.arange(len(w), dtype=np.int32)
+        self.pair, self.own = rank[at], own
+
+    def counts(self) -> np.ndarray:
+        """How often each pair stands in rows of each group."""
+        return np.stack([np.bincount(self.pair[self.own == g], minlength=len(self.w)) for g in range(GROUPS)]).astype(np.uint32)
 
 
 def cuts(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -137,11 +181,12 @@ def pairs(parts: int):
         for batch in batches:
             for row in batch.to_pylist():
                 c = Chunk(row, parts)
-                n = np.stack([np.bincount(c.pair[c.own == g], minlength=len(c.w)) for g in range(GROUPS)]).astype(np.uint32)
-                rows = []
+                n, rows = c.counts(), []
                 for cell, a, b in cuts(c.cell):
-                    runs = [(w, y - x) for w, x, y in cuts(c.w[a:b])]
-                    rows.append((cell, row["chunk"], c.words[[w for w, _ in runs]].tobytes(), packed(np.array([m for _, m in runs], np.uint32)), c.words[c.v[a:b]].tobytes(), packed(n[:, a:b])))
+                    k = a + int(c.learned[a:b].sum())
+                    used = np.unique(np.concatenate([c.w[a:k], c.v[a:k]]))  # both words of a pair as places in these
+                    m = np.bincount(np.searchsorted(used, c.w[a:k]), minlength=len(used)).astype(np.uint32)
+                    rows.append((cell, row["chunk"], ascending(c.words[used]), packed(m), packed(np.searchsorted(used, c.v[a:k]).astype(np.uint32)), packed(n[:, a:k]), ascending(c.key[k:b])))
                 yield from batch_of(rows, PAIRS).to_batches()
 
     return task
@@ -153,11 +198,8 @@ def asked(parts: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                words, seq = np.frombuffer(row["words"], np.uint64), unpacked(row["seq"], np.uint32)
-                n = np.bincount(seq, minlength=len(words)).astype(np.int64)
-                part = ((words >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-                by = np.argsort(part, kind="stable")
-                rows = [("q", row["chunk"], p, words[by[a:b]].tobytes(), packed(n[by[a:b]])) for p, a, b in cuts(part[by])]
+                words, times = vocabulary_of(row)
+                rows = [("q", row["chunk"], p, ascending(words[a:b]), packed(times[a:b]), None) for p, a, b in cuts(ranges(words, parts))]
                 yield from batch_of(rows, MERGED).to_batches()
 
     return task
@@ -180,36 +222,48 @@ def add_pairs(parts: int):
 
     def merge(t: pa.Table) -> pa.Table:
         got = t.to_pylist()
-        w = np.concatenate([np.repeat(np.frombuffer(r["w"], np.uint64), unpacked(r["m"], np.uint32)) for r in got])
-        v = np.concatenate([np.frombuffer(r["v"], np.uint64) for r in got])
+        held = [ascended(r["words"]) for r in got]
+        w = np.concatenate([np.repeat(x, unpacked(r["m"], np.uint32)) for x, r in zip(held, got, strict=True)])
+        v = np.concatenate([x[unpacked(r["v"], np.uint32)] for x, r in zip(held, got, strict=True)])
         n = np.concatenate([unpacked(r["n"], np.uint32).reshape(GROUPS, -1) for r in got], axis=1).astype(np.int64)
         order = np.lexsort((v, w))
         w, v = w[order], v[order]
         new = np.ones(len(w), bool)
         new[1:] = (w[1:] != w[:-1]) | (v[1:] != v[:-1])
-        total = np.add.reduceat(n[:, order], np.flatnonzero(new), axis=1)
+        total = np.add.reduceat(n[:, order], np.flatnonzero(new), axis=1) if len(w) else n
         back = np.empty(len(w), np.int64)
         back[order] = np.cumsum(new) - 1
-        rows, at = [], 0
+        w, v = w[new], v[new]
+        key, at = np.unique(pair_hash(w, v) & np.uint64((1 << KEY_BITS) - 1), return_index=True)
+        rows, done = [], 0
         for r in got:
-            k = len(r["v"]) // 8
-            rows.append(("a", r["chunk"], r["cell"], None, packed(total[:, back[at : at + k]].astype(np.uint32))))
-            at += k
-        learned = total.any(axis=0)
-        w, v, total = w[new][learned], v[new][learned], total[:, learned]
+            k = len(unpacked(r["v"], np.uint32))
+            q = ascended(r["asked"])
+            where = np.minimum(np.searchsorted(key, q), max(len(key) - 1, 0))
+            hit = key[where] == q if len(key) else np.zeros(len(q), bool)
+            rows.append(("a", r["chunk"], r["cell"], np.packbits(hit).tobytes(), packed(total[:, back[done : done + k]].astype(np.uint32)), packed(total[:, at[where[hit]]].astype(np.uint32) if len(key) else np.zeros(0, np.uint32))))
+            done += k
         x = np.concatenate([total[:2], total[:2] + total[2:]])
-        rows.append(("c", -1, -1, None, packed(counts_of_counts(x))))
+        rows.append(("c", -1, -1, None, packed(counts_of_counts(x)), None))
         if len(w):
             sums = (("w", *summed(w, (x > 0).astype(np.int64))), ("v", *summed(v, np.concatenate([x, x == 1, x == 2, x > 2]).astype(np.int64))))
             for kind, keys, values in sums:
-                part = ((keys >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-                by = np.argsort(part, kind="stable")
-                rows += [(kind, -1, p, keys[by[a:b]].tobytes(), packed(values[:, by[a:b]])) for p, a, b in cuts(part[by])]
+                rows += [(kind, -1, p, ascending(keys[a:b]), packed(values[:, a:b]), None) for p, a, b in cuts(ranges(keys, parts))]
         return batch_of(rows, MERGED)
 
     return merge
 
 
+def counts_of_pairs(c: Chunk, a: int, b: int, answer: dict) -> np.ndarray:
+    """The totals by group of a chunk's pairs a..b, a cell, from the cell's answer."""
+    k = int(c.learned[a:b].sum())
+    out = np.zeros((GROUPS, b - a), np.uint32)
+    out[:, :k] = unpacked(answer["value"], np.uint32).reshape(GROUPS, -1)
+    hit = k + np.flatnonzero(np.unpackbits(np.frombuffer(answer["words"], np.uint8), count=b - a - k))
+    out[:, hit] = unpacked(answer["hits"], np.uint32).reshape(GROUPS, -1)
+    return out
+
+
 def discounts(c: np.ndarray) -> np.ndarray:
     """Modified Kneser-Ney discounts of counts 0, 1, 2 and more, for each model, from its counts of counts; each below its count."""
     out = np.zeros((len(c), 4))
@@ -221,24 +275,18 @@ def discounts(c: np.ndarray) -> np.ndarray:
     return out
 
 
-def add_words(d: np.ndarray):
-    """One range of words: for each chunk, its words' [times as context, backoff mass] by model, continuation counts by model, and shared count."""
-
-    def merge(t: pa.Table) -> pa.Table:
-        got = [(r["kind"], r["chunk"], r["part"], np.frombuffer(r["words"], np.uint64), unpacked(r["value"], np.int64).reshape(-1, len(r["words"]) // 8)) for r in t.to_pylist()]
-        words = np.unique(np.concatenate([w for kind, _, _, w, _ in got if kind == "q"]))
-        sums = {"q": np.zeros((1, len(words)), np.int64), "w": np.zeros((4, len(words)), np.int64), "v": np.zeros((16, len(words)), np.int64)}
-        for kind, _, _, w, value in got:
-            sums[kind][:, np.searchsorted(words, w)] += value  # the words of a row differ
-        times = sums["v"][:4]
-        backoff = sum(d[:, j, None] * sums["v"][4 * j : 4 * j + 4] for j in (1, 2, 3)) / np.maximum(times, 1)
-        out = np.concatenate([times, np.where(times > 0, backoff, 1), sums["w"], sums["q"]]).astype(np.float32)
-        rows = [("u", chunk, part, None, packed(out[:, np.searchsorted(words, w)])) for kind, chunk, part, w, _ in got if kind == "q"]
-        shared = np.array([[0, 0, 0, 0, (sums["q"] > 0).sum(), sums["q"].sum()]], np.int64)
-        rows.append(("c", -1, -1, None, packed(np.concatenate([counts_of_counts(sums["w"]), shared]))))
-        return batch_of(rows, MERGED)
-
-    return merge
+def add_words(t: pa.Table) -> pa.Table:
+    """One range of words: for each chunk, its words' times as context and how many different words follow once, twice, more often, by model; continuation counts by model; and the shared count."""
+    got = [(r["kind"], r["chunk"], r["part"], ascended(r["words"]), unpacked(r["value"], np.int64)) for r in t.to_pylist()]
+    words = np.unique(np.concatenate([w for kind, _, _, w, _ in got if kind == "q"]))
+    sums = {"q": np.zeros((1, len(words)), np.int64), "w": np.zeros((4, len(words)), np.int64), "v": np.zeros((16, len(words)), np.int64)}
+    for kind, _, _, w, value in got:
+        sums[kind][:, np.searchsorted(words, w)] += value.reshape(-1, len(w))  # the words of a row differ
+    out = np.concatenate([sums["v"], sums["w"], sums["q"]])
+    rows = [("u", chunk, part, None, packed(out[:, np.searchsorted(words, w)]), None) for kind, chunk, part, w, _ in got if kind == "q"]
+    shared = np.array([[0, 0, 0, 0, (sums["q"] > 0).sum(), sums["q"].sum()]], np.int64)
+    rows.append(("c", -1, -1, None, packed(np.concatenate([counts_of_counts(sums["w"]), shared])), None))
+    return batch_of(rows, MERGED)
 
 
 class Models:
@@ -251,44 +299,53 @@ class Models:
 
     def ratios(self, c: Chunk, n: np.ndarray, u: np.ndarray, m: int) -> np.ndarray:
         """log P(word | word before, toxic) - log P(word | word before, ordinary), for each distinct pair. n: counts by group; u: what add_words says of each word."""
-        base = (u[12] + 0.5) / (self.tokens + 0.5 * self.vocabulary)
+        base = (u[20] + 0.5) / (self.tokens + 0.5 * self.vocabulary)
         p = []
         for k in (2 * m, 2 * m + 1):
-            cont, total = u[8 + k], self.kept[k, 5]
+            cont, total = u[16 + k], self.kept[k, 5]
             low = base
             if total:
                 free = self.low[k, 1:] @ self.kept[k, [0, 1, 4]]
-                low = (cont - self.low[k][np.minimum(cont, 3).astype(np.int64)] + free * base) / total
-            x = n[k - 2 * m].astype(float) + (n[2 + k - 2 * m] if m else 0)
-            high = (x - self.d[k][np.minimum(x, 3).astype(np.int64)]) / np.maximum(u[k][c.v], 1)
-            p.append(high + u[4 + k][c.v] * low[c.w])
+                low = (cont - self.low[k][np.minimum(cont, 3)] + free * base) / total
+            times = np.maximum(u[k], 1)
+            backoff = np.where(u[k] > 0, sum(self.d[k, j] * u[4 * j + k] for j in (1, 2, 3)) / times, 1.0)
+            x = n[k - 2 * m].astype(np.int64) + (n[2 + k - 2 * m] if m else 0)
+            p.append((x - self.d[k][np.minimum(x, 3)]) / times[c.v] + backoff[c.v] * low[c.w])
         # Steps of 2^-20 add up exactly, wherever in a chunk a document stands.
         return np.round(np.clip(np.log(p[1]) - np.log(p[0]), -12, 12) * 2**20) / 2**20
 
 
 def features(r: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """For each document: mean ratio, that of its worst passage, its greatest and fifth greatest word ratios, log length."""
+    """For each document the mean ratio of all its words, of its worst passage, of its five worst words and of the worst one; and log length, as the worst of many is worse."""
     n = np.diff(bounds)
     out = np.zeros((len(n), FEATURES))
     total = np.concatenate([[0.0], np.cumsum(r)])
     at = np.arange(len(r))
     last = np.repeat(bounds[1:], n)
     end = np.minimum(at + PASSAGE, last)
-    first = np.repeat(bounds[:-1], n)
-    begin = np.maximum(np.minimum(at, last - PASSAGE), first)
-    passage = (total[end] - total[begin]) / np.maximum(end - begin, 1)
+    begin = np.maximum(np.minimum(at, last - PASSAGE), np.repeat(bounds[:-1], n))
     full = np.flatnonzero(n)
     if len(full):
         s = bounds[full]
         out[full, 0] = (total[bounds[full + 1]] - total[s]) / n[full]
-        out[full, 1] = np.maximum.reduceat(passage, s)
-        out[full, 2] = np.maximum.reduceat(r, s)
-        order = np.lexsort((-r, np.repeat(np.arange(len(n)), n)))
-        out[full, 3] = r[order][s + np.minimum(4, n[full] - 1)] * (n[full] > 4)
+        out[full, 1] = np.maximum.reduceat((total[end] - total[begin]) / np.maximum(end - begin, 1), s)
+        worst = np.concatenate([[0.0], np.cumsum(r[np.lexsort((-r, np.repeat(np.arange(len(n)), n)))])])
+        few = np.minimum(5, n[full])
+        out[full, 2] = (worst[s + few] - worst[s]) / few
+        out[full, 3] = np.maximum.reduceat(r, s)
         out[full, 4] = np.log1p(n[full])
     return out
 
 
+def blocks(first: np.ndarray, tokens: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Documents from, to: as many at once as have that many tokens, one at least."""
+    lo = 0
+    while lo < len(first) - 1:
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + tokens, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Logistic regression by Newton steps: intercept and weights."""
     a = np.hstack([np.ones((len(x), 1)), x])
@@ -310,14 +367,14 @@ def measure(models: Models, parts: int, names: list[str]):
     def task(own: pa.Table, answers: pa.Table) -> pa.Table:
         row = own.to_pylist()[0]
         c = Chunk(row, parts)
-        n, u = np.zeros((GROUPS, len(c.w)), np.uint32), np.zeros((13, len(c.words)))
-        found = {(r["kind"], r["part"]): r["value"] for r in answers.to_pylist()}
+        n, u = np.zeros((GROUPS, len(c.w)), np.uint32), np.zeros((21, len(c.words)), np.int64)
+        found = {(r["kind"], r["part"]): r for r in answers.to_pylist()}
         for cell, a, b in cuts(c.cell):
-            n[:, a:b] = unpacked(found["a", cell], np.uint32).reshape(GROUPS, -1)
-        for part, a, b in cuts(c.part):
-            u[:, c.by_part[a:b]] = unpacked(found["u", part], np.float32).reshape(13, -1)
+            n[:, a:b] = counts_of_pairs(c, a, b, found["a", cell])
+        for part, a, b in cuts(ranges(c.words, parts)):
+            u[:, a:b] = unpacked(found["u", part]["value"], np.int64).reshape(21, -1)
         rows = pa.ipc.open_stream(row["rows"]).read_all()
-        x = [features(models.ratios(c, n, u, m)[c.pair], c.first) for m in (1, 0)]
+        x = [np.concatenate([features(ratio[c.pair[c.first[a] : c.first[b]]], c.first[a : b + 1] - c.first[a]) for a, b in blocks(c.first)]) for ratio in (models.ratios(c, n, u, m) for m in (1, 0))]
         at = pa.array(np.arange(rows.num_rows + 1) * FEATURES, pa.int32())
         return pa.table([*(pa.ListArray.from_arrays(at, pa.array(y.reshape(-1))) for y in x), *rows.columns], ["x", "early", *names])
 
@@ -354,15 +411,15 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     names = ["id", "g", "pick", *(f"c{k}" for k in range(len(carry)))]
     source = joined.select("text", "id", group.alias("g"), F.xxhash64("id", "text").alias("pick"), *names[3:])
 
-    cut = materialize(source.mapInArrow(chunks(names), CHUNKS), "toxicity-chunks")
+    cut = bucketed(source.mapInArrow(chunks(names), CHUNKS), "toxicity_chunks", "chunk")
     parts = 16 + (cut.agg(F.sum("tokens")).first()[0] or 0) // CELL
     bare = cut.drop("rows")
-    of_pairs = materialize(bare.mapInArrow(pairs(parts), PAIRS).groupBy("cell").applyInArrow(add_pairs(parts), MERGED), "toxicity-pairs")
-    coc = total(of_pairs, (4, 6))
+    of_pairs = materialize(bare.mapInArrow(pairs(parts), PAIRS).groupBy("cell").applyInArrow(add_pairs(parts), MERGED), "toxicity-pairs", by="kind")
     words = bare.mapInArrow(asked(parts), MERGED).unionByName(of_pairs.filter(F.col("kind").isin("w", "v")))
-    of_words = materialize(words.groupBy("part").applyInArrow(add_words(discounts(coc)), MERGED), "toxicity-words")
-    models = Models(coc, total(of_words, (5, 6)))
-    answers = of_pairs.filter("kind = 'a'").unionByName(of_words.filter("kind = 'u'")).drop("words")
+    of_words = materialize(words.groupBy("part").applyInArrow(add_words, MERGED), "toxicity-words")
+    models = Models(total(of_pairs, (4, 6)), total(of_words, (5, 6)))
+    drop_part(of_pairs, "kind=w", "kind=v")
+    answers = of_pairs.filter("kind = 'a'").unionByName(of_words.filter("kind = 'u'"))
     schema = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("early", T.ArrayType(T.DoubleType())), *(source.schema[c] for c in names)])
     found = materialize(cut.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(measure(models, parts, names), schema), "toxicity")
     discard(cut, of_pairs, of_words)

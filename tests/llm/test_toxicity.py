@@ -104,12 +104,18 @@ def test_rare_markers_are_evidence(spark):
 
 def test_counts_are_exact_over_chunks_and_cells():
     rng = np.random.default_rng(4)
-    words = np.concatenate([np.zeros(1, np.uint64), np.unique(rng.integers(1, 2**63, 3000).astype(np.uint64))])
+    words = np.concatenate([np.zeros(1, np.uint64), np.unique(rng.integers(1, 2**44, 3000).astype(np.uint64))])
     held, truth = [], Counter()
     for k in range(3):
         seq = rng.integers(1, len(words), 20000).astype(np.uint32)
         first, groups = np.arange(0, 20001, 100), rng.integers(-1, 4, 200).astype(np.int32)
-        row = {"chunk": k, "words": words.tobytes(), "seq": toxicity.packed(seq), "first": first.tobytes(), "groups": groups.tobytes(), "rows": b""}
+        keys, seq = np.unique(seq, return_inverse=True)
+        seq, times = seq + 1, np.bincount(seq)
+        own = np.concatenate([[0], keys])  # index in this chunk to index in words
+        rank = np.empty(len(keys), np.uint32)
+        rank[np.argsort(-times, kind="stable")] = np.arange(1, len(keys) + 1)
+        row = {"chunk": k, "keys": toxicity.ascending(words[keys]), "times": toxicity.packed(times.astype(np.uint32)), "seq": toxicity.packed(rank[seq - 1]), "first": toxicity.packed(np.diff(first).astype(np.uint32)), "groups": toxicity.packed(groups), "rows": b""}
+        seq = own[seq]
         held.append(row)
         for at, w in enumerate(seq.tolist()):
             if groups[at // 100] >= 0:
@@ -117,18 +123,18 @@ def test_counts_are_exact_over_chunks_and_cells():
     parts = 7
     cells = pa.Table.from_batches(list(toxicity.pairs(parts)(iter([pa.RecordBatch.from_pylist(held)]))))
     merged = [r for c in set(cells["cell"].to_pylist()) for r in toxicity.add_pairs(parts)(cells.filter(pc.equal(cells["cell"], c))).to_pylist()]
+    at = {int(h): k for k, h in enumerate(words.tolist())}
     for row in held:
         chunk = toxicity.Chunk(row, parts)
-        answers = {r["part"]: r["value"] for r in merged if r["kind"] == "a" and r["chunk"] == row["chunk"]}
+        answers = {r["part"]: r for r in merged if r["kind"] == "a" and r["chunk"] == row["chunk"]}
         for cell, a, b in toxicity.cuts(chunk.cell):
-            n = toxicity.unpacked(answers[cell], np.uint32).reshape(4, -1)
-            assert all(n[g, k - a] == truth[int(chunk.v[k]), int(chunk.w[k]), g] for k in range(a, b) for g in range(4))
-    at = {int(h): k for k, h in enumerate(words.tolist())}
+            n = toxicity.counts_of_pairs(chunk, a, b, answers[cell])
+            assert all(n[g, k - a] == truth[at[int(chunk.words[chunk.v[k]])], at[int(chunk.words[chunk.w[k]])], g] for k in range(a, b) for g in range(4))
     continuations = Counter()
     for r in merged:
         if r["kind"] == "w":
             n = toxicity.unpacked(r["value"], np.int64).reshape(4, -1)
-            for k, h in enumerate(np.frombuffer(r["words"], np.uint64).tolist()):
+            for k, h in enumerate(toxicity.ascended(r["words"]).tolist()):
                 continuations[at[h]] += int(n[3, k])
     assert continuations == Counter(w for _, w in {(v, w) for v, w, g in truth if g % 2})
 
