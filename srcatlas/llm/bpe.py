@@ -4,10 +4,15 @@ The transducer reads a pretoken byte by byte. For each prefix it holds the last
 token of that prefix's encoding and where that token begins: BPE encodings are
 exactly the token sequences whose neighbours, encoded together, stay as they are,
 so one token fits. Later tokens can only begin within the longest token's length of
-the end; what all those beginnings have in common is stable and is emitted. By the
-merge list's lookahead bound this happens after finitely many bytes, so memory
-doesn't grow with the text. Short chunks repeat, and are remembered in a bounded
-table; longer ones go through the transducer every time.
+the end; what all those beginnings have in common is stable and is emitted. How many
+bytes that can take at most, the lookahead, is computed from the merge list, and the
+transducer holds no more than about twice as many, so memory doesn't grow with the
+text. Every pretoken goes through it; what it said of short ones is remembered in
+bounded tables.
+
+The decoder is a machine of two states, before and after the first token, with a table
+of what each token puts out in each; bytes that don't end a character are held back.
+Whole columns of ids run through the same tables at once.
 """
 
 from __future__ import annotations
@@ -18,9 +23,11 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +38,8 @@ END_OF_WORD = "</w>"
 #: The white space of the vocabulary's patterns.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
-#: Bytes of a chunk that is remembered, half the chunks remembered, and bytes of a pretoken that needs no streaming.
-CHUNK_BYTES, CHUNKS, WHOLE = 48, 1 << 18, 64
+#: Bytes of a chunk, characters of a pretoken and bytes of a prefix that are remembered, and half the chunks remembered.
+CHUNK_BYTES, WORD_BYTES, PREFIX_BYTES, CHUNKS = 48, 64, 12, 1 << 18
 _NONE = 1 << 60
 
 
@@ -77,9 +84,24 @@ class Vocabulary:
         self.longest = max(map(len, [*self.inner, *self.last]), default=1)
         self._fits: dict[int, bool] = {}
 
+    @cached_property
     def lookahead(self) -> int:
-        """Bytes after which a token is stable: each of the merges can pass a change on over one longest token at most."""
-        return len(self.merges) * self.longest
+        """Bytes to the right of where a token begins that can decide on it.
+
+        A merge of x and y can only be kept from happening by one of lower rank that
+        takes y away to the right, or by what keeps y from being formed, which again
+        needs lower ranks only. Taken in the order of ranks, the farthest reach of each
+        token is therefore known from those before: `reach` holds, for each token, how far
+        from its beginning the merges so far can carry an influence.
+        """
+        size = {i: len(b) for i, b in self.raw.items()}
+        reach = dict(size)
+        for pair, merged in self.merges.items():  # in the order of ranks
+            x, y, z = pair >> 20, pair & 0xFFFFF, merged & 0xFFFFF
+            over = size[x] + reach[y]
+            reach[z] = max(reach[z], reach[x], over)
+            reach[x] = max(reach[x], over)
+        return max(reach.values(), default=1)
 
     def merge(self, word: bytes, end: bool = True) -> list[int]:
         """The encoding of one pretoken: the adjacent pair of least rank is merged first, leftmost first."""
@@ -116,60 +138,95 @@ class Vocabulary:
 class Transducer:
     """Encodes one pretoken that comes in parts; holds the bytes and prefixes that are not yet stable."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.v = vocabulary
-        self.data = bytearray()  # bytes after the last stable boundary
-        self.nodes: list[tuple[int, int]] = [(-1, -1)]  # for each boundary: where its last token begins, and that token
+    def __init__(self, vocabulary: Vocabulary, prefixes: int = CHUNKS // 2) -> None:
+        self.v, self.longest, self.room = vocabulary, vocabulary.longest, vocabulary.lookahead + vocabulary.longest
+        self.prefixes, self.memory = prefixes, {}
         self.held = 0
+        self._reset()
 
-    def _node(self, end: int, final: bool) -> tuple[int, int]:
-        known = self.v.last if final else self.v.inner
-        for size in range(min(self.v.longest, end), 0, -1):
-            at = end - size
-            token = known.get(bytes(self.data[at:end]))
-            if token is not None and self.nodes[at] is not None and self.v.fits(self.nodes[at][1], token, final):
+    def _reset(self) -> None:
+        self.data = bytearray()  # bytes after the last stable boundary
+        self.nodes: list[tuple[int, int] | None] = [(0, -1)]  # for each boundary: where its last token begins, and that token
+        self.whole = True  # nothing has been emitted yet
+
+    def _node(self, end: int, final: bool = False) -> tuple[int, int]:
+        """Where the last token before a boundary begins, and that token: the longest that fits after what is before it."""
+        known, fits, nodes = self.v.last if final else self.v.inner, self.v.fits, self.nodes
+        lo = max(0, end - self.longest)
+        data = bytes(self.data[lo:end])
+        for at in range(lo, end):
+            token = known.get(data[at - lo :])
+            if token is not None and fits((nodes[at] or self._known(at))[1], token, final):
                 return at, token
         raise ValueError("no token fits; the merge list is not consistent")
 
+    def _known(self, end: int) -> tuple[int, int]:
+        """A boundary's node, found when it is first asked for."""
+        node = self.nodes[end]
+        if node is None:
+            if self.whole and end <= PREFIX_BYTES:
+                prefix = bytes(self.data[:end])
+                node = self.memory.get(prefix)
+                if node is None:
+                    if len(self.memory) >= self.prefixes:
+                        self.memory.clear()
+                    node = self.memory[prefix] = self._node(end)
+            else:
+                node = self._node(end)
+            self.nodes[end] = node
+        return node
+
+    def _grow(self) -> None:
+        """Boundaries for all bytes; many are settled from the left, so that nothing is looked up deeply."""
+        n = len(self.data) - len(self.nodes) + 1
+        at = len(self.nodes)
+        self.nodes += [None] * n
+        if n > WORD_BYTES:
+            for end in range(at, len(self.data)):
+                self._known(end)
+
     def feed(self, part: bytes) -> Iterator[int]:
-        for byte in part:
-            if len(self.data) >= 4 * self.v.longest and len(self.data) % self.v.longest == 0:
+        for lo in range(0, len(part), self.room):
+            self.data += part[lo : lo + self.room]
+            if len(self.data) > 2 * self.room:
                 yield from self._settle()
-            # The newest byte may be the word's last, so its prefix is settled when the next one comes.
-            if self.data:
-                self.nodes.append(self._node(len(self.data), False))
-            self.data.append(byte)
 
     def _settle(self) -> Iterator[int]:
         """Emit what all beginnings of later tokens have in common."""
-        n = len(self.nodes) - 1
-        front = set(range(max(0, n + 1 - self.v.longest), n + 1))
+        self._grow()
+        n = len(self.data) - 1  # the newest byte may be the word's last, so its boundary waits for the next one
+        self.held = max(self.held, len(self.data))
+        front = set(range(max(0, n + 1 - self.longest), n + 1))
         while len(front) > 1:
-            front.add(self.nodes[(top := max(front))][0])
+            front.add(self._known(top := max(front))[0])
             front.discard(top)
         stable = front.pop()
-        if stable > 0:
-            yield from self._path(stable)
-            token = self.nodes[stable][1]
-            self.nodes = [(-1, token), *((at - stable, t) for at, t in self.nodes[stable + 1 :])]
-            del self.data[:stable]
-        self.held = max(self.held, len(self.data))
-        if self.held > self.v.lookahead():
-            raise ValueError("the lookahead bound is exceeded")
+        if n - stable > self.room:
+            raise ValueError("the lookahead is exceeded")
+        yield from self._path(stable)
+        self.nodes = [(0, self.nodes[stable][1]), *((x[0] - stable, x[1]) if x else None for x in self.nodes[stable + 1 : n + 1])]
+        del self.data[:stable]
+        self.whole = False
 
     def _path(self, node: int) -> list[int]:
         out = []
         while node > 0:
-            node, token = self.nodes[node]
+            node, token = self._known(node)
             out.append(token)
         return out[::-1]
 
-    def finish(self) -> Iterator[int]:
+    def finish(self) -> list[int]:
+        out = []
         if self.data:
+            self._grow()
             at, token = self._node(len(self.data), True)
-            yield from self._path(at)
-            yield token
-        self.__init__(self.v)
+            out = [*self._path(at), token]
+        self._reset()
+        return out
+
+    def word(self, raw: bytes) -> list[int]:
+        """The encoding of a whole pretoken."""
+        return [*self.feed(raw), *self.finish()]
 
 
 class Encoder:
@@ -177,9 +234,11 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, chunks: int = CHUNKS, merge=None) -> None:
         self.v, self.chunks, self.merge = vocabulary, chunks, merge
+        self.transducer = None if merge else Transducer(vocabulary, chunks // 2)
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.words: dict[str, list[int]] = {}
+        self.words_before: dict[str, list[int]] = {}
         assert array("I").itemsize == 4 and all("<|" in s for s in vocabulary.special)
         names = "|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True))
         self.special = regex.compile(f"({names})") if names else None
@@ -210,13 +269,13 @@ class Encoder:
             return self.merge(word)
         out = self.words.get(word)
         if out is None:
-            raw = word.encode()
-            if len(raw) > WHOLE:
-                t = Transducer(self.v)
-                return [*t.feed(raw), *t.finish()]
-            if len(self.words) >= self.chunks // 2:
-                self.words.clear()
-            out = self.words[word] = self.v.merge(raw)
+            out = self.words_before.get(word)
+            if out is None:
+                out = self.transducer.word(word.encode())
+            if len(word) <= WORD_BYTES:
+                if len(self.words) >= self.chunks // 2:
+                    self.words, self.words_before = {}, self.words
+                self.words[word] = out
         return out
 
     def _learn(self, chunk: bytes) -> bytes:
@@ -259,7 +318,7 @@ def library_merge(content: str):
 
 
 class Decoder:
-    """Turns ids into text one by one.
+    """Turns ids into text, one by one or by the column.
 
     mode "joined": token strings with one space between, as the library does for a
     file without a decoder. mode "text": the bytes behind the tokens, a space for
@@ -270,27 +329,59 @@ class Decoder:
     def __init__(self, vocabulary: Vocabulary, mode: str = "joined") -> None:
         if mode not in ("joined", "text"):
             raise ValueError(f"unknown mode {mode}")
-        self.v, self.mode, self.first = vocabulary, mode, True
+        self.mode, self.size = mode, len(vocabulary.tokens)
+        names = [t.encode() for t in vocabulary.tokens]
+        if mode == "joined":
+            begin, inside = names, [b" " + t for t in names]
+        else:
+            raw = vocabulary.raw
+            inside = [raw[i] + b" " * t.endswith(END_OF_WORD.encode()) if i in raw else t for i, t in enumerate(names)]
+            begin = inside
+        #: What each token puts out: after others, and then as the first one.
+        self.outputs = [*inside, *begin]
+        self.table = pa.array(self.outputs, pa.large_binary())
+        self.special = frozenset(range(self.size)) - frozenset(vocabulary.raw) if mode == "text" else frozenset()
+        self._reset()
+
+    def _reset(self) -> None:
+        self.first = True
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
     def push(self, token: int) -> str:
-        if self.mode == "joined":
-            out = self.v.tokens[token] if self.first else " " + self.v.tokens[token]
-            self.first = False
-            return out
-        raw = self.v.raw.get(token)
-        if raw is None:
-            return self.utf8.decode(b"", True) + self.v.tokens[token]
-        return self.utf8.decode(raw + b" " if self.v.tokens[token].endswith(END_OF_WORD) else raw)
+        """What this token adds; a character that is not complete is held back."""
+        # A special token ends what is held back.
+        head = self.utf8.decode(b"", True) if token in self.special else ""
+        out = self.outputs[token + self.size if self.first else token]
+        self.first = False
+        return head + self.utf8.decode(out)
 
     def close(self) -> str:
-        return self.utf8.decode(b"", True)
+        out = self.utf8.decode(b"", True)
+        self._reset()
+        return out
 
     def decode(self, tokens: Iterable[int]) -> str:
-        if self.mode == "joined":
-            return " ".join(map(self.v.tokens.__getitem__, tokens))
         return "".join([*map(self.push, tokens), self.close()])
 
+    def column(self, ids: pa.ListArray) -> pa.Array:
+        """The texts of a column of ids, nulls as empty; the state of a row is where its token stands in it."""
+        at = np.concatenate([[0], np.cumsum(np.nan_to_num(pc.list_value_length(ids).to_numpy(zero_copy_only=False)))]).astype(np.int64)
+        tokens = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        if self.special and np.isin(tokens, list(self.special)).any():
+            return pa.array([self.decode(x or ()) for x in ids.to_pylist()], pa.large_string())
+        begins = at[:-1][np.diff(at) > 0]
+        tokens[begins] += self.size
+        out = self.table.take(pa.array(tokens))
+        if isinstance(out, pa.ChunkedArray):
+            out = out.combine_chunks()
+        _, offsets, data = out.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[out.offset : out.offset + len(out) + 1][at] if len(out) else np.zeros(len(at), np.int64)
+        raw = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(bounds.tobytes()), data if data is not None else pa.py_buffer(b"")])
+        try:
+            return raw.cast(pa.large_string())
+        except pa.ArrowInvalid:  # not UTF-8 somewhere
+            return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.large_string())
+
 
 def read_vocabulary(spark: SparkSession, path: str) -> Vocabulary:
     """From a file of the driver; the content then goes to the workers with the task (under 2 MB)."""
@@ -349,8 +440,7 @@ def decode(encoded: DataFrame, vocabulary: str, mode: str = "joined") -> DataFra
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                texts = [d.decode(x or ()) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), d.column(part.column(1)).cast(pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(task, "doc_id long, ids array<int>, text string")
 

@@ -2,12 +2,14 @@
 
 Documents become token pieces of at most `capacity`. Only the histogram of piece
 lengths, at most `capacity` counts, goes to the driver. There multiplicative weights
-solve the configuration LP: each step prices the lengths, a knapsack by dynamic
-programming finds the most valuable sequence layout, and the prices of the lengths it
-covers fall. Layouts are rounded down to whole uses, the rest is solved again, and
-what is left at last goes best fit into sequences of its own. Prices also prove how few
-sequences any plan can have; a plan far from that is tried again by knapsacks alone. The plan says which
-ranks of each length go where; every piece finds its place from its length and rank.
+solve the configuration LP, a cover of all counts by sequence layouts: each step prices
+the lengths, a knapsack by dynamic programming finds what a layout can be worth, layouts
+worth nearly that are read off its table and used, and the prices of the lengths they
+cover fall, until every length is covered. Layouts are rounded to whole uses, the fullest
+first, and the LP is solved again over what that leaves, as long as its layouts are
+nearly full; only the rest goes best fit. Prices also prove how few sequences any plan
+can have. The plan says which ranks of each length go where; every piece finds its place
+from its length and rank.
 """
 
 from __future__ import annotations
@@ -27,128 +29,120 @@ from srcatlas.llm import bpe
 from srcatlas.llm._store import bound_batches, materialize
 
 CAPACITY, END_ID = 4096, 1
-#: For the first attempt at a plan: steps of multiplicative weights in one LP, how hard prices fall, and LPs over what rounding leaves.
-STEPS, RATE, LPS = 24, 0.5, 3
-#: How far above the bound that the prices prove a plan may be without another attempt.
-GAP = 0.01
-#: How much dearer for its size a longer piece is where knapsacks alone make a plan.
-LONG = 0.05
-#: Buckets over which the ranks of one length are counted, so that a hot length is spread.
-BUCKETS = 64
-
-
-def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each length (ascending) stands in a most valuable layout of at most `capacity`."""
-    best, chosen = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+#: Pricing steps of an LP at most, layouts read off each table, and LPs over what rounding leaves at most.
+STEPS, LAYOUTS, ROUNDS = 12, 64, 80
+#: How hard prices fall with a length's cover, by how much of the best value a layout may be worth less.
+RATE, LOSS = 0.1, 0.002
+#: Seeds of what is drawn among equals; the next is tried where a plan is farther than GAP above its bound.
+SEEDS, GAP = (7, 8, 9), 0.0005
+#: An LP that places less than this share of its pieces has done what it can for layouts this full; the room that a layout may leave is then doubled, up to this share of the capacity.
+STALLED, ROOM = 0.05, 1 / 32
+#: Pieces for each of the buckets over which the ranks of one length are counted, so that a hot length is spread.
+BUCKET = 1 << 16
+
+
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the most valuable layout of each size is worth, and how many of the lengths (ascending) fit in each size."""
+    best, fits = np.zeros(capacity + 1), np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(int(lengths[0]), capacity + 1):
-        k = upto[c]
-        value = best[c - lengths[:k]] + prices[:k]
-        top = int(np.argmax(value))
-        if value[top] > best[c - 1]:
-            best[c], chosen[c] = value[top], top
+        best[c] = max(best[c - 1], (best[c - lengths[: fits[c]]] + prices[: fits[c]]).max())
+    return best, fits
+
+
+def layout(table: tuple[np.ndarray, np.ndarray], lengths: np.ndarray, prices: np.ndarray, left: np.ndarray, need: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, int]:
+    """(indices, multiplicities, room left) of a layout of what is left, read off a knapsack's table: of the lengths that lose next to no value, one is drawn by what it still needs."""
+    best, fits = table
+    c, slack, held, left = len(best) - 1, LOSS * best[-1], {}, left.copy()
+    while fits[c]:
+        n = fits[c]
+        value = best[c - lengths[:n]] + prices[:n]
+        there = left[:n] > 0
+        near = np.flatnonzero(there & (value >= best[c] - slack))
+        if len(near):
+            pick = int(near[np.argmax(need[near] * rng.random(len(near)))])
+        elif there.any():
+            there = np.flatnonzero(there)
+            pick = int(there[np.argmax(value[there])])
         else:
-            best[c] = best[c - 1]
-    out, c = np.zeros(len(lengths), np.int64), capacity
-    while c > 0:
-        if chosen[c] < 0:
-            c -= 1
-        else:
-            out[chosen[c]] += 1
-            c -= int(lengths[chosen[c]])
-    return out
-
-
-def fill(uses: np.ndarray, lengths: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
-    """Cut a layout to what is left of each length, then put the longest that fits into the room that is free."""
-    out = np.minimum(uses, left)
-    room = capacity - int(out @ lengths)
-    while room >= lengths[0]:
-        fits = np.flatnonzero((left > out) & (lengths <= room))
-        if not len(fits):
             break
-        k = fits[-1]
-        n = min(int(left[k] - out[k]), room // int(lengths[k]))
-        out[k] += n
-        room -= n * int(lengths[k])
-    return out
-
+        slack = max(0.0, slack - max(0.0, best[c] - value[pick]))
+        held[pick] = held.get(pick, 0) + 1
+        left[pick] -= 1
+        c -= int(lengths[pick])
+    return np.fromiter(held, np.int64), np.fromiter(held.values(), np.int64), c
+
+
+def cover(lengths: np.ndarray, demand: np.ndarray, capacity: int, rng: np.random.Generator) -> tuple[list[tuple[int, float, np.ndarray, np.ndarray]], float]:
+    """Multiplicative weights: (room left, uses, indices, multiplicities) of layouts that together cover the demand, and the lower bound on any cover that the prices prove."""
+    prices, covered, bound = lengths / capacity, np.zeros(len(lengths)), 0.0
+    found: dict[tuple[bytes, bytes], list] = {}
+    for _ in range(STEPS):
+        table = knapsack(lengths, prices, capacity)
+        bound = max(bound, float(prices @ demand / table[0][-1]))  # these prices, over the dearest layout, are feasible for the dual
+        for _ in range(LAYOUTS):
+            need = np.maximum(demand - covered, 0) / demand + 1e-3
+            at, m, room = layout(table, lengths, prices, demand, need, rng)
+            uses = float(np.min(demand[at] // m))
+            found.setdefault((at.tobytes(), m.tobytes()), [room, 0.0, at, m])[1] += uses
+            covered[at] += m * uses
+        share = covered / demand
+        if share.min() >= 1:
+            break
+        prices = lengths / capacity * np.exp(-RATE * np.minimum(share, 20))
+    return [tuple(x) for x in found.values()], bound
 
-def attempt(lengths: np.ndarray, counts: np.ndarray, capacity: int, steps: int, rounds: int) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], float]:
-    """A plan from so many steps in each of so many LPs, and the best lower bound on any plan that its prices prove.
 
-    Without LPs, every layout is a knapsack over what is left, longer pieces slightly
-    dearer, used as often as it can be.
-    """
-    left, bound = counts.copy(), float(counts @ lengths) / capacity
-    plan: list[tuple[int, np.ndarray, np.ndarray]] = []
+def solved(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], int, float]:
+    """A plan of (times, lengths, multiplicities) of each layout, which together use every piece once; a lower bound on the sequences of any plan; and the share of the pieces that the LPs placed."""
+    order = np.argsort(lengths)
+    lengths, left = np.asarray(lengths, np.int64)[order], np.asarray(counts, np.int64)[order]
+    lengths, left = lengths[left > 0], left[left > 0]
+    if not len(lengths):
+        return [], 0, 1.0
+    tried: list[tuple[int, list, int, float]] = []
+    for seed in SEEDS:
+        plan, bound, share = attempt(lengths, left.copy(), capacity, np.random.default_rng(seed))
+        bound = math.ceil(max(bound, float(lengths @ left) / capacity) - 1e-6)
+        tried.append((sum(t for t, _, _ in plan), plan, bound, share))
+        if tried[-1][0] <= (1 + GAP) * bound:
+            break
+    _, plan, _, share = min(tried, key=lambda x: x[0])
+    return plan, max(x[2] for x in tried), share
 
-    def use(layout: np.ndarray, times: int) -> None:
-        left[:] -= layout * times
-        held = np.flatnonzero(layout)
-        plan.append((times, lengths[held], layout[held]))
 
-    for k in range(rounds):
+def attempt(lengths: np.ndarray, left: np.ndarray, capacity: int, rng: np.random.Generator) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], float, float]:
+    """One plan for what is left, ascending lengths, with its bound and its share placed by the LPs."""
+    plan: list[tuple[int, np.ndarray, np.ndarray]] = []
+    pieces, bound, room = int(left.sum()), 0.0, 0
+    for k in range(ROUNDS):
         live = np.flatnonzero(left)
         if not len(live):
             break
-        size, demand = lengths[live], left[live].astype(float)
-        prices, covered, total, dual = size / capacity, np.zeros(len(live)), 0.0, float(left @ lengths) / capacity
-        layouts: dict[bytes, list] = {}
-        for _ in range(steps):
-            best = knapsack(size, prices, capacity)
-            dual = max(dual, float(prices @ demand / (prices @ best)))  # these prices, over the dearest layout, are feasible for the dual
-            a = fill(best, size, left[live], capacity)
-            held = a > 0
-            step = max(1.0, float(np.min(demand[held] / a[held])) / 2)
-            layouts.setdefault(a.tobytes(), [a, 0.0])[1] += step
-            covered += a * step
-            total += step
-            share = covered / demand
-            if total <= (1 + GAP) * dual * share.min():  # scaled to a cover, the layouts are within GAP of the dual
+        had = int(left.sum())
+        found, dual = cover(lengths[live], left[live], capacity, rng)
+        bound = max(bound, dual) if not k else bound
+        for free, uses, at, m in sorted(found, key=lambda x: (x[0], -x[1])):
+            times = min(math.ceil(uses), int(np.min(left[live[at]] // m)))
+            if times > 0 and free <= room:
+                left[live[at]] -= times * m
+                plan.append((times, lengths[np.sort(live[at])], m[np.argsort(at)]))
+        if had - int(left.sum()) < STALLED * had:
+            if room >= ROOM * capacity:
                 break
-            prices = size / capacity * np.exp(-4 * RATE * np.minimum(share, 60))
-        if k == 0:
-            bound = max(bound, dual)
-        # scale down to what is there, then round down, most used first; the next LP is over what that leaves
-        scale = 1 / float(np.max(covered / demand))
-        for a, x in sorted(layouts.values(), key=lambda v: -v[1]):
-            held = a > 0
-            times = min(int(x * scale) or 1, int(np.min(left[live][held] // a[held])))
-            if times > 0:
-                whole = np.zeros(len(lengths), np.int64)
-                whole[live] = a
-                use(whole, times)
-    while left.any() and not rounds:
-        live = np.flatnonzero(left)
-        size = lengths[live] / capacity
-        a = np.zeros(len(lengths), np.int64)
-        a[live] = fill(knapsack(lengths[live], size * (1 + LONG * size), capacity), lengths[live], left[live], capacity)
-        use(a, int(np.min(left[a > 0] // a[a > 0])))
+            room = max(1, 2 * room)
+    share = 1 - int(left.sum()) / pieces
     while left.any():  # best fit for the rest: the longest left, then the longest that fits beside it
-        a = fill(np.zeros(len(lengths), np.int64), lengths, left, capacity)
-        use(a, int(np.min(left[a > 0] // a[a > 0])))
-    return plan, bound
-
-
-def solved(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], int]:
-    """A plan of (times, lengths, multiplicities) of each layout, which together use every piece once; and a lower bound on the sequences of any plan.
-
-    If the plan of the LPs is not within GAP (or one sequence) of the bound, knapsacks
-    alone make another, and the better one is taken.
-    """
-    order = np.argsort(lengths)
-    lengths, counts = np.asarray(lengths, np.int64)[order], np.asarray(counts, np.int64)[order]
-    lengths, counts = lengths[counts > 0], counts[counts > 0]
-    plan: list[tuple[int, np.ndarray, np.ndarray]] = []
-    if not len(lengths):
-        return plan, 0
-    plan, lower = attempt(lengths, counts, capacity, STEPS, LPS)
-    made, bound = sum(t for t, _, _ in plan), math.ceil(lower - 1e-6)
-    if made > bound + max(1, int(GAP * bound)):
-        other, _ = attempt(lengths, counts, capacity, 0, 0)
-        plan = min(plan, other, key=lambda p: sum(t for t, _, _ in p))
-    return plan, bound
+        free, held = capacity, np.zeros(len(lengths), np.int64)
+        while len(fits := np.flatnonzero((left > held) & (lengths <= free))):
+            k = fits[-1]
+            n = min(int(left[k] - held[k]), free // int(lengths[k]))
+            held[k] += n
+            free -= n * int(lengths[k])
+        at = np.flatnonzero(held)
+        times = int(np.min(left[at] // held[at]))
+        left[at] -= times * held[at]
+        plan.append((times, lengths[at], held[at]))
+    return plan, bound, share
 
 
 def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -214,16 +208,17 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     bound_batches(docs.sparkSession)
     cut = materialize(pieces(docs, vocabulary, id_col, text_col, capacity, end_id, with_ids), "pieces")
     histogram = cut.groupBy("length").count().collect()  # at most `capacity` rows
-    plan, bound = solved(np.array([r["length"] for r in histogram], np.int64), np.array([r["count"] for r in histogram], np.int64), capacity)
+    plan, bound, share = solved(np.array([r["length"] for r in histogram], np.int64), np.array([r["count"] for r in histogram], np.int64), capacity)
     places = Places(plan)
-    logging.getLogger(__name__).info("%d sequences, at least %d needed", places.sequences, bound)
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS))
+    logging.getLogger(__name__).info("%d sequences, at least %d needed; %.2f %% of the pieces placed by the linear program, the others best fit", places.sequences, bound, 100 * share)
+    buckets = 16 + sum(r["count"] for r in histogram) // BUCKET
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets))
     dealt = cut.withColumn("bucket", bucket)
-    counts = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))  # at most capacity * BUCKETS rows
+    counts = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = dealt.withColumn("own", own).join(F.broadcast(first), ["length", "bucket"]).withColumn("rank", F.col("own") + F.col("first"))
+    ranked = dealt.withColumn("own", own).join(first, ["length", "bucket"]).withColumn("rank", F.col("own") + F.col("first"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,7 +58,40 @@ def test_transducer_in_parts(encoder, library):
             held = max(held, t.held)
             got += t.finish()
             assert got == library.encode(text, add_special_tokens=False).ids
-    assert held <= 8 * encoder.v.longest < encoder.v.lookahead()
+    assert encoder.v.longest <= encoder.v.lookahead < 10 * encoder.v.longest
+    assert 0 < held <= 3 * (encoder.v.lookahead + encoder.v.longest)
+
+
+def test_memory_does_not_grow(encoder, library):
+    text = "abcab" * 40000
+    t, got = bpe.Transducer(encoder.v), []
+    for k in range(0, len(text), 1000):
+        got += t.feed(text[k : k + 1000].encode())
+        assert len(t.data) <= 3 * t.room and len(t.nodes) <= 3 * t.room
+    assert got + t.finish() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_small_vocabulary_by_hand():
+    """Merges ab, bc, cd in this order: a token's beginning can wait for three bytes."""
+    import json
+
+    letters = bpe.byte_alphabet()
+    names = [*letters, *(c + bpe.END_OF_WORD for c in letters), "bc", "ab", "cd"]
+    merges = [["c", "d"], ["b", "c"], ["a", "b"]]
+    v = bpe.Vocabulary(json.dumps({"model": {"vocab": {n: i for i, n in enumerate(names)}, "merges": merges}}))
+    assert v.lookahead == 4  # whether a and b meet depends on c, and that on d
+    for text in ("abcd!", "abc!", "ab!", "abcdabcabd!", "bcd!"):
+        assert bpe.Transducer(v).word(text.encode()) == v.merge(text.encode())
+
+
+def test_every_pretoken_goes_through_the_transducer(library, monkeypatch):
+    seen = []
+    word = bpe.Transducer.word
+    monkeypatch.setattr(bpe.Transducer, "word", lambda self, raw: seen.append(raw) or word(self, raw))
+    e = bpe.Encoder(bpe.Vocabulary(bpe.file_content(bpe.default_vocabulary())))
+    text = "The quick foxes' 42 tails, the quick " + "z" * 500
+    assert ids(e, text) == library.encode(text, add_special_tokens=False).ids
+    assert set(seen) == {x.encode() for x in (*"the quick foxes ' 4 2 tails ,".split(), "z" * 500)}
 
 
 @settings(max_examples=200, deadline=None)
@@ -79,7 +113,12 @@ def test_decoders(encoder, library):
     assert bpe.Decoder(encoder.v).decode(found) == library.decode(found, skip_special_tokens=False)
     d = bpe.Decoder(encoder.v)
     assert "".join(map(d.push, found)) == library.decode(found, skip_special_tokens=False)
+    column = pa.array([found, None, [], found[:1], found], pa.list_(pa.int32()))
+    assert d.close() == "" and d.column(column).to_pylist() == [d.decode(x or ()) for x in column.to_pylist()]
+    assert d.column(column.slice(1, 0)).to_pylist() == [] and d.column(column.slice(3)).to_pylist() == [d.decode(found[:1]), d.decode(found)]
     t = bpe.Decoder(encoder.v, "text")
+    plain = [[i for i in found if i in encoder.v.raw], [encoder.v.single[0xC3]], [encoder.v.single[0xC3], encoder.v.final[0xA9]]]
+    assert t.column(pa.array([*plain, found], pa.list_(pa.int32()))).to_pylist() == [*map(t.decode, plain), t.decode(found)]
     assert "".join([*map(t.push, found), t.close()]).split() == ["hello", "wörld", "😂", "it", "'s", "<|endoftext|>中文"]
 
 

@@ -43,11 +43,13 @@ def test_knapsack_equals_brute_force():
     for _ in range(20):
         a = np.unique(rng.integers(2, 12, 4))
         price = rng.random(len(a))
-        got = packing.knapsack(a, price, 23)
+        table = packing.knapsack(a, price, 23)
         best = np.zeros(24)
         for c in range(1, 24):
             best[c] = max([best[c - 1], *(best[c - x] + p for x, p in zip(a, price, strict=True) if x <= c)])
-        assert int(got @ a) <= 23 and abs(got @ price - best[23]) < 1e-9
+        assert np.allclose(table[0], best)
+        at, m, room = packing.layout(table, a, price, np.full(len(a), 30), np.ones(len(a)), rng)
+        assert int(m @ a[at]) + room == 23 and m @ price[at] >= (1 - packing.LOSS) * best[23] - 1e-9
 
 
 def test_query_over_all_documents(spark, sf_dir):
@@ -85,8 +87,38 @@ def test_odd_rows(spark):
     assert packing.pack(df.limit(0), path).count() == 0
 
 
-def test_many_lengths_without_fillers():
-    a, n = np.unique(np.random.default_rng(3).integers(225, 475, 1500), return_counts=True)
-    made = check_plan(a.tolist(), n.tolist(), 1024)
-    _, bound = packing.solved(a, n, 1024)
-    assert -(-int(a @ n) // 1024) <= bound <= made <= 1.06 * bound
+def best_fit(lengths, counts, capacity, monkeypatch):
+    with monkeypatch.context() as m:
+        m.setattr(packing, "ROUNDS", 0)
+        plan, _, share = packing.solved(lengths, counts, capacity)
+    assert share == 0
+    return sum(t for t, _, _ in plan)
+
+
+def test_many_lengths_without_fillers(monkeypatch):
+    for lo, hi, pieces, capacity in ((225, 475, 1500, 1024), (900, 1900, 6000, 4096)):
+        a, n = np.unique(np.random.default_rng(3).integers(lo, hi, pieces), return_counts=True)
+        made = check_plan(a.tolist(), n.tolist(), capacity)
+        _, bound, share = packing.solved(a, n, capacity)
+        assert -(-int(a @ n) // capacity) <= bound <= made <= 1.04 * bound and share > 0.85
+        assert made <= 0.95 * best_fit(a, n, capacity, monkeypatch)
+
+
+def test_the_linear_program_places_nearly_all(monkeypatch):
+    """Lengths of real documents, once and a hundredfold."""
+    import os
+
+    import duckdb
+
+    if not os.path.exists("/root/testdata/sf0.01/documents.parquet"):
+        pytest.skip("no test tables")
+    e = bpe.encoder_of(bpe.file_content(bpe.default_vocabulary()), library=True)
+    found = Counter()
+    for (text,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall():
+        n = len(e.encode((text or "").encode())) // 4 + 1
+        found.update([4096] * (n // 4096) + [n % 4096] * (n % 4096 > 0))
+    a, n = np.array(sorted(found)), np.array([found[k] for k in sorted(found)])
+    for times in (1, 100):
+        plan, bound, share = packing.solved(a, times * n)
+        made = sum(t for t, _, _ in plan)
+        assert share > 0.98 and made <= best_fit(a, times * n, 4096, monkeypatch) and made <= 1.001 * bound + 1
