@@ -45,18 +45,32 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return out
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+def bucketed(df: DataFrame, name: str, key: str, path: str | None = None, by: str | None = None) -> DataFrame:
     """As materialize, in buckets by key, so that grouping by it needs no shuffle of the table."""
     spark = df.sparkSession
-    unique = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
-    path = f"{shared_dir(spark)}/{unique}"
+    unique = name if path else f"{name}_{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark)}/{unique}"
     with freed(spark):
-        df.write.option("compression", "zstd").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).format("parquet").saveAsTable(unique)
+        written = df.write.option("compression", "zstd").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).format("parquet")
+        (written.partitionBy(by) if by else written).saveAsTable(unique)
     out = spark.table(unique)
     out._scratch, out._name = path, unique
     return out
 
 
+def opened(spark: SparkSession, path: str, schema: str, by: str) -> DataFrame:
+    """A bucketed table by its path: by its name if this session wrote it, else as plain files, which then have to be shuffled."""
+    name = path.rsplit("/", 1)[-1]
+    return spark.table(name) if spark.catalog.tableExists(name) else spark.read.schema(schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, and forget the table of its name."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    spark.sql(f"DROP TABLE IF EXISTS `{path.rsplit('/', 1)[-1]}`")
+
+
 @contextmanager
 def freed(spark: SparkSession) -> Iterator[None]:
     before = spark.conf.get(CLEANUP, "false")
@@ -70,18 +84,13 @@ def freed(spark: SparkSession) -> Iterator[None]:
 def drop_part(df: DataFrame, *folders: str) -> None:
     """Delete parts of a table materialized by a column, which no plan reads any more."""
     for folder in folders:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{df._scratch}/{folder}")
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, f"{df._scratch}/{folder}")
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that no plan reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        if hasattr(df, "_name"):
-            spark.sql(f"DROP TABLE IF EXISTS {df._name}")
+        delete(df.sparkSession, df._scratch)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

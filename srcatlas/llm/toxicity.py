@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from srcatlas.llm import words as W
+from srcatlas.llm._pack import ascended, ascending, cuts, packed, unpacked
 from srcatlas.llm._store import bound_batches, bucketed, discard, drop_part, materialize
 
 #: Bytes of text in a chunk (a longer document is one alone), and tokens for each cell of pairs and range of words.
@@ -52,30 +53,6 @@ PAIRS = "cell int, chunk long, words binary, m binary, v binary, n binary, asked
 MERGED = "kind string, chunk long, part int, words binary, value binary, hits binary"
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Numbers by their bytes' places, compressed: leading zeros cost nothing."""
-    x = np.ascontiguousarray(x).reshape(-1)
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
-    return len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
-
-
-def unpacked(blob: bytes, kind: type) -> np.ndarray:
-    n, size = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
-    if not n:
-        return np.zeros(0, kind)
-    planes = np.frombuffer(pa.decompress(blob[8:], n * size, codec="zstd"), np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(kind)
-
-
-def ascending(x: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers as differences."""
-    return packed(np.diff(x, prepend=np.uint64(0)))
-
-
-def ascended(blob: bytes) -> np.ndarray:
-    return np.cumsum(unpacked(blob, np.uint64), dtype=np.uint64)
-
-
 def pair_hash(w: np.ndarray, v: np.ndarray) -> np.ndarray:
     return W.mix(w * np.uint64(0x9E3779B97F4A7C15) + W.mix(v + np.uint64(0x632BE59BD9B4E019)))
 
@@ -164,12 +141,6 @@ class Chunk:
         return np.stack([np.bincount(self.pair[self.own == g], minlength=len(self.w)) for g in range(GROUPS)]).astype(np.uint32)
 
 
-def cuts(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(key, from, to) of each run of sorted keys."""
-    at = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
-    return ((int(keys[a]), a, b) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if b > a)
-
-
 def batch_of(rows: list[tuple], schema: str) -> pa.Table:
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     fields = [x.split() for x in schema.split(", ")]

@@ -64,17 +64,52 @@ def test_spans_and_carried_columns(spark):
         assert len(gone) == r.n_removed and " ".join(x for k, x in enumerate(w) if k not in gone) == r.kept_text
 
 
-def test_index_over_batches(spark, tmp_path):
+def test_index_over_calls(spark, tmp_path, monkeypatch):
+    """Loads one by one; runs are compacted, and their ranges split."""
     docs = made(5)
     df = spark.createDataFrame([(i, t, "x", 3) for i, t in docs], SCHEMA)
-    index = substring.FingerprintIndex(spark, f"{tmp_path}/{time.time()}", bits=3)
+    index = substring.FingerprintIndex(spark, f"{tmp_path}/{time.time()}")
     got = {}
-    for k, (lo, hi) in enumerate([(0, 20), (20, 45), (45, 99)]):
+    for lo, hi in [(0, 20), (20, 35), (35, 45), (45, 99)]:
         got |= found(substring.dedup(df.filter(f"doc_id >= {lo} and doc_id < {hi}"), batch_bytes=4000, index=index))
-        if k == 1:
-            index.compact()
-            assert len(index.live()) == 1
-    assert got == brute(docs)
+        monkeypatch.setattr(substring, "RANGE", 20)
+    assert len(index.live()) == 2 and index.manifest()["bits"] > 5
+    index.compact()
+    assert len(index.live()) == 1 and got == brute(docs)
+    again = substring.dedup(df, index=index)
+    assert all(r.n_removed == r.n_words for r in again.collect() if r.n_words >= 20)
+
+
+def test_words_that_a_polynomial_takes_for_equal(spark):
+    """Thue-Morse words have one value under any polynomial with an odd base modulo 2**64."""
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    head = " ".join(f"h{k}" for k in range(19))
+    df = spark.createDataFrame([(1, f"{head} {one}", "", 0), (2, f"{head} {two}", "", 0)], SCHEMA)
+    assert {r.doc_id: r.n_removed for r in substring.dedup(df).collect()} == {1: 0, 2: 0}
+
+
+def test_one_id_of_several_batches(spark):
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(300)]
+    rows = [(1, " ".join(rng.choice(base) for _ in range(60)), "", 0) for _ in range(3)]
+    hot = [" ".join(base[k : k + 40]) for k in (0, 50, 0, 100, 5)]
+    rows += [(5, t, "", 0) for t in hot * 4] + [(None, hot[0], "", 0), (None, hot[0], "", 0), (7, hot[1], "", 0)]
+    # One id: row 5.. starts five words into row 0, so only windows that start later than their first occurrence go.
+    for size in (150, 400, 10**6):
+        out = substring.dedup(spark.createDataFrame(rows, SCHEMA), batch_bytes=size, loads=2, carry=("text",)).collect()
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.text, r.n_removed) for r in out if r.doc_id != 1)
+        want = [(False, 5, t, 0 if t != hot[0] else 35) for t in hot * 4] + [(True, 0, hot[0], 40)] * 2 + [(False, 7, hot[1], 40)]
+        assert got == sorted(want)
+
+
+def test_layout_stays_where_nothing_is_removed(spark):
+    long = " ".join(f"x{k}" for k in range(50000))
+    rows = [(1, "a \n b", "", 0), (2, None, "", 0), (3, long, "", 0), (4, "y " + long, "", 0)]
+    got = {r.doc_id: r.kept_text for r in substring.dedup(spark.createDataFrame(rows, SCHEMA), layout=True).collect()}
+    assert got == {1: "a \n b", 2: None, 3: long, 4: "y"}
 
 
 def test_null_ids_repeated_rows_and_no_rows(spark):
