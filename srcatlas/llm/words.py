@@ -115,11 +115,12 @@ def window_starts(first: np.ndarray, k: int, short: bool = False) -> np.ndarray:
     return at[keep]
 
 
-def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of each k-word shingle; a document of fewer words has one, of all its words."""
+def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, hash, independent hash) of each k-word shingle; a document of fewer words has one, of all its words."""
     start = window_starts(words.first, k, short=True)
     last = np.repeat(words.first[1:], words.counts())
-    return words.doc()[start], spans(words.hashes(), start, np.minimum(start + k, last[start]) if len(start) else start)
+    end = np.minimum(start + k, last[start]) if len(start) else start
+    return words.doc()[start], spans(words.hashes(), start, end), spans(words.hashes(1), start, end)
 
 
 #: For language models: runs of ASCII letters and of all bytes beyond ASCII are words, and ASCII letters lose their case.

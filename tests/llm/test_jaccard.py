@@ -101,3 +101,50 @@ def test_posterior():
             return p[x >= 0.8].sum() / p.sum()
 
         assert tail(m) >= 1e-7 * 0.9 and (m == 0 or tail(m - 1) < 1e-7 * 1.1)
+
+
+def test_words_that_a_polynomial_takes_for_equal(spark):
+    """Thue-Morse words have one value under any polynomial with an odd base modulo 2**64."""
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    out = jaccard.near_duplicates(spark.createDataFrame([(1, one, None, ""), (2, two, None, "")], SCHEMA)).collect()
+    assert {r.doc_id: (r.copy_of, r.class_id, r.n_copies, r.n_links) for r in out} == {1: (1, 1, 1, 0), 2: (2, 2, 1, 0)}
+
+
+def test_exact_sets_do_not_hash():
+    import pyarrow as pa
+
+    texts = ["a b c d e f", "a b c d e f a b c d e", None, "", "x y", "x  y", "b c d e f a", "a b c d e"]
+    sets = [set(s.tolist()) for s in jaccard.exact_sets(pa.array(texts), 5)]
+    shingles = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").split() for t in texts)]
+    for a, x in zip(sets, shingles, strict=True):
+        for b, y in zip(sets, shingles, strict=True):
+            assert len(a & b) == len(x & y) and len(a) == len(x)
+
+
+def test_ids_with_several_texts(spark):
+    """All rows of an id are in one class, whichever rows there are beside them, and runs agree."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (4, c), (4, c), (5, c + " tail")]
+    runs = []
+    for order in (rows, rows[::-1]):
+        out = jaccard.near_duplicates(spark.createDataFrame([(i, t, None, "") for i, t in order], SCHEMA)).collect()
+        assert len(out) == len(rows)
+        runs.append(sorted((r.doc_id, r.copy_of, r.class_id, r.n_copies, r.n_links) for r in out))
+    assert runs[0] == runs[1] and len({x for x in runs[0] if x[0] == 1}) == 1
+    assert {x[2] for x in runs[0] if x[0] in (4, 5)} == {4} and len({x[2] for x in runs[0] if x[0] in (2, 3)} & {1}) == 1
+
+
+def test_recall_at_size(spark):
+    """2000 documents with a planted copy each, at similarities around the threshold: links as by brute force."""
+    rng = random.Random(11)
+    docs = []
+    for i in range(0, 4000, 2):
+        w = [f"{rng.randrange(10**6)}" for _ in range(rng.randint(40, 120))]
+        docs.append((i, " ".join(w)))
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = "changed"
+        docs.append((i + 1, " ".join(w)))
+    assert found(jaccard.near_duplicates(spark.createDataFrame([(i, t, None, "") for i, t in docs], SCHEMA))) == brute(docs)
