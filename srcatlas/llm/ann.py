@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by a permutation index.
 
-Pivots are drawn from a bounded sample. A vector is represented by the order of
-its nearest pivots; each block of vectors keeps one inverted file per pivot with
-the place that pivot has in each vector's order. A query walks the files of its
-own pivots, sums the footrule distance of the two orders, takes the closest share
-of the block and reranks those with the exact inner product. The last step merges
-the blocks' lists. Every vector is indexed; only the choice of pivots is sampled.
+Pivots are drawn from a bounded sample. A vector is represented by the order of its
+nearest pivots, and posted in the inverted files of those alone, with the place that the
+pivot has in its order. A query reads the files of its own nearest pivots, sums the
+footrule distance of the two orders (a pivot that a vector isn't posted under counts as
+the place after the last), takes the closest share of a block of vectors and reranks it
+with the exact inner product. The last step merges the blocks' lists. Every vector is
+indexed; only the choice of pivots is sampled.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 from srcatlas.llm._store import bound_batches
 
 #: Pivots of the index, vectors they are drawn from, share of a block reranked and its least number.
-PIVOTS, SAMPLE, SHARE, LEAST = 128, 4096, 0.06, 400
+PIVOTS, SAMPLE, SHARE, LEAST = 256, 4096, 0.07, 400
+#: Nearest pivots under which a vector is posted, and files that a query reads.
+POSTED, READ = 64, 32
 #: Vectors of a block and queries handled against it by one task; both bound a task's memory.
 BLOCK, QUERIES = 32768, 8192
 
@@ -59,13 +62,18 @@ def choose_pivots(rows: DataFrame, n: int, pivots: int = PIVOTS, sample: int = S
     return x[taken]
 
 
-def pivot_order(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """For each vector, the place of each pivot in its order of nearness (ties to the earlier pivot)."""
-    near = x @ pivots.T
-    order = np.argsort(-near, axis=1, kind="stable")
-    place = np.empty(order.shape, np.int16)
-    np.put_along_axis(place, order, np.arange(order.shape[1], dtype=np.int16)[None, :], axis=1)
-    return place
+def nearest_pivots(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest pivots of each vector, in order (ties to the earlier pivot)."""
+    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :k]
+
+
+def inverted_files(orders: np.ndarray, pivots: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(vectors, places) for each pivot."""
+    flat = orders.reshape(-1)
+    by = np.argsort(flat, kind="stable")
+    bounds = np.searchsorted(flat[by], np.arange(pivots + 1))
+    vector, place = by // orders.shape[1], by % orders.shape[1]
+    return [(vector[a:b].astype(np.int32), place[a:b].astype(np.int16)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, k: int, share: float, least: int):
@@ -80,22 +88,26 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarra
     fresh[1:] = (x[1:] != x[:-1]).any(axis=1)
     first = np.append(np.flatnonzero(fresh), len(x))
     ux = np.ascontiguousarray(x[first[:-1]])
-    files = np.ascontiguousarray(pivot_order(ux, pivots).T)  # one inverted file per pivot
+    posted, read = min(POSTED, len(pivots)), min(READ, len(pivots))
+    files = inverted_files(nearest_pivots(ux, pivots, posted), len(pivots))
+    # By the places in the query and in the vector: how much less the footrule is than for a vector that isn't posted.
+    here, there = np.arange(read)[:, None], np.arange(posted)[None, :]
+    less = (np.abs(posted - here) - np.abs(there - here)).astype(np.int16)
     c = min(len(ux), max(least, math.ceil(share * len(ux)), 2 * k))
     found = [[], [], []]
-    term, total = np.empty(len(ux), np.int16), np.empty(len(ux), np.int32)
-    for qid, v, places in zip(q_ids, q, pivot_order(q, pivots), strict=True):
+    total, in_order = np.empty(len(ux), np.int16), np.sort(ids)
+    for qid, v, own in zip(q_ids, q, nearest_pivots(q, pivots, read), strict=True):
         total[:] = 0
-        for file, at in zip(files, places, strict=True):
-            np.subtract(file, at, out=term)
-            np.abs(term, out=term)
-            total += term
-        near = np.argpartition(total, c - 1)[:c] if c < len(ux) else np.arange(len(ux))
+        for at, p in enumerate(own):
+            vector, place = files[p]
+            total[vector] += less[at][place]
+        near = np.argpartition(-total, c - 1)[:c] if c < len(ux) else np.arange(len(ux))
         score = (ux[near] * v).sum(axis=1)  # each row is summed in one order, so copies tie exactly
-        if len(near) > k + 1:
-            cut = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+        most = k + int(np.searchsorted(in_order, qid, "right") - np.searchsorted(in_order, qid))  # with rows that have the query's own id
+        if len(near) > most:
+            cut = np.partition(score, len(score) - most)[len(score) - most]
             near, score = near[score >= cut], score[score >= cut]
-        lists = [ids[first[u] : min(first[u + 1], first[u] + k + 1)] for u in near]  # ids ascend
+        lists = [ids[first[u] : min(first[u + 1], first[u] + most)] for u in near]  # ids ascend
         vec, s = np.concatenate(lists), np.repeat(score, [len(a) for a in lists])
         s, vec = s[vec != qid], vec[vec != qid]
         top = np.lexsort((vec, -s))[:k]
@@ -110,8 +122,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     Ties go to the smaller id, copies included. Vectors that are null, zero, hold
     null or non-finite components, have a null id, or not the width that most of
     the sample has, take no part. A row with the query's own id is never its
-    candidate; of rows that repeat an id the least vector counts. An empty table
-    gives an empty result. Blocks are dealt by id, so a hot vector is spread out.
+    candidate; other rows that repeat an id are candidates each, and of queries that
+    repeat one the least vector asks. An empty table gives an empty result. Blocks are
+    dealt by id and vector, so a hot one is spread out.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
@@ -123,8 +136,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     width = points.shape[1]
     blocks, parts = max(math.ceil(n / BLOCK), min(8, math.ceil(n / 512))), math.ceil(nq / QUERIES)
     fits = F.size("v") == width
-    deal = lambda df, own, other, m, k: df.filter(fits).groupBy("id").agg(F.min("v").alias("v")).withColumns({own: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))})
-    left, right = deal(rows, "b", "p", blocks, parts), deal(asked, "p", "b", parts, blocks)
+    deal = lambda df, own, other, m, k: df.withColumns({own: F.pmod(F.xxhash64("id", "v"), F.lit(m)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))})
+    once = asked.filter(fits).groupBy("id").agg(F.min("v").alias("v"))
+    left, right = deal(rows.filter(fits), "b", "p", blocks, parts), deal(once, "p", "b", parts, blocks)
 
     def matrix(t: pa.Table) -> np.ndarray:
         flat = t["v"].combine_chunks()
