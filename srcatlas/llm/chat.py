@@ -63,12 +63,21 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     turns = turns.withColumn("out", F.when(fine, render(F.col("r"), F.col("b"))).otherwise(F.raise_error(F.lit("a turn does not survive the round trip"))))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     upto = F.sum(F.length("out")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    placed = turns.select("conv_id", "role", "out", F.length("b").alias("n"), upto.alias("upto"))
+    placed = turns.select("conv_id", "role", "text", "out", F.length("b").alias("n"), upto.alias("upto"))
     close = placed.upto - len(END)
-    piece = F.struct("upto", "out", F.when(F.col("role") == loss_role, F.struct((close - F.col("n")).cast("long").alias("start"), close.cast("long").alias("end"))).alias("span"))
+    piece = F.struct("upto", "out", F.when(F.col("role") == loss_role, F.struct((close - F.col("n")).cast("long").alias("start"), close.cast("long").alias("end"))).alias("span"), F.struct("role", "text").alias("source"))
     whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("p"))
-    formatted = whole.select("conv_id", F.concat_ws("", "p.out").alias("formatted"), F.filter("p.span", lambda s: s.isNotNull()).alias("loss"))
-    return formatted.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), "loss")
+    formatted = whole.select("conv_id", F.concat_ws("", "p.out").alias("formatted"), F.filter("p.span", lambda s: s.isNotNull()).alias("loss"), F.col("p.source").alias("source"))
+    read = formatted.withColumn("turns", parse(F.col("formatted")))
+    # The whole is read back once more and compared with what it was made of, turn by turn and span by span.
+    own = F.transform("turns", lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(t["body"]).alias("text")))
+    back = read.withColumn("turns", F.when(own == F.col("source"), F.col("turns")).otherwise(F.raise_error(F.lit("a conversation does not survive the round trip"))))
+    return back.select("conv_id", "formatted", "turns", "loss")
+
+
+def masked(formatted: Column, loss: Column) -> Column:
+    """The text under the loss mask, unescaped: the spans cut from the formatted text, one after the other."""
+    return F.concat_ws("", F.transform(loss, lambda s: unescape(F.substring(formatted, s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")))))
 
 
 def query(spark, sf_dir):
@@ -79,9 +88,8 @@ def query(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     read = format_chats(rows)
     turn = lambda t: F.concat(unescape(t["role"]), F.lit("\n"), unescape(t["body"]), F.lit("\n"))
-    # Bodies under the mask: spans and bodies come in the same order.
-    masked = F.concat_ws("", F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: unescape(t["body"])))
-    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.concat_ws("", F.transform("turns", turn)), 256).alias("turns_sha256"), F.length(masked).cast("long").alias("loss_chars"), F.sha2(masked, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    under = masked(F.col("formatted"), F.col("loss"))
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.concat_ws("", F.transform("turns", turn)), 256).alias("turns_sha256"), F.length(under).cast("long").alias("loss_chars"), F.sha2(under, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
 #: From the source rows, without the parser; only formatted_chars knows the template.
