@@ -1,57 +1,22 @@
 """Corpus pipeline: from raw documents to packed token sequences.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
-the columns of documents. A stage works on everything its predecessor kept.
+The stages are those of srcatlas.llm.pipeline; each works on everything its predecessor
+kept, which lies in the shared folder as Parquet in between.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from srcatlas.llm import bpe, jaccard, langid, packing, substring, toxicity
+from srcatlas.llm import pipeline
 from srcatlas.llm._store import materialize, table
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose language can't be told: null texts and those without a letter. The others get the language found."""
-    found = langid.identify(docs.select(*COLUMNS), carry=COLUMNS)
-    return found.filter(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
-
-
-def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that score as toxic."""
-    found = toxicity.score(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), carry=COLUMNS)
-    return found.filter("predicted = 0").select(*COLUMNS)
-
-
-def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least document of each group of near duplicates. Rows that repeat an id are one document; a null id stays."""
-    found = jaccard.near_duplicates(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    # One plan at every size, instead of a broadcast of the ids only where they are few.
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi").select(*COLUMNS)
-
-
-def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated passages out of texts; a text without any stays as it is, layout included."""
-    found = substring.dedup(docs, carry=COLUMNS[1:])
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, bpe.default_vocabulary())
-
-
 STAGES = [
-    ("language ID", languages),
-    ("toxicity", not_toxic),
-    ("n-gram Jaccard join", one_of_each),
-    ("substring dedup", without_repeats),
-    ("best-fit packing", packed),
+    ("language ID", pipeline.languages),
+    ("toxicity", pipeline.not_toxic),
+    ("n-gram Jaccard join", pipeline.one_of_each),
+    ("substring dedup", pipeline.without_repeats),
+    ("best-fit packing", pipeline.packed),
 ]
 
 #: SQL can't express the models of the first stages.
@@ -59,6 +24,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of the documents of a folder that pass all stages."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
