@@ -50,7 +50,7 @@ def folder(spark, tmp_path_factory):
     rows = [(k, text(k, 60), "en" if k % 2 else "de", "web", 1) for k in range(40)]
     rows += [rows[3], rows[3], (5, text(77, 60), "en", "x", None), (60, rows[8][1], "de", "copy", 1), (61, rows[9][1] + " tail", "en", "near", 1)]
     rows += [(70, None, "en", "web", 0), (71, "", None, None, None), (72, "12 !", "de", "web", 4), (73, text(5, 30000), None, "long", 9), (None, text(90, 50), "en", None, 1), (None, None, None, None, None)]
-    rows += [(80, text(55, 30) + " " + " ".join(rows[11][1].split()[:30]), "de", "part", 1)]
+    rows += [(80, " ".join(f"own{i}" for i in range(30)) + " " + " ".join(rows[11][1].split()[:30]), "de", "part", 1)]
     docs = spark.createDataFrame([(*r, 1, "extra", 2.0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, id int, g string, chunk double")
     docs.write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(k, 0, 0) for k in range(0, 40, 3)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
