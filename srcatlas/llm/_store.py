@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,12 +23,27 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Before Python runs: workers get the package, and, as rows here are whole documents, Arrow batches 1000 rows instead of Spark's default of 10000, unless that has been set already."""
+#: Arrow batches for Python, unless the session has been set otherwise: rows here are whole documents, or chunks of many.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Before Python runs: workers get the package, and Arrow batches are smaller than Spark's own default."""
     ship.ensure(spark)
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, "10000") == "10000":
-        spark.conf.set(name, str(rows))
+    for name, (default, ours) in BATCHES.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, ours)
+
+
+def release() -> None:
+    """Give memory that this process no longer uses back to the system: workers are kept for later stages."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
 
 
 #: Spark's own setting: the shuffle files of a query go as soon as it has ended.

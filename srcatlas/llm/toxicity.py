@@ -37,10 +37,12 @@ from pyspark.sql import types as T
 
 from srcatlas.llm import words as W
 from srcatlas.llm._pack import ascended, ascending, cuts, packed, unpacked
-from srcatlas.llm._store import bound_batches, bucketed, discard, drop_part, materialize
+from srcatlas.llm._store import bound_batches, bucketed, discard, drop_part, materialize, release
 
 #: Bytes of text in a chunk (a longer document is one alone), and tokens for each cell of pairs and range of words.
 CHUNK, CELL = 16 << 20, 1 << 23
+#: Bytes of results that a task holds before it hands them on.
+FLUSH = 4 << 20
 #: Words of a passage; training rows for the curve; the score from which a document counts as toxic.
 PASSAGE, SAMPLE, TOXIC_AT = 24, 20000, 0.3
 #: Label rows up to which they are broadcast; beyond, the join is shuffled.
@@ -82,6 +84,7 @@ def chunks(carry: list[str]):
         return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(h)]), *(pa.array([b], pa.binary()) for b in blobs)], ["chunk", "tokens", "keys", "times", "seq", "first", "groups", "rows"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held, size, k = [], 0, 0
         for batch in batches:
             if batch.num_rows:
@@ -114,31 +117,43 @@ class Chunk:
         before = np.zeros_like(seq)
         before[1:] = seq[:-1]
         before[self.first[:-1][n > 0]] = 0
-        code = seq.astype(np.uint64) << np.uint64(32) | before.astype(np.uint64)
+        code = seq.astype(np.uint64)
+        code <<= np.uint64(32)
+        code |= before
+        del seq, before
         order = np.argsort(code)
         code = code[order]
         new = np.ones(len(code), bool)
         new[1:] = code[1:] != code[:-1]
-        at = np.empty(len(seq), np.int32)
+        at = np.empty(len(code), np.int32)
         at[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
         del order
         code = code[new]
-        w, v = (code >> np.uint64(32)).astype(np.int32), (code & np.uint64(0xFFFFFFFF)).astype(np.int32)
+        w, v = (code >> np.uint64(32)).astype(np.int32), code.astype(np.uint32).astype(np.int32)
+        del code, new
         learned = np.zeros(len(w), bool)
         learned[at[own >= 0]] = True
-        h = pair_hash(self.words[w], self.words[v])
-        cell = (h >> np.uint64(40)) % np.uint64(parts)
-        key = h & np.uint64((1 << KEY_BITS) - 1)
-        place = np.where(learned, np.arange(len(w), dtype=np.uint64), key)
-        by_cell = np.argsort((cell << np.uint64(1) | ~learned) << np.uint64(KEY_BITS) | place, kind="stable")
-        self.w, self.v, self.key, self.learned, self.cell = w[by_cell], v[by_cell], key[by_cell], learned[by_cell], cell[by_cell].astype(np.int64)
-        rank = np.empty(len(w), np.int32)
-        rank[by_cell] = np.arange(len(w), dtype=np.int32)
+        key = pair_hash(self.words[w], self.words[v])
+        cell = (key >> np.uint64(40)) % np.uint64(parts)
+        key &= np.uint64((1 << KEY_BITS) - 1)
+        by = cell << np.uint64(1)
+        by |= ~learned
+        by <<= np.uint64(KEY_BITS)
+        by |= np.where(learned, np.arange(len(w), dtype=np.uint64), key)
+        by_cell = np.argsort(by, kind="stable")
+        del by
+        self.w, self.v, self.key, self.learned, self.cell = w[by_cell], v[by_cell], key[by_cell], learned[by_cell], cell[by_cell].astype(np.int32)
+        del w, v, key, learned, cell
+        rank = np.empty(len(by_cell), np.int32)
+        rank[by_cell] = np.arange(len(by_cell), dtype=np.int32)
         self.pair, self.own = rank[at], own
 
     def counts(self) -> np.ndarray:
         """How often each pair stands in rows of each group."""
-        return np.stack([np.bincount(self.pair[self.own == g], minlength=len(self.w)) for g in range(GROUPS)]).astype(np.uint32)
+        out = np.empty((GROUPS, len(self.w)), np.uint32)
+        for g in range(GROUPS):
+            out[g] = np.bincount(self.pair[self.own == g], minlength=len(self.w))
+        return out
 
 
 def batch_of(rows: list[tuple], schema: str) -> pa.Table:
@@ -147,18 +162,31 @@ def batch_of(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table([pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(fields)], [name for name, _ in fields])
 
 
+def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows, one in Python at a time: a chunk's take megabytes. What earlier tasks of this worker had held goes back first."""
+    release()
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+            release()
+
+
 def pairs(parts: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                c = Chunk(row, parts)
-                n, rows = c.counts(), []
-                for cell, a, b in cuts(c.cell):
-                    k = a + int(c.learned[a:b].sum())
-                    used = np.unique(np.concatenate([c.w[a:k], c.v[a:k]]))  # both words of a pair as places in these
-                    m = np.bincount(np.searchsorted(used, c.w[a:k]), minlength=len(used)).astype(np.uint32)
-                    rows.append((cell, row["chunk"], ascending(c.words[used]), packed(m), packed(np.searchsorted(used, c.v[a:k]).astype(np.uint32)), packed(n[:, a:k]), ascending(c.key[k:b])))
-                yield from batch_of(rows, PAIRS).to_batches()
+        for row in one_by_one(batches):
+            c = Chunk(row, parts)
+            n, rows, size = c.counts(), [], 0
+            for cell, a, b in cuts(c.cell):
+                k = a + int(c.learned[a:b].sum())
+                used = np.unique(np.concatenate([c.w[a:k], c.v[a:k]]))  # both words of a pair as places in these
+                m = np.bincount(np.searchsorted(used, c.w[a:k]), minlength=len(used)).astype(np.uint32)
+                rows.append((cell, row["chunk"], ascending(c.words[used]), packed(m), packed(np.searchsorted(used, c.v[a:k]).astype(np.uint32)), packed(n[:, a:k]), ascending(c.key[k:b])))
+                size += sum(map(len, rows[-1][2:]))
+                if size >= FLUSH:
+                    yield from batch_of(rows, PAIRS).to_batches()
+                    rows, size = [], 0
+            yield from batch_of(rows, PAIRS).to_batches()
+            del c, n, rows
 
     return task
 
@@ -167,11 +195,10 @@ def asked(parts: int):
     """The words of each chunk and how often they stand in it, by range."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, times = vocabulary_of(row)
-                rows = [("q", row["chunk"], p, ascending(words[a:b]), packed(times[a:b]), None) for p, a, b in cuts(ranges(words, parts))]
-                yield from batch_of(rows, MERGED).to_batches()
+        for row in one_by_one(batches):
+            words, times = vocabulary_of(row)
+            rows = [("q", row["chunk"], p, ascending(words[a:b]), packed(times[a:b]), None) for p, a, b in cuts(ranges(words, parts))]
+            yield from batch_of(rows, MERGED).to_batches()
 
     return task
 
@@ -192,18 +219,23 @@ def add_pairs(parts: int):
     """One cell: totals of every pair for each chunk ('a'), sums over the pairs for words ('w', 'v'), counts of counts ('c')."""
 
     def merge(t: pa.Table) -> pa.Table:
+        release()
         got = t.to_pylist()
         held = [ascended(r["words"]) for r in got]
         w = np.concatenate([np.repeat(x, unpacked(r["m"], np.uint32)) for x, r in zip(held, got, strict=True)])
         v = np.concatenate([x[unpacked(r["v"], np.uint32)] for x, r in zip(held, got, strict=True)])
-        n = np.concatenate([unpacked(r["n"], np.uint32).reshape(GROUPS, -1) for r in got], axis=1).astype(np.int64)
+        n = np.concatenate([unpacked(r["n"], np.uint32).reshape(GROUPS, -1) for r in got], axis=1)
+        del held
         order = np.lexsort((v, w))
         w, v = w[order], v[order]
         new = np.ones(len(w), bool)
         new[1:] = (w[1:] != w[:-1]) | (v[1:] != v[:-1])
-        total = np.add.reduceat(n[:, order], np.flatnonzero(new), axis=1) if len(w) else n
-        back = np.empty(len(w), np.int64)
-        back[order] = np.cumsum(new) - 1
+        at = np.flatnonzero(new)
+        total = np.stack([np.add.reduceat(x[order], at, dtype=np.int64) for x in n]) if len(w) else n.astype(np.int64)
+        del n
+        back = np.empty(len(w), np.int32)
+        back[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        del order
         w, v = w[new], v[new]
         key, at = np.unique(pair_hash(w, v) & np.uint64((1 << KEY_BITS) - 1), return_index=True)
         rows, done = [], 0
@@ -336,6 +368,7 @@ def measure(models: Models, parts: int, names: list[str]):
     """A chunk and the answers to it, to its rows with the features by the full model (x) and by the early one (early)."""
 
     def task(own: pa.Table, answers: pa.Table) -> pa.Table:
+        release()
         row = own.to_pylist()[0]
         c = Chunk(row, parts)
         n, u = np.zeros((GROUPS, len(c.w)), np.uint32), np.zeros((21, len(c.words)), np.int64)
