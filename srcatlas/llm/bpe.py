@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcatlas.llm._store import bound_batches
+from srcatlas.llm._store import bound_batches, release
 
 END_OF_WORD = "</w>"
 #: The white space of the vocabulary's patterns.
@@ -420,6 +420,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(file_content(vocabulary))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         e = encoder_of(shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -436,6 +437,7 @@ def decode(encoded: DataFrame, vocabulary: str, mode: str = "joined") -> DataFra
     shared = encoded.sparkSession.sparkContext.broadcast(file_content(vocabulary))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         d = Decoder(encoder_of(shared.value).v, mode)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):

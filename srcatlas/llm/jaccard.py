@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.llm import words as W
-from srcatlas.llm._store import bound_batches, discard, materialize
+from srcatlas.llm._store import bound_batches, discard, materialize, release
 from srcatlas.llm.components import connected_components
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
@@ -178,6 +178,7 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def sign(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         import hashlib
 
         for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from srcatlas.llm import words as W
-from srcatlas.llm._store import bound_batches
+from srcatlas.llm._store import bound_batches, release
 from srcatlas.llm.tables import PART, entries, merged
 
 GRAMS, EM_STEPS, TEMPER = 1 << 16, 8, 0.5
@@ -147,6 +147,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     schema = T.StructType([source.schema["id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_langs", T.IntegerType()), *kept])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model = shared.value
         for batch in batches:
             lettered = np.array([x is not None and LETTER.search(x) is not None for x in batch.column(1).to_pylist()], bool) & bool(model.langs)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcatlas.llm import bpe
-from srcatlas.llm._store import bound_batches, materialize
+from srcatlas.llm._store import bound_batches, materialize, release
 
 CAPACITY, END_ID = 4096, 1
 #: Pricing steps of an LP at most, layouts read off each table, and LPs over what rounding leaves at most.
@@ -181,6 +181,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, capacit
     end = np.array([end_id], "<u4").tobytes()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         e = bpe.encoder_of(shared.value, 2 * bpe.CHUNKS, library=True)  # no decoder runs beside it
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):

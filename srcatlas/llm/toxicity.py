@@ -39,7 +39,7 @@ from srcatlas.llm import words as W
 from srcatlas.llm._pack import ascended, ascending, cuts, packed, unpacked
 from srcatlas.llm._store import bound_batches, bucketed, discard, drop_part, materialize, release
 
-#: Bytes of text in a chunk (a longer document is one alone), and tokens for each cell of pairs and range of words.
+#: Bytes of text in a chunk, with the columns that it carries (a longer document is one alone), and tokens for each cell of pairs and range of words.
 CHUNK, CELL = 16 << 20, 1 << 23
 #: Bytes of results that a task holds before it hands them on.
 FLUSH = 4 << 20
@@ -89,7 +89,7 @@ def chunks(carry: list[str]):
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-                size += batch.column("text").nbytes
+                size += batch.nbytes
             if size >= CHUNK:
                 yield pack(held, k)
                 held, size, k = [], 0, k + 1
@@ -369,16 +369,19 @@ def measure(models: Models, parts: int, names: list[str]):
 
     def task(own: pa.Table, answers: pa.Table) -> pa.Table:
         release()
-        row = own.to_pylist()[0]
+        row = own.drop_columns(["rows"]).to_pylist()[0]
         c = Chunk(row, parts)
+        del row
         n, u = np.zeros((GROUPS, len(c.w)), np.uint32), np.zeros((21, len(c.words)), np.int64)
-        found = {(r["kind"], r["part"]): r for r in answers.to_pylist()}
+        found = {(kind, part): k for k, (kind, part) in enumerate(zip(answers["kind"].to_pylist(), answers["part"].to_pylist(), strict=True))}
+        answer = lambda kind, part: answers.slice(found[kind, part], 1).to_pylist()[0]
         for cell, a, b in cuts(c.cell):
-            n[:, a:b] = counts_of_pairs(c, a, b, found["a", cell])
+            n[:, a:b] = counts_of_pairs(c, a, b, answer("a", cell))
         for part, a, b in cuts(ranges(c.words, parts)):
-            u[:, a:b] = unpacked(found["u", part]["value"], np.int64).reshape(21, -1)
-        rows = pa.ipc.open_stream(row["rows"]).read_all()
+            u[:, a:b] = unpacked(answer("u", part)["value"], np.int64).reshape(21, -1)
         x = [np.concatenate([features(ratio[c.pair[c.first[a] : c.first[b]]], c.first[a : b + 1] - c.first[a]) for a, b in blocks(c.first)]) for ratio in (models.ratios(c, n, u, m) for m in (1, 0))]
+        del c, n, u
+        rows = pa.ipc.open_stream(own["rows"][0].as_buffer()).read_all()
         at = pa.array(np.arange(rows.num_rows + 1) * FEATURES, pa.int32())
         return pa.table([*(pa.ListArray.from_arrays(at, pa.array(y.reshape(-1))) for y in x), *rows.columns], ["x", "early", *names])
 
