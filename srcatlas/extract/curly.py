@@ -25,16 +25,41 @@ KEYWORDS = {
 SKIP = {
     "rust": frozenset("println print eprintln eprint format write writeln panic assert assert_eq assert_ne debug_assert debug_assert_eq debug_assert_ne unreachable unimplemented todo vec dbg cfg include include_str include_bytes concat stringify env option_env file line column module_path Default Clone Copy Drop Some None Ok Err".split()),
     "go": frozenset("make len cap append copy delete close panic recover print println new complex real imag".split()),
-    "javascript": frozenset("require parseInt parseFloat isNaN setTimeout setInterval clearTimeout clearInterval String Number Boolean Array Object Symbol".split()),
-    "c": frozenset("printf fprintf sprintf snprintf malloc calloc realloc free memcpy memset memmove strlen strcmp strcpy strncpy strcat exit abort".split()),
-    "java": frozenset("println print printf".split()),
+    "javascript": frozenset(
+        "console log error warn info debug trace dir table time timeEnd clear count group groupEnd assert "
+        "parseInt parseFloat isNaN isFinite encodeURI decodeURI encodeURIComponent decodeURIComponent eval setTimeout setInterval clearTimeout clearInterval fetch require "
+        "Object Array String Number Boolean Symbol BigInt Date RegExp Error Map Set WeakMap WeakSet Promise Proxy Reflect JSON Math "
+        "push pop shift unshift slice splice concat join reverse sort filter map reduce reduceRight forEach find findIndex indexOf includes every some flat flatMap keys values entries from of isArray "
+        "charAt charCodeAt substring substr replace replaceAll split toLowerCase toUpperCase trim trimStart trimEnd padStart padEnd repeat startsWith endsWith match search "
+        "hasOwnProperty toString valueOf assign create defineProperty freeze seal getPrototypeOf setPrototypeOf "
+        "then catch finally resolve reject all race allSettled any abs ceil floor round max min pow sqrt random sin cos parse stringify "
+        "describe it test expect beforeEach afterEach beforeAll afterAll jest mock spyOn toBe toEqual".split()
+    ),
+    "c":frozenset("printf fprintf sprintf snprintf malloc calloc realloc free memcpy memset memmove strlen strcmp strcpy strncpy strcat exit abort".split()),
+    "java": frozenset(
+        "System out err in println print printf exit currentTimeMillis nanoTime gc getenv getProperty toString equals hashCode getClass clone wait notify notifyAll "
+        "length charAt substring indexOf lastIndexOf contains startsWith endsWith replace replaceAll split trim toLowerCase toUpperCase format valueOf isEmpty "
+        "add remove get set size clear iterator toArray stream forEach put containsKey containsValue keySet values entrySet "
+        "Object String Integer Long Double Float Boolean Byte Short Character Number Math Arrays Collections List ArrayList LinkedList Map HashMap TreeMap Set HashSet TreeSet Queue Deque Stack Optional Stream Collectors "
+        "Class Enum Exception RuntimeException Error Throwable Thread Runnable assertEquals assertTrue assertFalse assertNull assertNotNull assertThrows fail".split()
+    ),
     "csharp": frozenset("nameof typeof default checked unchecked WriteLine Write".split()),
 }
+# Names that only one of the two script languages leaves out, and objects whose methods TypeScript leaves out.
+SCRIPT_SKIP = {
+    "javascript": frozenset("alert confirm prompt Function".split()),
+    "typescript": frozenset("countReset matchAll localeCompare toLocaleString defineProperties getOwnPropertyNames getOwnPropertySymbols getOwnPropertyDescriptor tan exp toContain toThrow toHaveBeenCalled toHaveBeenCalledWith".split()),
+}
+SCRIPT_OBJECTS = frozenset("console Math JSON Object Array String Number Date RegExp Promise Reflect Proxy".split())
 PRIMITIVE = {
     "rust": frozenset("i8 i16 i32 i64 i128 isize u8 u16 u32 u64 u128 usize f32 f64 bool char str Self".split()),
     "go": frozenset("int int8 int16 int32 int64 uint uint8 uint16 uint32 uint64 uintptr float32 float64 complex64 complex128 bool byte rune string error any".split()),
-    "javascript": frozenset("string number boolean any void never unknown null undefined object symbol bigint this true false readonly keyof infer is asserts extends in typeof".split()),
-    "java": frozenset("int long short byte char float double boolean void var String Object Integer Long Double Boolean".split()),
+    "javascript": frozenset(
+        "string number boolean any void never unknown null undefined object symbol bigint this true false readonly keyof infer is asserts extends in typeof "
+        "Function Object Array String Number Boolean Symbol Date RegExp Error Map Set WeakMap WeakSet Promise "
+        "Readonly Partial Required Pick Omit Record Exclude Extract NonNullable Parameters ReturnType InstanceType ThisType Awaited".split()
+    ),
+    "java": frozenset("int long short byte char float double boolean void var String Integer Long Short Byte Float Double Boolean Character Void Object Number Class".split()),
     "c": frozenset("int long short char float double void unsigned signed bool auto size_t const struct union enum".split()),
     "csharp": frozenset("int long short byte char float double decimal bool void string object var dynamic uint ulong ushort sbyte".split()),
 }
@@ -215,11 +240,15 @@ class Reader:
             while self.text(k - 1) in (".", "::", "->", "?.") and self.word(k - 2) and self.text(k - 2) not in self.keywords - {"this", "super"}:
                 name, k = self.text(k - 2) + ("::" if self.text(k - 1) == "::" else ".") + name, k - 2
             before = self.text(k - 1)
-            if before in ("function", "fn", "func", "class", "def", "@") or base in self.skip:
+            if before in ("function", "fn", "func", "class", "def", "@") or self.skipped(name, base):
                 continue
             kind = "instantiation" if before == "new" else "call"
             self.out.refs.append(Ref(name.lstrip("#"), kind, t.line, t.line, self.scopes.around(i)))
 
+    def skipped(self, name: str, base: str) -> bool:
+        """Whether a call of this name, with or without a receiver, says nothing."""
+        return base in self.skip
+
     def named(self, i: int) -> str:
         """The declared name at i, which is then no call."""
         self._names.add(i)
@@ -227,10 +256,32 @@ class Reader:
 
 
 class Rust(Reader):
-    def declare(self, i: int, hi: int, level: Level) -> int | None:
-        first = i
+    ITEMS = frozenset("fn struct enum union trait type mod const static impl use pub async unsafe extern macro_rules".split())
+
+    def attributes(self, i: int) -> int:
         while self.text(i) == "#":
             i = self.past(i + 1 + (self.text(i + 1) == "!"))
+        return i
+
+    def body(self, i: int, hi: int, level: Level) -> None:
+        """Items that stand among the statements of a function, in blocks too."""
+        while i < hi:
+            after = None
+            if self.text(i - 1) in ("{", "}", ";", "]") and (self.text(i) in self.ITEMS or self.text(i + 1) == "!"):
+                after = self.declare(i, hi, level)
+            i = max(i + 1, after or 0)
+
+    def holds_items(self, i: int, hi: int) -> bool:
+        """Whether a macro's body reads as items of the language, and not as a syntax of its own."""
+        i = self.attributes(i)
+        if i >= hi or self.text(i) not in self.ITEMS or self.text(i) == "static" and self.text(i + 1) == "ref":
+            return False
+        i += self.text(i) == "pub"
+        i = self.past(i) if self.text(i) == "(" else i
+        return not (self.text(i) in ("struct", "enum") and self.text(i + 2) == ":")
+
+    def declare(self, i: int, hi: int, level: Level) -> int | None:
+        first = i = self.attributes(i)
         shown = "private"
         if self.text(i) == "pub":
             i += 1
@@ -252,7 +303,9 @@ class Rust(Reader):
                 self.annotations(p, full)
             arrow = self.find(self.past(p), brace, ("->",))
             self.types(arrow + 1, self.find(arrow, brace, ("where",)), full)
-            self.symbol(level, name, "method" if level.parent and level.kind in ("impl", "trait") else "function", first, last, shown, (brace, last) if self.text(brace) == "{" else None)
+            self.symbol(level, name, "method" if level.parent and level.kind in ("impl", "trait", "fn") else "function", first, last, shown, (brace, last) if self.text(brace) == "{" else None)
+            if self.text(brace) == "{":
+                self.body(brace + 1, last, Level(full, "fn", name))
             return last + 1
         if word in ("struct", "enum", "trait", "union") and self.word(i + 1):
             name = self.named(i + 1)
@@ -306,6 +359,11 @@ class Rust(Reader):
             last = self.match.get(i + 3, i + 3)
             self.symbol(level, self.text(i + 2), "macro", first, last, "private")
             return last + 1
+        if self.word(i) and self.text(i + 1) == "!" and self.text(i + 2) in ("{", "(", "["):
+            last = self.match.get(i + 2, i + 2)
+            if self.holds_items(i + 3, last):
+                self.level(i + 3, last, level)
+            return last + 1
         return None
 
     def annotations(self, p: int, caller: str) -> None:
@@ -462,6 +520,14 @@ class Go(Reader):
 class Script(Reader):
     """JavaScript and TypeScript."""
 
+    def __init__(self, source: str, language: str) -> None:
+        super().__init__(source, language)
+        self.skip |= SCRIPT_SKIP["javascript" if language == "javascript" else "typescript"]
+
+    def skipped(self, name: str, base: str) -> bool:
+        """By the whole name: the same method of an object of one's own counts."""
+        return name in self.skip or self.language != "javascript" and name.split(".")[0] in SCRIPT_OBJECTS
+
     def declare(self, i: int, hi: int, level: Level) -> int | None:
         first, exported, default = i, False, False
         if level.kind == "class":
@@ -823,6 +889,13 @@ class Typed(Reader):
 
 
 class Java(Typed):
+    def __init__(self, source: str, language: str) -> None:
+        super().__init__(source, language)
+        self.primitive |= self.skip  # neither calls nor types
+
+    def skipped(self, name: str, base: str) -> bool:
+        return name in self.skip
+
     def declare(self, i: int, hi: int, level: Level) -> int | None:
         first = i
         i, modifiers = self.modifiers(i)

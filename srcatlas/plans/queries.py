@@ -42,13 +42,13 @@ def over(f: Callable[[Index], DataFrame]) -> Callable[[SparkSession, str], DataF
     return lambda spark, d: f(index(spark, d))
 
 
-# Structural lookups.
-for level, test in (("public", "visibility_level <= 1"), ("internal", "visibility_level <= 2"), ("private", "true")):
-    add(f"file_symbols_{level}", over(lambda ix, v=level: L.file_symbols(ix, FILE, v)), f"SELECT {SYMBOL} FROM ix_symbols WHERE file = '{FILE}' AND {test} ORDER BY {SYMBOL_ORDER} LIMIT 100", "ix_symbols")
+# Structural lookups. All symbols of one file have the same visibility in these tables.
+for level, test, file in (("public", "visibility_level <= 1", "de/d2/f112.py"), ("internal", "visibility_level <= 2", "de/d1/f26.md"), ("private", "true", FILE)):
+    add(f"file_symbols_{level}", over(lambda ix, v=level, f=file: L.file_symbols(ix, f, v)), f"SELECT {SYMBOL} FROM ix_symbols WHERE file = '{file}' AND {test} ORDER BY {SYMBOL_ORDER} LIMIT 100", "ix_symbols")
 add("file_symbols_glob", over(lambda ix: L.file_symbols(ix, GLOB)), rf"SELECT {SYMBOL} FROM ix_symbols WHERE regexp_full_match(file, 'en/d[0-3]/f1.\..*') AND visibility_level <= 1 ORDER BY {SYMBOL_ORDER} LIMIT 100", "ix_symbols")
 add("file_symbols_page2", over(lambda ix: L.file_symbols(ix, "en/*", "private", 20, 20)), f"SELECT {SYMBOL} FROM ix_symbols WHERE starts_with(file, 'en/') ORDER BY {SYMBOL_ORDER} LIMIT 20 OFFSET 20", "ix_symbols")
-for level, test in (("public", "visibility_level <= 1"), ("private", "true")):
-    add(f"children_{level}", over(lambda ix, v=level: L.children(ix, FILE, "Brand_14", v)), f"SELECT {SYMBOL} FROM ix_symbols WHERE file = '{FILE}' AND parent = 'Brand_14' AND {test}", "ix_symbols")
+for level, test, file, parent in (("public", "visibility_level <= 1", "en/d2/f157.rs", "Brand_24"), ("private", "true", FILE, "Brand_14")):
+    add(f"children_{level}", over(lambda ix, v=level, f=file, p=parent: L.children(ix, f, p, v)), f"SELECT {SYMBOL} FROM ix_symbols WHERE file = '{file}' AND parent = '{parent}' AND {test}", "ix_symbols")
 add("callers_base_name", over(lambda ix: L.callers(ix, "red_plate", limit=None)), f"SELECT {REF} FROM ix_refs WHERE name = 'red_plate' OR name ILIKE '%.red_plate'", "ix_refs")
 add("callers_kind_project", over(lambda ix: L.callers(ix, "red_plate", "call", PROJECT)), f"SELECT {REF} FROM ix_refs WHERE (name = 'red_plate' OR name ILIKE '%.red_plate') AND kind = 'call' AND project = '{PROJECT}' ORDER BY {REF_ORDER} LIMIT 100", "ix_refs")
 _VISIBLE = """SELECT DISTINCT {r} FROM ix_refs r JOIN ix_symbols s ON (s.name = r.name OR s.name ILIKE '%.' || r.name) AND s.project = r.project
@@ -77,9 +77,9 @@ _IX = ("ix_files", "ix_symbols")
 add("dir_overview", over(lambda ix: X.overview(ix, "src9")), _lev("SELECT * FROM ov"), *_IX)
 add("dir_overview_prefix", over(lambda ix: X.overview(ix, "src9", "en/")), _lev("SELECT * FROM ov", w="f.path LIKE 'en/%'"), *_IX)
 _CAPPED = "SELECT parent_path, string_split(path, '/')[-1] AS filename, lang, path FROM cf WHERE rn <= 2"
-for vis, n in (("public", 1), ("private", 3)):
-    add(f"files_capped_{vis}", over(lambda ix, v=vis: X.capped_files(ix, "src9", 2, None, v)), _lev(_CAPPED, n=n), *_IX)
-    add(f"files_capped_{vis}_prefix", over(lambda ix, v=vis: X.capped_files(ix, "src9", 2, "en", v)), _lev(_CAPPED, w="f.path LIKE 'en/%'", n=n), *_IX)
+for vis, n, p in (("public", 1, "src18"), ("private", 3, "src9")):  # src18 holds files with public symbols
+    add(f"files_capped_{vis}", over(lambda ix, v=vis, p=p: X.capped_files(ix, p, 2, None, v)), _lev(_CAPPED, n=n, p=p), *_IX)
+    add(f"files_capped_{vis}_prefix", over(lambda ix, v=vis, p=p: X.capped_files(ix, p, 2, "en", v)), _lev(_CAPPED, w="f.path LIKE 'en/%'", n=n, p=p), *_IX)
 _TOTAL = "SELECT CAST(coalesce(sum(n_files) FILTER (WHERE min_vis <= {n} AND lang IS NOT NULL), 0) AS BIGINT) AS total_visible_files, count(*) FILTER (WHERE min_vis <= {n} AND lang IS NOT NULL) AS num_visible_groups FROM ov"
 add("explore_totals", over(lambda ix: X.totals(ix, "src9")), _lev(_TOTAL.format(n=1)), *_IX)
 add("explore_cap", over(lambda ix: X.cap_row(ix, "src9", None, "private", 5)), _lev(f", t AS ({_TOTAL.format(n=3)}) SELECT *, CASE WHEN total_visible_files > 5 THEN CAST(greatest(1, 5 // greatest(num_visible_groups, 1)) AS BIGINT) END AS cap FROM t"), *_IX)

@@ -115,6 +115,20 @@ def test_declarations_and_references(language):
     assert named <= refs(source, language)
 
 
+def test_rust_bodies_and_macros():
+    source = "pub fn out() {\n  struct Deep { a: u8 }\n  if x { fn inner() { go(); } }\n  let y = vec![1];\n}\ncfg_x! {\n  #[cfg(a)]\n  pub fn feature() {}\n}\nlazy_static! { static ref X: u8 = 1; }\nbitflags! { struct Flags: u32 { const A = 1; } }\n#[derive(Debug)]\npub struct Late;\n"
+    got = kinds(source, "rust")
+    assert got == {"out": ("function", "public"), "Deep": ("struct", "private"), "out.inner": ("method", "private"), "feature": ("function", "public"), "Late": ("struct", "public")}
+    assert ("go", "call", "out.inner") in refs(source, "rust")
+    assert {s.name: (s.start, s.parent) for s in run.parse(source, "rust").symbols if s.name in ("Late", "Deep")} == {"Late": (13, None), "Deep": (2, "out")}
+
+
+def test_names_that_say_nothing():
+    assert refs("function f() { console.log(1); log(2); repo.find(3); alert(4); fetch(5); own(6); }", "javascript") == {("console.log", "call", "f"), ("repo.find", "call", "f"), ("own", "call", "f")}
+    assert refs("function f(a: Promise, b: Own) { console.log(1); Math.max(2); repo.find(3); alert(4); }", "typescript") == {("Own", "type_annotation", "f"), ("repo.find", "call", "f"), ("alert", "call", "f")}
+    assert refs("class A { void f(List<Own> a, Map b) { add(1); a.add(2); new HashMap(); throw new Bad(); } }", "java") == {("Own", "type_annotation", "A.f"), ("a.add", "call", "A.f"), ("Bad", "instantiation", "A.f")}
+
+
 @pytest.mark.parametrize("language", sorted(run.EXTRACTORS))
 def test_broken_sources_do_not_break(language):
     for source in ("", "\n", "{", "}}}", "((((", '"', "'", "/*", "`", "class", "fn", "func (", "def", "import", "x = {", "\\", "é 中", "a" * 5000, "(" * 3000, "if (a) { b(" * 50):
