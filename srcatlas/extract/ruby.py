@@ -42,7 +42,7 @@ def extract(source: str, language: str = "ruby") -> Extracted:
                 while text(k) == "::":
                     base, k = f"{base}::{text(k + 1)}", k + 2
                 out.refs.append(Ref(base, "type_annotation", t.line, t.line, full))
-            scopes.add(i, last, full)
+            scopes.add(i + 1, last, full)  # a comment in front stands outside
             stack.append((last, full, word))
             hidden[full] = "public"
         elif word in ("private", "protected", "public") and starts(i) and (i + 1 >= len(code) or code[i + 1].line > t.line):

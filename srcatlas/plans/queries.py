@@ -16,7 +16,7 @@ from srcatlas.operators import maintain as M
 from srcatlas.operators import render as R
 from srcatlas.operators import search as S
 from srcatlas.operators import snippets, texts
-from srcatlas.plans import schema
+from srcatlas.plans import code, schema
 from srcatlas.plans.schema import Index
 from srcatlas.sources import bridge, languages
 from srcatlas.sources.bridge import duck_ctes, index, table, view
@@ -319,3 +319,8 @@ def _pages_index(spark: SparkSession, d: str) -> Index:
 
 add("html_call_refs", lambda s, d: _pages_index(s, d).refs.select("file", "name", "kind", "line_start"), f"WITH {_SCRIPT} SELECT 'p' || page_id || '.html' AS file, unnest(regexp_extract_all(source, '([A-Za-z_]+)[(]', 1)) AS name, 'call' AS kind, CAST(len(string_split(string_split(html, '<script')[1], chr(10))) AS INT) AS line_start FROM s")
 add("html_files", lambda s, d: _pages_index(s, d).files.select("path", "lang", "lines", "parent_path"), "SELECT 'p' || page_id || '.html' AS path, 'html' AS lang, CAST(CASE WHEN html = '' THEN 0 ELSE len(string_split(html, chr(10))) - CASE WHEN right(html, 1) = chr(10) THEN 1 ELSE 0 END END AS INT) AS lines, '.' AS parent_path FROM pages")
+
+
+# Extraction, manifests, ignore rules and rendering over files made from rows.
+QUERIES.update(code.QUERIES)
+ORACLE.update(code.ORACLE)

@@ -7,7 +7,9 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Always ignored.
 BUILT_IN = [".git/", ".srcatlas/", ".vscode/", ".idea/", ".vs/", ".DS_Store", ".Spotlight-V100/", ".Trashes/"]
@@ -123,6 +125,19 @@ def walk(root: str) -> Walk:
     return out
 
 
+def indexed(files: DataFrame, patterns: list[str], path: str = "path") -> DataFrame:
+    """The files that a walk would find, from a table of paths: those not ignored by the built-in patterns or by `patterns`, whose name begins with no dot. A null path goes."""
+    rules = Ignore()
+    for line in BUILT_IN + patterns:
+        rules.add(line)
+
+    @F.pandas_udf("boolean")
+    def ignored(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: p is None or rules.ignored(p, False)).astype(bool)
+
+    return files.filter(~F.substring_index(path, "/", -1).startswith(".")).filter(~ignored(path))
+
+
 def owner(projects: list[str], path: str) -> str:
     """The deepest project that holds a path."""
     return max((p for p in projects if not p or path == p or path.startswith(p + "/")), key=len, default="")
@@ -141,8 +156,6 @@ def listing(spark: SparkSession, root: str, partitions: int | None = None) -> Da
 
 def with_content(files: DataFrame) -> DataFrame:
     """Adds content binary, read by the executors; a file that has gone is left out. The tree must be on a shared file system."""
-    import pandas as pd
-
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             content = []

@@ -7,7 +7,12 @@ import json
 import os
 import re
 import tomllib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fnmatch import fnmatchcase
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass
@@ -62,6 +67,9 @@ def gemspec(text: str, folder: str) -> tuple[str | None, str | None]:
 READERS = {"package.json": package_json, "Cargo.toml": cargo_toml, "pyproject.toml": pyproject_toml, "go.mod": go_mod, "pom.xml": pom_xml, "*.gemspec": gemspec}
 
 
+BROKEN = (ValueError, AttributeError)
+
+
 def metadata(root: str) -> Metadata:
     """The first name and the first description that a manifest gives; all manifests read are listed. A broken one is listed too."""
     folder = os.path.basename(os.path.realpath(root))
@@ -73,7 +81,38 @@ def metadata(root: str) -> Metadata:
             try:
                 with open(path, encoding="utf-8", errors="replace") as f:
                     own, said = reader(f.read(), folder)
-            except (ValueError, AttributeError, OSError):
+            except BROKEN + (OSError,):
                 continue
             name, description = name or own, description if description is not None else said
     return Metadata(name or folder, description, files)
+
+
+def scan(files: DataFrame) -> DataFrame:
+    """(project, name, description, files) of each project with a manifest at its root, from a table of files (project, path, content).
+
+    As `metadata`, without a driver: the first name and description by precedence, then
+    by path; a project without a name has its folder's. Other files are not parsed, null
+    contents count as broken manifests, and repeated rows are listed once.
+    """
+    import pandas as pd
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = []
+            for project, path, content in zip(batch["project"], batch["path"], batch["content"], strict=True):
+                for rank, (pattern, reader) in enumerate(READERS.items()):
+                    if fnmatchcase(path, pattern):
+                        try:
+                            name, said = reader(bytes(content or b"").decode("utf-8", "replace"), project.rsplit("/", 1)[-1])
+                        except BROKEN:
+                            name = said = None
+                        made.append((project, path, rank, name, said))
+            yield pd.DataFrame(made, columns=["project", "path", "rank", "name", "description"])
+
+    likely = F.col("path").isin([p for p in READERS if "*" not in p]) | (F.col("path").endswith(".gemspec") & ~F.contains("path", F.lit("/")))
+    own = files.select(F.coalesce("project", F.lit("")).alias("project"), "path", "content").filter(likely)
+    read = own.mapInPandas(task, "project string, path string, rank int, name string, description string")
+    at = F.struct("rank", "path")
+    named, said = F.min_by("name", F.when(F.col("name") != "", at)), F.min_by("description", F.when(F.col("description").isNotNull(), at))
+    listed = F.array_sort(F.collect_set(at))
+    return read.groupBy("project").agg(named.alias("name"), said.alias("description"), listed.alias("files")).select("project", F.coalesce("name", F.substring_index("project", "/", -1)).alias("name"), "description", F.col("files.path").alias("files"))
