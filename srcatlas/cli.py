@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
+import threading
 from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 
 from srcatlas.engine import CodeIndex, show
 from srcatlas.operators import render
+from srcatlas.sources import locks
 
 S, N, L = {"type": "string"}, {"type": "integer"}, {"type": "array", "items": {"type": "string"}}
 PAGE = {"limit": N, "offset": N, "context_lines": N}
@@ -125,11 +128,22 @@ def main(argv: list[str] | None = None) -> int:
     if options.command == "build":
         from srcatlas.operators.maintain import project_totals
 
+        index.lock()
         index.flush_index()
+        for project in sorted(index.locked):
+            done = locks.ask(os.path.join(options.root, project))
+            print(f"{project or '.'}: {'written by' if done else 'no answer from'} the process that holds it", file=sys.stderr)
+        index.release()
         for r in project_totals(index.index).orderBy("project").collect():
             print(f"{r.project or '.'}: {r.n_files} files, {r.n_symbols} symbols, {r.n_texts} texts, {r.n_refs} references")
     elif options.command == "serve":
+        index.lock()
+        stop = threading.Event()
+        watching = index.watch_requests(stop)
         serve(index, sys.stdin, sys.stdout)
+        stop.set()
+        watching.join()
+        index.release()
     elif options.tool:
         print(call(index, *arguments_of(options)))
     else:

@@ -4,35 +4,60 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
+import threading
 from collections.abc import Callable
+from typing import IO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcatlas import ship
-from srcatlas.extract.run import build
+from srcatlas.extract.run import build, extract, hashes, relations
+from srcatlas.functions.blake3 import short_hashes
 from srcatlas.operators import explore as X
 from srcatlas.operators import lookup, maintain, render, search, snippets
 from srcatlas.plans.schema import Index
-from srcatlas.sources import jsonl, listing, manifests
+from srcatlas.sources import jsonl, listing, locks, manifests
+from srcatlas.sources.store import SnapshotStore
+
+CUT = 8  # maintenance steps after which a plan without a store is cut
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, in the folder of spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="srcatlas-"))
+    return df.checkpoint()
 
 
 class CodeIndex:
-    """An index, the contents of its files for snippets, and the projects that have changed since the last flush."""
+    """An index, the contents of its files for snippets, and the projects that have changed since the last flush.
+
+    With a store, each maintenance step is a new version of it, and the index is read from
+    there; without one the index is a plan over what it was made from.
+    """
 
-    def __init__(self, spark: SparkSession, index: Index, sources: DataFrame | None = None, root: str | None = None) -> None:
-        self.spark, self.index, self.sources, self.root = spark, index, sources, root
+    def __init__(self, spark: SparkSession, index: Index, sources: DataFrame | None = None, root: str | None = None, store: SnapshotStore | None = None) -> None:
+        self.spark, self.index, self.sources, self.root, self.store = spark, index, sources, root, store
         self.dirty: set[str] = set()
         self.locked: set[str] = set()  # projects that another process writes
+        self._held: dict[str, IO] = {}
+        self._writing = threading.RLock()
+        self._steps = 0
         self._docs: DataFrame | None = None
+        if store is not None:
+            store.write(index)
+            self.index = store.read()
 
     @classmethod
-    def of_tree(cls, spark: SparkSession, root: str) -> CodeIndex:
+    def of_tree(cls, spark: SparkSession, root: str, store: SnapshotStore | None = None) -> CodeIndex:
         ship.ensure(spark)
         files = listing.with_content(listing.listing(spark, root)).persist()
         index = build(files)
-        out = cls(spark, index, files.select("project", "path", F.decode(F.col("content"), "UTF-8").alias("content")), root)
-        out.dirty = {r.project for r in lookup.list_projects(index).collect()}
+        out = cls(spark, index, files.select("project", "path", F.decode(F.col("content"), "UTF-8").alias("content")), root, store)
+        out.dirty = {r.project for r in lookup.list_projects(out.index).collect()}
         return out
 
     @classmethod
@@ -81,43 +106,110 @@ class CodeIndex:
         below = [r.project for r in X.subprojects(self.index, project).collect()]
         return {"project": project, "name": about.name, "description": about.description, "manifests": about.files, "subprojects": below, "directories": [(r.parent_path, list(r.files) + list(r.more)) for r in found]}
 
-    def flush_index(self) -> int:
-        """Write the projects that have changed and are not locked; errors leave a project dirty."""
+    def _base(self, project: str) -> str:
+        return os.path.join(self.root or ".", project)
+
+    def lock(self) -> None:
+        """Become the writer of all projects; those that another process writes are `locked`."""
+        for r in lookup.list_projects(self.index).collect():
+            if r.project not in self._held:
+                held = locks.take(self._base(r.project))
+                if held is None:
+                    self.locked.add(r.project)
+                else:
+                    self.locked.discard(r.project)
+                    self._held[r.project] = held
+
+    def release(self) -> None:
+        for held in self._held.values():
+            held.close()
+        self._held = {}
+
+    def flush_index(self, projects: set[str] | None = None) -> int:
+        """Write the projects (all, if none are given) that have changed and are not locked; errors leave a project dirty."""
         done = 0
-        for project in sorted(self.dirty - self.locked):
-            base = os.path.join(self.root or ".", project)
-            try:
-                jsonl.write(self.index, os.path.join(base, listing.INDEX_FOLDER), project, os.path.basename(os.path.realpath(base)))
-            except OSError:
-                continue
-            self.dirty.discard(project)
-            done += 1
+        with self._writing:
+            for project in sorted(self.dirty - self.locked if projects is None else self.dirty & projects - self.locked):
+                base = self._base(project)
+                try:
+                    jsonl.write(self.index, os.path.join(base, listing.INDEX_FOLDER), project, os.path.basename(os.path.realpath(base)))
+                except OSError:
+                    continue
+                self.dirty.discard(project)
+                done += 1
         return done
 
+    def answer_requests(self) -> int:
+        """Flush the projects of ours that another process has asked for; how many. One that can't be written stays without an answer."""
+        wanted = [p for p in self._held if locks.asked(self._base(p))]
+        self.flush_index(set(wanted))
+        answered = [p for p in wanted if p not in self.dirty]
+        for project in answered:
+            locks.answer(self._base(project))
+        return len(answered)
+
+    def watch_requests(self, stop: threading.Event) -> threading.Thread:
+        """Answer requests in the background until `stop` is set."""
+
+        def run() -> None:
+            while not stop.wait(locks.POLL):
+                self.answer_requests()
+
+        thread = threading.Thread(target=run, daemon=True)
+        thread.start()
+        return thread
+
     # Maintenance.
     def apply(self, events: DataFrame, read: Callable[[str, str], bytes | None] | None = None) -> None:
-        """One maintenance step: debounced events (project, path, kind) of a micro-batch, which is small."""
-        touched = [(r.project, r.path, r.kind) for r in events.select("project", "path", "kind").distinct().collect()]
-        alive, content = [], []
-        for project, path, kind in touched:
-            raw = None if kind == "remove" else (read or self._read)(project, path)
-            if raw is not None:  # a path that has vanished is only removed
-                alive.append((project, path, "modify"))
-                content.append((project, path, bytearray(raw)))
+        """One maintenance step: debounced events (project, path, kind) of a micro-batch, which is small.
+
+        A path that has vanished is only removed. A file whose hash is the stored one is
+        left alone, and a step that changes nothing leaves its projects clean.
+        """
+        touched = events.select("project", "path", "kind").distinct()
+        have = {(r.project, r.path): r.hash for r in self.index.files.join(F.broadcast(touched.select("project", "path").distinct()), ["project", "path"], "left_semi").select("project", "path", "hash").collect()}
+        raw = {(r.project, r.path): None if r.kind == "remove" else (read or self._read)(r.project, r.path) for r in touched.orderBy(F.col("kind") != "remove").collect()}
+        alive = {at: content for at, content in raw.items() if content is not None}
+        fresh = dict(zip(alive, short_hashes(list(alive.values())), strict=True))
+        changed = [(project, path, "modify" if (project, path) in alive else "remove") for project, path in raw if have.get((project, path)) != fresh.get((project, path))]
+        if not changed:
+            return
+        files = self.spark.createDataFrame([(p, path, bytearray(alive[p, path])) for p, path, kind in changed if kind == "modify"], "project string, path string, content binary")
+        named = self.spark.createDataFrame(changed, "project string, path string, kind string")
+        projects = {p for p, _, _ in changed}
+        with self._writing:
+            made = extract(files).persist()
+            own = self.index if self.store is None else self.index.map(lambda df, _: df.filter(F.col("project").isin(sorted(projects))))
+            after = maintain.apply_events(own, named, relations(made))
+            if self.sources is not None:
+                content = files.select("project", "path", F.decode(F.col("content"), "UTF-8").alias("content"))
+                self.sources = self.sources.join(named.select("project", "path"), ["project", "path"], "left_anti").unionByName(content)
+            self._steps += 1
+            if self.store is not None:
+                self.store.write(after, sorted(projects))
+                self.store.compact()
+                self.index = self.store.read()
+                made.unpersist()
             else:
-                alive.append((project, path, "remove"))
-        files = self.spark.createDataFrame(content, "project string, path string, content binary")
-        named = self.spark.createDataFrame(alive, "project string, path string, kind string")
-        self.index = maintain.apply_events(self.index, named, build(files))
-        if self.sources is not None:
-            fresh = files.select("project", "path", F.decode(F.col("content"), "UTF-8").alias("content"))
-            self.sources = self.sources.join(named.select("project", "path"), ["project", "path"], "left_anti").unionByName(fresh)
-        self.dirty |= {p for p, _, _ in touched}
-        self._docs = None
+                self.index = after.map(lambda df, _: cut(df)) if self._steps % CUT == 0 else after
+            if self.sources is not None and self._steps % CUT == 0:
+                self.sources = cut(self.sources)
+            self.dirty |= projects
+            if self._docs is not None:
+                self._docs.unpersist()
+                self._docs = None
+
+    def reconcile(self) -> None:
+        """Bring the index up to what lies in the tree now, as after a time without events: files whose hash isn't stored are read again, those that have gone are removed, and files below a new project's root go to it."""
+        found = hashes(listing.with_content(listing.listing(self.spark, self.root or "."))).persist()
+        changed = maintain.changed_files(self.index.files, found).select("project", "path", F.lit("modify").alias("kind"))
+        gone = self.index.files.join(found, ["project", "path"], "left_anti").select("project", "path", F.lit("remove").alias("kind"))
+        self.apply(changed.unionByName(gone))
+        found.unpersist()
 
     def _read(self, project: str, path: str) -> bytes | None:
         try:
-            with open(os.path.join(self.root or ".", project, path), "rb") as f:
+            with open(os.path.join(self._base(project), path), "rb") as f:
                 return f.read()
         except OSError:
             return None

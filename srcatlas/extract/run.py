@@ -70,8 +70,24 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("project", "path", F.col("content").cast("binary")).mapInPandas(task, "relation string, row string")
 
 
+def hashes(files: DataFrame) -> DataFrame:
+    """(project, path, hash) of files (project, path, content binary)."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), BATCH):
+                part = batch.iloc[lo : lo + BATCH]
+                yield pd.DataFrame({"project": part["project"], "path": part["path"], "hash": short_hashes([bytes(c or b"") for c in part["content"]])})
+
+    return files.select("project", "path", F.col("content").cast("binary")).mapInPandas(task, "project string, path string, hash string")
+
+
 def build(files: DataFrame) -> Index:
-    """The index of a table of files. The extraction is one pass; persist its result to read it four times."""
-    made = extract(files).persist()
+    """The index of a table of files. The extraction is one pass; its result is persisted, as it is read four times."""
+    return relations(extract(files).persist())
+
+
+def relations(made: DataFrame) -> Index:
+    """The index of what `extract` has found."""
     one = lambda name, schema: made.filter(F.col("relation") == name).select(F.from_json("row", schema).alias("r")).select("r.*")
     return to_query_form(one("files", FILES), one("symbols", SYMBOLS), one("texts", TEXTS), one("refs", REFS))

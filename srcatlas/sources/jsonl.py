@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcatlas.operators import maintain
-from srcatlas.plans.schema import MANIFEST, STORED, Index, to_query_form
+from srcatlas.plans.schema import MANIFEST, STORED, VERSION, Index, to_query_form
 
 REQUIRED = ("files", "symbols", "texts")
 
@@ -27,7 +27,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read(spark: SparkSession, folder: str, project: str | None = None) -> Index:
-    """An index in query form. Unknown fields are ignored, a broken line fails; references may be missing."""
+    """An index in query form. Unknown fields are ignored, a broken line and an unsupported version fail; references and the manifest may be missing."""
+    if _exists(spark, f"{folder}/index.json"):
+        read_manifest(spark, folder)
     tables = {}
     for name, schema in STORED.items():
         path = f"{folder}/{name}.jsonl"
@@ -73,8 +75,11 @@ def write(ix: Index, folder: str, project: str, name: str) -> bool:
     return True
 
 
-def write_distributed(ix: Index, folder: str) -> None:
-    """All projects, partitioned by project and sorted inside; every table a folder of JSON files that read() also takes."""
+def write_distributed(ix: Index, folder: str, name: str = "workspace") -> None:
+    """All projects, partitioned by project and sorted inside; every table a folder of JSON files that read() also takes, and the manifest of all, last."""
     for table, df in stored(ix).items():
         keys = [k for k in maintain.ORDER["refs" if table == "references" else table] if k in df.columns]
         df.repartitionByRange("project", keys[0]).sortWithinPartitions("project", *keys).write.mode("overwrite").json(f"{folder}/{table}.jsonl")
+    every = ix.files.agg(F.array_sort(F.collect_set("lang")).alias("languages"))
+    about = every.select(F.lit(VERSION).alias("version"), F.lit(name).alias("name"), F.lit(".").alias("root"), "languages")
+    about.coalesce(1).write.mode("overwrite").json(f"{folder}/index.json")

@@ -19,6 +19,7 @@ from srcatlas.plans.schema import FILES, REFS, SYMBOLS, TEXTS, Index, to_query_f
 from srcatlas.sources.jsonl import stored
 
 TABLES = {"files": FILES, "symbols": SYMBOLS, "texts": TEXTS, "references": REFS}
+FOLDERS = 16  # data folders of one version, beyond which the small ones are merged
 ROOT = "."  # stands for the root project, whose name is empty, in folder names
 
 
@@ -86,3 +87,17 @@ class SnapshotStore:
 
     def delete_project(self, project: str) -> int:
         return self._publish({p: f for p, f in self._manifest().items() if p != project})
+
+    def compact(self, most: int = FOLDERS) -> int | None:
+        """Merge the folders with the fewest projects into one, where a version takes rows from more than `most`; the new version, if any.
+
+        About half of the folders stay as they are, so each project is rewritten once in
+        a while and reading plans stay short.
+        """
+        held: dict[str, list[str]] = {}
+        for project, folder in self._manifest().items():
+            held.setdefault(folder, []).append(project)
+        if len(held) <= most:
+            return None
+        small = sorted(held.values(), key=len)[: len(held) - most // 2]
+        return self.write(self.read(), [p for projects in small for p in projects])

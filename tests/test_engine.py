@@ -14,7 +14,8 @@ from srcatlas.engine import CodeIndex, show
 from srcatlas.functions import blake3, glob
 from srcatlas.operators import explore, lookup, maintain, render, snippets
 from srcatlas.plans import schema
-from srcatlas.sources import jsonl, listing, manifests
+from srcatlas.sources import jsonl, listing, locks, manifests
+from srcatlas.sources.store import SnapshotStore
 from srcatlas.streaming import events
 
 
@@ -82,8 +83,13 @@ def test_round_trip(spark, code):
         f.write("{broken\n")
     with pytest.raises(Exception):
         jsonl.read(spark, folder).symbols.collect()
-    jsonl.write_distributed(code.index, f"{code.root}/.dist")
+    jsonl.write_distributed(code.index, f"{code.root}/.dist", "all")
     assert jsonl.read(spark, f"{code.root}/.dist").refs.count() == code.index.refs.count()
+    assert jsonl.read_manifest(spark, f"{code.root}/.dist") == {"version": "1.0", "name": "all", "root": ".", "languages": ["markdown", "python", "rust"]}
+    with open(f"{folder}/index.json", "w") as f:
+        f.write('{"version": "2.0", "name": "x"}')
+    with pytest.raises(ValueError, match="unsupported index version: 2.0"):
+        jsonl.read(spark, folder)
 
 
 def test_maintenance(spark, tmp_path):
@@ -103,6 +109,57 @@ def test_maintenance(spark, tmp_path):
     assert [r.path for r in changed.collect()] == ["a.py"]
 
 
+EVENT = "project string, path string, kind string"
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_unchanged_files_are_left_alone(spark, tmp_path, stored):
+    root = str(tmp_path / "code")
+    tree(root, {"a.py": "def one(): pass\n", "b.py": "def two(): pass\n", "sub/.git/HEAD": "", "sub/c.py": "def three(): pass\n"})
+    index = CodeIndex.of_tree(spark, root, SnapshotStore(spark, str(tmp_path / "store")) if stored else None)
+    index.dirty.clear()
+    index.apply(spark.createDataFrame([("", "a.py", "modify"), ("", "gone.py", "remove"), ("sub", "c.py", "create")], EVENT))
+    assert index.dirty == set() and (not stored or index.store.versions() == [1])
+    tree(root, {"sub/c.py": "def drei(): pass\n"})
+    os.remove(f"{root}/b.py")
+    index.reconcile()
+    assert index.dirty == {"", "sub"}
+    assert sorted((r.project, r.name) for r in index.index.symbols.collect()) == [("", "one"), ("sub", "drei")]
+    index.dirty.clear()
+    tree(root, {"new/.git/HEAD": "", "new/d.py": "def four(): pass\n"})
+    index.reconcile()  # a project found since
+    assert index.dirty == {"new"} and {r.project for r in index.index.files.collect()} == {"", "sub", "new"}
+    index.dirty.clear()
+    index.reconcile()
+    assert index.dirty == set()
+    if stored:
+        assert len(index.store.versions()) == 3 and index.store.compact(2) is None and index.store.compact(1) == 4
+        assert len(set(index.store._manifest().values())) == 1 and index.store.read().symbols.count() == 3 and index.store.compact(1) is None
+
+
+def test_locks_and_requests(spark, tmp_path):
+    import threading
+
+    root = str(tmp_path)
+    tree(root, {"a.py": "def one(): pass\n", "sub/.git/HEAD": "", "sub/b.py": "def two(): pass\n"})
+    ours, theirs = CodeIndex.of_tree(spark, root), CodeIndex.of_tree(spark, root)
+    ours.lock()
+    theirs.lock()
+    assert ours.locked == set() and theirs.locked == {"", "sub"} and theirs.flush_index() == 0
+    assert not locks.ask(f"{root}/sub", timeout=0.2) and not locks.asked(f"{root}/sub")
+    stop = threading.Event()
+    watching = ours.watch_requests(stop)
+    assert locks.ask(f"{root}/sub", timeout=60) and ours.dirty == {""}
+    stop.set()
+    watching.join(60)
+    assert os.path.exists(f"{root}/sub/{listing.INDEX_FOLDER}/index.json") and not os.path.exists(f"{root}/{listing.INDEX_FOLDER}/index.json")
+    ours.release()
+    theirs.lock()
+    assert theirs.locked == set() and theirs.flush_index() == 2
+    theirs.release()
+    assert [f for f in listing.walk(root).files if "lock" in f or "flush" in f] == []
+
+
 def test_stream(spark, tmp_path):
     rows = [("a", "create", "2024-01-01 00:00:00.0", 1), ("a", "modify", "2024-01-01 00:00:00.3", 2), ("b", "modify", "2024-01-01 00:00:00.1", 3), ("a", "remove", "2024-01-01 00:00:05.0", 4), ("z", "modify", "2024-01-01 01:00:00.0", 5)]
     df = spark.createDataFrame(rows, "path string, kind string, ts string, seq long").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -159,6 +216,18 @@ def test_manifest_precedence(tmp_path):
     assert (found.name, found.description, found.files) == ("js", "from cargo", ["package.json", "Cargo.toml"])
 
 
+def test_manifests_over_a_table(spark):
+    rows = [("x/a", "package.json", '{"name": "js"}'), ("x/a", "Cargo.toml", '[package]\nname = "rs"\ndescription = "from cargo"'), ("x/a", "src/package.json", '{"name": "no"}'), ("x/b", "go.mod", "nothing"), ("x/b", "go.mod", "nothing"), ("x/c", "main.py", "x"), (None, "pom.xml", None)]
+    files = spark.createDataFrame([(p, path, text and bytearray(text.encode()), 1) for p, path, text in rows], "project string, path string, content binary, name int")
+    assert sorted(map(tuple, manifests.scan(files).collect())) == [("", "", None, ["pom.xml"]), ("x/a", "js", "from cargo", ["package.json", "Cargo.toml"]), ("x/b", "b", None, ["go.mod"])]
+    assert manifests.scan(files.limit(0)).count() == 0
+
+
+def test_ignore_rules_over_a_table(spark):
+    paths = spark.createDataFrame([(p,) for p in ("a.py", ".a.py", ".c/a.py", "x/.git/HEAD", "gen/a.py", "src/gen/a.py", "a.log", "keep.log", None)], "path string")
+    assert sorted(r.path for r in listing.indexed(paths, ["*.log", "/gen/", "!keep.log"]).collect()) == [".c/a.py", "a.py", "keep.log", "src/gen/a.py"]
+
+
 def test_levels_and_globs(spark):
     assert [schema.max_level(v, "public") for v in ("public", "internal", "private", "x", None)] == [1, 2, None, None, 1]
     rows = spark.createDataFrame([(x,) for x in ("a/b.py", "a/c/d.py", "a/b.pyc", "A/b.py", "[x]", "a\nb")], "p string")
