@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import threading
 from collections.abc import Callable
 from typing import IO
@@ -19,16 +18,14 @@ from srcatlas.operators import explore as X
 from srcatlas.operators import lookup, maintain, render, search, snippets
 from srcatlas.plans.schema import Index
 from srcatlas.sources import jsonl, listing, locks, manifests
-from srcatlas.sources.store import SnapshotStore
+from srcatlas.sources.store import SnapshotStore, shared_folder
 
 CUT = 8  # maintenance steps after which a plan without a store is cut
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, in the folder of spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="srcatlas-"))
+    """df without its lineage, in the folder that the cluster shares."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -3,7 +3,8 @@
 Posting lists are Parquet, cut into buckets by the token's hash and sorted by token, so
 bucket folders are pruned and the token filter reaches the row groups. The lists give
 the rows that any phrase of the query may touch; these are scored exactly as a full
-scan would, with the corpus statistics that were stored at build time.
+scan would, with the corpus statistics that were stored at build time. Rows lie in
+segments by their number, and only segments that hold a row of the lists are read.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from srcatlas.operators import search as S
 from srcatlas.plans.schema import Index
 
 BUCKETS = 64
+RESULT = "type string, project string, file string, name string, kind string, line_start int, line_end int, parent string, text string, score double"
+#: Rows of a segment, as a power of two. Row numbers are dense within a task that wrote them.
+SEGMENT_BITS = 18
 
 
 def query_tokens(node) -> tuple[set[str], set[str]]:
@@ -42,14 +46,15 @@ def query_tokens(node) -> tuple[set[str], set[str]]:
 
 
 class PostingIndex:
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, segment_bits: int = SEGMENT_BITS) -> None:
+        self.spark, self.path, self.buckets, self.segment_bits = spark, path.rstrip("/"), buckets, segment_bits
 
     def build(self, ix: Index) -> None:
         """Write rows, posting lists and statistics."""
         keyed = S.tokenized(S.search_docs(ix)).withColumn("row", F.monotonically_increasing_id())
-        keyed.write.mode("overwrite").parquet(f"{self.path}/rows")  # from here on the keys stand
-        rows = self.spark.read.parquet(f"{self.path}/rows")
+        keyed = keyed.withColumn("segment", F.shiftright("row", self.segment_bits))
+        keyed.write.mode("overwrite").partitionBy("segment").parquet(f"{self.path}/rows")  # from here on the keys stand
+        rows = self.spark.read.schema(keyed.schema).parquet(f"{self.path}/rows")
         spread = rows.select("row", F.explode(F.array_distinct(F.concat("name_t", "file_t", "content_t"))).alias("token"))
         bucket = F.pmod(F.xxhash64("token"), F.lit(self.buckets)).cast("int")
         lists = spread.withColumn("bucket", bucket).repartitionByRange("bucket", "token").sortWithinPartitions("bucket", "token", "row")
@@ -67,10 +72,15 @@ class PostingIndex:
         for p in sorted(prefixes):
             wanted = wanted | F.col("token").startswith(p)
         keys = lists.filter(wanted).select("row").distinct()
-        return self.spark.read.parquet(f"{self.path}/rows").join(keys, "row", "left_semi")
+        # One number for each segment that is needed, of rows >> segment_bits there can be.
+        needed = [r.segment for r in keys.select(F.shiftright("row", self.segment_bits).alias("segment")).distinct().collect()]
+        return self.spark.read.parquet(f"{self.path}/rows").filter(F.col("segment").isin(needed)).join(keys, "row", "left_semi")
 
     def search(self, query: str, **options) -> DataFrame:
-        """As operators.search.search over the whole corpus."""
+        """As operators.search.search over the whole corpus. An empty one, or a query whose words it doesn't hold, gives no rows."""
         stats = self.spark.read.parquet(f"{self.path}/stats").first()
+        if not stats.n:
+            Q.parse(query)
+            return self.spark.createDataFrame([], RESULT)
         mean = stats.n_tokens / stats.n if stats.n else math.nan
         return S.search(None, query, docs=self.candidates(query), corpus=(stats.n, mean), **options)

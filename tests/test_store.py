@@ -34,7 +34,7 @@ def test_snapshots(spark, tmp_path):
 @pytest.fixture(scope="module")
 def postings(spark, sf_dir, tmp_path_factory):
     ix = bridge.index(spark, sf_dir)
-    out = PostingIndex(spark, str(tmp_path_factory.mktemp("postings")), buckets=8)
+    out = PostingIndex(spark, str(tmp_path_factory.mktemp("postings")), buckets=8, segment_bits=5)
     out.build(ix)
     return ix, out
 
@@ -51,3 +51,20 @@ def test_postings_are_pruned(spark, postings):
     plan = index.candidates("widget")._jdf.queryExecution().toString()
     assert "In(token" in plan or "EqualTo(token,widget)" in plan
     assert "PartitionFilters: [bucket" in plan or "(bucket#" in plan.split("PartitionFilters: [", 1)[1]
+    assert "PartitionFilters: [segment" in plan or "segment#" in plan.split("PartitionFilters: [", 1)[1]
+
+
+def test_postings_read_only_the_segments_of_their_rows(spark, postings):
+    ix, index = postings
+    every = spark.read.parquet(f"{index.path}/rows")
+    name = ix.symbols.filter("name IS NOT NULL").first().name
+    found = index.candidates(name.split(".")[-1].split("_")[0])
+    held = {r.segment for r in found.select("segment").distinct().collect()}
+    assert held <= {r.segment for r in every.select("segment").distinct().collect()}
+    assert index.candidates("nosuchword").count() == 0 and index.search("nosuchword").count() == 0
+
+
+def test_postings_of_nothing(spark, tmp_path):
+    index = PostingIndex(spark, str(tmp_path))
+    index.build(files(spark, ("", "a.py", "")).map(lambda df, _: df.limit(0)))
+    assert index.search("word").columns == S.RESULT and index.search("word").count() == 0
