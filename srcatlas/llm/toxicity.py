@@ -208,11 +208,12 @@ def counts_of_counts(x: np.ndarray) -> np.ndarray:
     return np.stack([*((x == k).sum(axis=1) for k in (1, 2, 3, 4)), (x > 2).sum(axis=1), x.sum(axis=1)], axis=1).astype(np.int64)
 
 
-def summed(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def summed(keys: np.ndarray, rows: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and the sums over each of all rows of numbers, which are looked at one by one."""
     order = np.argsort(keys)
     keys = keys[order]
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[at], np.add.reduceat(x[:, order], at, axis=1)
+    return keys[at], np.stack([np.add.reduceat(x[order], at, dtype=np.int64) for x in rows])
 
 
 def add_pairs(parts: int):
@@ -222,21 +223,27 @@ def add_pairs(parts: int):
         release()
         got = t.to_pylist()
         held = [ascended(r["words"]) for r in got]
-        w = np.concatenate([np.repeat(x, unpacked(r["m"], np.uint32)) for x, r in zip(held, got, strict=True)])
-        v = np.concatenate([x[unpacked(r["v"], np.uint32)] for x, r in zip(held, got, strict=True)])
+        known = np.unique(np.concatenate(held))
+        code = []
+        for x, r in zip(held, got, strict=True):
+            place = np.searchsorted(known, x).astype(np.uint64)
+            code.append(np.repeat(place << np.uint64(32), unpacked(r["m"], np.uint32)) | place[unpacked(r["v"], np.uint32)])
+        code = np.concatenate(code)
         n = np.concatenate([unpacked(r["n"], np.uint32).reshape(GROUPS, -1) for r in got], axis=1)
         del held
-        order = np.lexsort((v, w))
-        w, v = w[order], v[order]
-        new = np.ones(len(w), bool)
-        new[1:] = (w[1:] != w[:-1]) | (v[1:] != v[:-1])
+        order = np.argsort(code)
+        code = code[order]
+        new = np.ones(len(code), bool)
+        new[1:] = code[1:] != code[:-1]
         at = np.flatnonzero(new)
-        total = np.stack([np.add.reduceat(x[order], at, dtype=np.int64) for x in n]) if len(w) else n.astype(np.int64)
+        total = np.stack([np.add.reduceat(x[order], at, dtype=np.int64) for x in n]) if len(code) else n.astype(np.int64)
         del n
-        back = np.empty(len(w), np.int32)
+        back = np.empty(len(code), np.int32)
         back[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
         del order
-        w, v = w[new], v[new]
+        code = code[new]
+        w, v = known[code >> np.uint64(32)], known[code & np.uint64((1 << 32) - 1)]
+        del code, new
         key, at = np.unique(pair_hash(w, v) & np.uint64((1 << KEY_BITS) - 1), return_index=True)
         rows, done = [], 0
         for r in got:
@@ -246,10 +253,12 @@ def add_pairs(parts: int):
             hit = key[where] == q if len(key) else np.zeros(len(q), bool)
             rows.append(("a", r["chunk"], r["cell"], np.packbits(hit).tobytes(), packed(total[:, back[done : done + k]].astype(np.uint32)), packed(total[:, at[where[hit]]].astype(np.uint32) if len(key) else np.zeros(0, np.uint32))))
             done += k
-        x = np.concatenate([total[:2], total[:2] + total[2:]])
-        rows.append(("c", -1, -1, None, packed(counts_of_counts(x)), None))
+        del got, back, key, at
+        total[2:] += total[:2]  # groups become models
+        rows.append(("c", -1, -1, None, packed(counts_of_counts(total)), None))
         if len(w):
-            sums = (("w", *summed(w, (x > 0).astype(np.int64))), ("v", *summed(v, np.concatenate([x, x == 1, x == 2, x > 2]).astype(np.int64))))
+            times = (f(x) for f in (lambda x: x, lambda x: x == 1, lambda x: x == 2, lambda x: x > 2) for x in total)
+            sums = (("w", *summed(w, (x > 0 for x in total))), ("v", *summed(v, times)))
             for kind, keys, values in sums:
                 rows += [(kind, -1, p, ascending(keys[a:b]), packed(values[:, a:b]), None) for p, a, b in cuts(ranges(keys, parts))]
         return batch_of(rows, MERGED)
