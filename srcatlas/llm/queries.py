@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from srcatlas.llm import ann, bpe, chat, jaccard, langid, packing, quality, sharding, substring, toxicity
+from srcatlas.llm import ann, bpe, chat, jaccard, langid, merkle, packing, quality, sharding, substring, toxicity
 
 QUERIES = {
     "op1_feistel_sharding": sharding.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_kneser_ney_toxicity": toxicity.query,
     "op9_mixture_langid": langid.query,
     "op10_best_fit_packing": packing.query,
+    "op11_merkle_manifest": merkle.query,
 }
 
 ORACLE: dict[str, str] = {
     "op4_substring_dedup": substring.SQL,
     "op5_chat_format": chat.SQL,
     "op7_quality_rules": quality.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
