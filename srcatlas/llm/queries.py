@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from srcatlas.llm import ann, bpe, chat, jaccard, langid, licenses, merkle, packing, quality, sharding, substring, toxicity
+from srcatlas.llm import align, ann, bpe, chat, jaccard, langid, licenses, merkle, packing, quality, sharding, substring, toxicity
 
 QUERIES = {
     "op1_feistel_sharding": sharding.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixture_langid": langid.query,
     "op10_best_fit_packing": packing.query,
     "op11_merkle_manifest": merkle.query,
+    "op12_token_alignment": align.query,
     "op13_license_automaton": licenses.query,
 }
 
