@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import threading
+import uuid
 from collections.abc import Callable
 from typing import IO
 
@@ -16,6 +17,7 @@ from srcatlas.extract.run import build, extract, hashes, relations
 from srcatlas.functions.blake3 import short_hashes
 from srcatlas.operators import explore as X
 from srcatlas.operators import lookup, maintain, render, search, snippets
+from srcatlas.operators.postings import PostingIndex
 from srcatlas.plans.schema import Index
 from srcatlas.sources import jsonl, listing, locks, manifests
 from srcatlas.sources.store import SnapshotStore, shared_folder
@@ -43,7 +45,7 @@ class CodeIndex:
         self._held: dict[str, IO] = {}
         self._writing = threading.RLock()
         self._steps = 0
-        self._docs: DataFrame | None = None
+        self._lists: PostingIndex | None = None
         if store is not None:
             store.write(index)
             self.index = store.read()
@@ -69,9 +71,10 @@ class CodeIndex:
 
     # The tools.
     def search(self, query: str, scope: list[str] | None = None, kind: list[str] | None = None, path: str | None = None, project: str | None = None, visibility: str = "public", limit: int = search.LIMIT, offset: int = 0, context_lines: int | None = None) -> DataFrame:
-        if self._docs is None:
-            self._docs = search.tokenized(search.search_docs(self.index)).persist()
-        found = search.search(self.index, query, scope, kind, path, project, visibility, limit, offset, self._docs)
+        if self._lists is None:
+            self._lists = PostingIndex(self.spark, f"{shared_folder(self.spark)}/postings-{uuid.uuid4().hex}")
+            self._lists.build(self.index)
+        found = self._lists.search(query, scope, kind, path, project, visibility, limit, offset)
         if self.sources is None:
             return found
         alive = self.sources.select("project", F.col("path").alias("file"), F.lit(True).alias("__alive"))
@@ -177,7 +180,8 @@ class CodeIndex:
         with self._writing:
             made = extract(files).persist()
             own = self.index if self.store is None else self.index.map(lambda df, _: df.filter(F.col("project").isin(sorted(projects))))
-            after = maintain.apply_events(own, named, relations(made))
+            fresh_rows = relations(made)
+            after = maintain.apply_events(own, named, fresh_rows)
             if self.sources is not None:
                 content = files.select("project", "path", F.decode(F.col("content"), "UTF-8").alias("content"))
                 self.sources = self.sources.join(named.select("project", "path"), ["project", "path"], "left_anti").unionByName(content)
@@ -186,15 +190,14 @@ class CodeIndex:
                 self.store.write(after, sorted(projects))
                 self.store.compact()
                 self.index = self.store.read()
-                made.unpersist()
             else:
                 self.index = after.map(lambda df, _: cut(df)) if self._steps % CUT == 0 else after
             if self.sources is not None and self._steps % CUT == 0:
                 self.sources = cut(self.sources)
             self.dirty |= projects
-            if self._docs is not None:
-                self._docs.unpersist()
-                self._docs = None
+            if self._lists is not None:
+                self._lists.apply(named, fresh_rows)
+                self._lists.compact()
 
     def reconcile(self) -> None:
         """Bring the index up to what lies in the tree now, as after a time without events: files whose hash isn't stored are read again, those that have gone are removed, and files below a new project's root go to it."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from srcatlas.plans.schema import Index, max_level
 LIMIT = 10
 WEIGHTS = {"name": 3, "file": 2, "content": 1}
 K1, B = 1.2, 0.75
+BOOST = 1000.0  # of an exact name
 RESULT = ["type", "project", "file", "name", "kind", "line_start", "line_end", "parent", "text", "score"]
 
 
@@ -55,9 +58,8 @@ def _hits(p: Q.Phrase, column: str) -> Column:
     return first if k == 1 else let(column_t, lambda t: F.filter(first, lambda i: stands(t, i)))
 
 
-def _near_hits(near: Q.Near, column: str) -> list[Column]:
-    """Each phrase's positions inside some neighbourhood that holds all phrases."""
-    hits = [_hits(p, column) for p in near.phrases]
+def _near_hits(near: Q.Near, hits: list[Column]) -> list[Column]:
+    """Each phrase's positions (of all its `hits`) inside some neighbourhood that holds all phrases."""
 
     def inside(i: int, m: Column):
         back = len(near.phrases[i].tokens) + near.distance
@@ -77,16 +79,39 @@ def _near_hits(near: Q.Near, column: str) -> list[Column]:
     return [F.filter(h, held(i, ends)) for i, h in enumerate(hits)]
 
 
+def weight(n: Column, having: Column) -> Column:
+    """The inverse document frequency, which stays above 0."""
+    idf = F.log((n - having + 0.5) / (having + 0.5))
+    return F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
+
+
+def saturation(f: Column, n_tokens: Column, mean: Column) -> Column:
+    """What a frequency counts for in a row of some tokens: more for a greater frequency, less for a longer row."""
+    return (f * (K1 + 1)) / (f + K1 * (1 - B + B * n_tokens / mean))
+
+
 class Compiled:
-    """A query as Column expressions: does a row match, and each phrase's weighted frequency under its guard."""
+    """A query as Column expressions: does a row match, and each phrase's weighted frequency under its guard.
+
+    `hits` gives the positions of a phrase in a column: by default from token arrays, or from position lists.
+    """
 
-    def __init__(self, query: str) -> None:
-        self.tree = Q.parse(query)
-        self.raw: list[Column] = []  # frequency of a phrase, neighbourhoods aside, for its document frequency
+    def __init__(self, query: str, hits: Callable[[Q.Phrase, str], Column] = _hits) -> None:
+        self.tree, self.hits = Q.parse(query), hits
+        self.phrases: list[Q.Phrase] = []
+        self.raw: list[Column] = []  # frequency of each phrase, neighbourhoods aside, for its document frequency
         self.scored: list[tuple[int, Column, Column]] = []  # (phrase, guard, frequency)
         self.columns: dict[str, Column] = {}
         self.matches = self._compile(self.tree, F.lit(True), True)
 
+    def score(self, n: Column, mean: Column, having: list[Column]) -> Column:
+        """BM25 of a row, the best lowest: of n rows with `mean` tokens, in which each phrase stands in `having` rows."""
+        total = F.lit(0.0)
+        for i, guard, f in self.scored:
+            part = weight(n, having[i]) * saturation(f, F.col("n_tokens"), mean)
+            total = total - F.when(guard, part).otherwise(0.0)
+        return total
+
     def _keep(self, expression: Column) -> Column:
         name = f"__e{len(self.columns)}"
         self.columns[name] = expression
@@ -99,7 +124,7 @@ class Compiled:
         return out
 
     def _frequency(self, p: Q.Phrase) -> Column:
-        return self._keep(self._weighted({c: F.size(_hits(p, c)) for c in p.columns}))
+        return self._keep(self._weighted({c: F.size(self.hits(p, c)) for c in p.columns}))
 
     def _compile(self, node, guard: Column, scored: bool) -> Column:
         """The row's match of a node; phrases count only if every expression around them matches, and never right of NOT."""
@@ -110,13 +135,13 @@ class Compiled:
                 if not n.tokens:
                     return F.lit(False)
                 f = self._frequency(n)
-                leaf[id(n)] = [(f, f)]
+                leaf[id(n)] = [(n, f, f)]
                 return f > 0
             if isinstance(n, Q.Near):
                 raw = [self._frequency(p) for p in n.phrases]
-                inside = {c: _near_hits(n, c) for c in Q.COLUMNS if all(c in p.columns for p in n.phrases)}
+                inside = {c: _near_hits(n, [self.hits(p, c) for p in n.phrases]) for c in Q.COLUMNS if all(c in p.columns for p in n.phrases)}
                 own = [self._keep(self._weighted({c: F.size(h[i]) for c, h in inside.items()})) for i in range(len(raw))]
-                leaf[id(n)] = list(zip(raw, own, strict=True))
+                leaf[id(n)] = list(zip(n.phrases, raw, own, strict=True))
                 return own[0] > 0
             if isinstance(n, Q.Not):
                 keep, drop = match(n.keep), match(n.drop)
@@ -130,7 +155,7 @@ class Compiled:
             done[id(n)] = out
             return out
 
-        leaf: dict[int, list[tuple[Column, Column]]] = {}
+        leaf: dict[int, list[tuple[Q.Phrase, Column, Column]]] = {}
         done: dict[int, Column] = {}
         whole = match(node)
         done[id(node)] = whole
@@ -138,7 +163,8 @@ class Compiled:
         while todo:
             n, g = todo.pop(0)
             if isinstance(n, (Q.Phrase, Q.Near)):
-                for raw, own in leaf.get(id(n), []):
+                for phrase, raw, own in leaf.get(id(n), []):
+                    self.phrases.append(phrase)
                     self.raw.append(raw)
                     self.scored.append((len(self.raw) - 1, g, own))
             elif isinstance(n, Q.Not):
@@ -148,23 +174,32 @@ class Compiled:
         return whole
 
 
+def exact_word(query: str) -> str:
+    """The word that a name may equal."""
+    return (query.split() or [""])[0].lower()
+
+
+def tie_order() -> list[Column]:
+    """The order of rows with the same score."""
+    return [F.length("name"), *map(F.col, ("type", "project", "file", "line_start", "line_end", "kind", "name", "content", "parent"))]
+
+
 def _kinds(values: list[str] | None) -> list[str]:
     return [v for v in values or [] if v]
 
 
-def search(ix: Index, query: str, scope: list[str] | None = None, kind: list[str] | None = None, path: str | None = None, project: str | None = None, visibility: str | None = "public", limit: int | None = LIMIT, offset: int = 0, docs: DataFrame | None = None, corpus: tuple[int, float] | None = None) -> DataFrame:
+def search(ix: Index, query: str, scope: list[str] | None = None, kind: list[str] | None = None, path: str | None = None, project: str | None = None, visibility: str | None = "public", limit: int | None = LIMIT, offset: int = 0, docs: DataFrame | None = None) -> DataFrame:
     """The best rows for a query, by BM25 with column weights, then shorter names.
 
     An exact name match (of the query's first word) comes first. The statistics (rows,
     mean length, rows with a phrase) are those of the whole index: filters come after
-    them. `docs` may be a tokenized table that the caller keeps, or, with the number of
-    rows and their mean length in `corpus`, only those rows that hold any of the tokens.
+    them. `docs` may be a tokenized table that the caller keeps. This reads and tokenizes the
+    whole corpus; operators.postings answers from stored lists.
     """
     compiled = Compiled(query)
     rows = (docs if docs is not None else tokenized(search_docs(ix))).withColumns(compiled.columns)
     counts = [F.sum(F.when(f > 0, 1).otherwise(0)).alias(f"n{i}") for i, f in enumerate(compiled.raw)]
-    size = [F.count(F.lit(1)), F.avg("n_tokens")] if corpus is None else [F.lit(corpus[0]), F.lit(corpus[1])]
-    stats = rows.agg(*counts, size[0].alias("__n"), size[1].alias("__avg"))  # one row
+    stats = rows.agg(*counts, F.count(F.lit(1)).alias("__n"), F.avg("n_tokens").alias("__avg"))  # one row
     found = rows.filter(compiled.matches)
     if _kinds(scope):
         found = found.filter(F.col("type").isin(_kinds(scope)))
@@ -178,15 +213,9 @@ def search(ix: Index, query: str, scope: list[str] | None = None, kind: list[str
     if level is not None:
         found = found.filter(F.col("visibility_level") <= level)
     found = found.join(F.broadcast(stats))
-    total = F.lit(0.0)
-    for i, guard, f in compiled.scored:
-        idf = F.log((F.col("__n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
-        idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-        part = idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("n_tokens") / F.col("__avg")))
-        total = total - F.when(guard, part).otherwise(0.0)
-    exact = (query.split() or [""])[0].lower()
-    score = F.round(total + F.when(F.lower("name") == exact, -1000.0).otherwise(0.0), 6)
-    ranked = found.withColumn("score", score).orderBy("score", F.length("name"), "type", "project", "file", "line_start", "line_end", "kind", "name", "content", "parent")
+    total = compiled.score(F.col("__n"), F.col("__avg"), [F.col(f"n{i}") for i in range(len(compiled.raw))])
+    score = F.round(total + F.when(F.lower("name") == exact_word(query), -BOOST).otherwise(0.0), 6)
+    ranked = found.withColumn("score", score).orderBy("score", *tie_order())
     return page(ranked.select(*RESULT), limit, offset)
 
 

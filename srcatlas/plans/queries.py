@@ -221,8 +221,29 @@ FROM sc, st WHERE {match} AND {where}
 ORDER BY score, length(name), type, project, file, line_start NULLS FIRST, line_end NULLS FIRST, kind NULLS FIRST, name, content, parent NULLS FIRST {'' if limit is None else f'LIMIT {limit} OFFSET {offset}'}"""
 
 
+_STORED: dict[tuple[str, str, str], PostingIndex] = {}
+
+
+def _stored(spark: SparkSession, d: str, name: str = "as it is", change: Callable[[PostingIndex, Index], None] | None = None) -> PostingIndex:
+    """The stored posting lists of a folder's index, written once in a session, and again for each way to change it."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STORED:
+        lists = PostingIndex(spark, f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}")
+        lists.build(index(spark, d))
+        if change is not None:
+            change(lists, index(spark, d))
+        _STORED[key] = lists
+    return _STORED[key]
+
+
 def add_search(name: str, query: str, sql: str, **options) -> None:
-    add(name, over(lambda ix: S.search(ix, query, **options)), sql.replace(", content AS __content", ""), *_SEARCHED)
+    add(name, lambda s, d: _stored(s, d).search(query, **options), sql.replace(", content AS __content", ""), *_SEARCHED)
+
+
+def add_scan(name: str, query: str) -> None:
+    """The same rows from a scan of the whole corpus."""
+    add(f"{name}_scan", over(lambda ix: S.search(ix, query)), None)
+    ORACLE[f"{name}_scan"] = ORACLE[name]
 
 
 RED, BOLT, WIDGET = hits("red"), hits("bolt"), hits("widget")
@@ -257,22 +278,51 @@ add_search("search_path_glob", "red", ranked([RED], "f0 > 0", "starts_with(file,
 add_search("search_project", "red", ranked([RED], "f0 > 0", "project = 'src1'", exact="red"), project="src1", visibility="private")
 add_search("search_visibility", "red", ranked([RED], "f0 > 0", "visibility_level <= 2", exact="red"), visibility="internal")
 add_search("search_page2", "red", ranked([RED], "f0 > 0", exact="red", offset=10), offset=10)
-_STORED: dict[tuple[str, str], PostingIndex] = {}
+for _name, _query in (("search_term", "widget"), ("search_not", "widget NOT red"), ("search_prefix", "wid*"), ("search_phrase", "red_widget")):
+    QUERIES[f"{_name}_stored"] = QUERIES[_name]
+    ORACLE[f"{_name}_stored"] = ORACLE[_name]
+for _name, _query in (("search_term", "widget"), ("search_or_pipe", "red|bolt"), ("search_phrase", "red_widget"), ("search_near", "NEAR(red economy, 1)"), ("search_prefix", "wid*")):
+    add_scan(_name, _query)
 
 
-def _stored(spark: SparkSession, d: str) -> PostingIndex:
-    """The stored posting lists of a folder's index, written once in a session."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _STORED:
-        lists = PostingIndex(spark, f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}")
-        lists.build(index(spark, d))
-        _STORED[key] = lists
-    return _STORED[key]
+# Posting lists after some files were edited and others deleted, as if they had been written then.
+def _changed(lists: PostingIndex, ix: Index) -> None:
+    lists.upsert(_edited(ix))
+    lists.delete(ix.files.filter("doc_id % 7 = 3").select("project", "path"))
+
+
+_OF_FILE = "JOIN ix_files f ON f.project = {t}.project AND f.path = {t}.file WHERE f.doc_id % 7 <> 3"
+_MOVED = "SELECT {t}.* REPLACE ({t}.line_start + CASE WHEN f.doc_id % 7 = 0 THEN 1 ELSE 0 END AS line_start, {t}.line_end + CASE WHEN f.doc_id % 7 = 0 THEN 1 ELSE 0 END AS line_end) FROM ix_{n} {t} " + _OF_FILE
+_CHANGED = f""", c_files AS (SELECT * FROM ix_files WHERE doc_id % 7 <> 3),
+c_symbols AS ({_MOVED.format(t="s", n="symbols")}),
+c_texts AS ({_MOVED.format(t="t", n="texts")})
+"""
+
+
+def _after(sql: str) -> str:
+    for n in ("files", "symbols", "texts"):
+        sql = sql.replace(f"FROM ix_{n}", f"FROM c_{n}")
+    return _CHANGED + sql
+
+
+for _name, _query, _sql in (
+    ("or", "red OR widget", ranked([RED, WIDGET], "(f0 > 0 OR f1 > 0)", guards={0: "f0 > 0", 1: "f1 > 0"}, exact="red")),
+    ("phrase", "red_widget", ranked([hits("red widget")], "f0 > 0", exact="red_widget")),
+    ("near", "NEAR(red economy, 1)", ranked([near("red", "economy", 1), near("economy", "red", 1)], "f0 > 0", raw={0: RED, 1: hits("economy")}, exact="near(red")),
+):
+    add(f"search_{_name}_after_changes", lambda s, d, q=_query: _stored(s, d, "changed", _changed).search(q, limit=40), _after(_sql.replace(", content AS __content", "").replace("LIMIT 10", "LIMIT 40")), *_SEARCHED)
+    add(f"search_{_name}_after_merge", lambda s, d, q=_query: _stored(s, d, "merged", _merged).search(q, limit=40), None)
+    ORACLE[f"search_{_name}_after_merge"] = ORACLE[f"search_{_name}_after_changes"]
+_TOKENS = _DOCS + "SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(list_concat(name_t, file_t, content_t))) AS token FROM tok) GROUP BY token"
+add("token_stats_stored", lambda s, d: _stored(s, d).token_stats(), _TOKENS, *_SEARCHED)
+add("token_stats_after_changes", lambda s, d: _stored(s, d, "changed", _changed).token_stats(), _after(_TOKENS), *_SEARCHED)
+
+
+def _merged(lists: PostingIndex, ix: Index) -> None:
+    _changed(lists, ix)
+    lists.compact(most=0)
 
 
-for _name, _query in (("search_term", "widget"), ("search_not", "widget NOT red"), ("search_prefix", "wid*"), ("search_phrase", "red_widget")):
-    QUERIES[f"{_name}_stored"] = lambda s, d, q=_query: _stored(s, d).search(q)
-    ORACLE[f"{_name}_stored"] = ORACLE[_name]
 add("search_docs", over(lambda ix: S.search_docs(ix)), _DOCS + "SELECT * FROM docs", *_SEARCHED)
 add("token_stats", over(S.token_stats), _DOCS + "SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(list_concat(name_t, file_t, content_t))) AS token FROM tok) GROUP BY token", *_SEARCHED)
 add("index_stats", over(S.index_stats), _DOCS + "SELECT count(*) AS n_rows, CAST(sum(n_tokens) AS BIGINT) AS n_tokens FROM tok", *_SEARCHED)

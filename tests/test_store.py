@@ -1,13 +1,8 @@
-"""Snapshots and posting lists."""
+"""Snapshots."""
 
 from __future__ import annotations
 
-import pytest
-
 from srcatlas.extract.run import build
-from srcatlas.operators import search as S
-from srcatlas.operators.postings import PostingIndex
-from srcatlas.sources import bridge
 from srcatlas.sources.store import SnapshotStore
 
 
@@ -29,42 +24,3 @@ def test_snapshots(spark, tmp_path):
     assert names(store.read(first))[1] == ("p", "two", 1) and store.versions() == [1, 2, 3]
     plan = store.read().symbols.filter("project = 'p'")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(project" in plan or "PartitionFilters: [" in plan
-
-
-@pytest.fixture(scope="module")
-def postings(spark, sf_dir, tmp_path_factory):
-    ix = bridge.index(spark, sf_dir)
-    out = PostingIndex(spark, str(tmp_path_factory.mktemp("postings")), buckets=8, segment_bits=5)
-    out.build(ix)
-    return ix, out
-
-
-@pytest.mark.parametrize("query", ["red", "red bolt", "red OR bolt", "widget NOT red", "wid*", "red_widget", "NEAR(red economy, 1)", "name: red", "^function", "nosuchword", "red OR (bolt AND steel)"])
-def test_postings_equal_a_scan(spark, postings, query):
-    ix, index = postings
-    rows = lambda df: [tuple(r) for r in df.collect()]
-    assert rows(index.search(query, visibility="private", limit=50)) == rows(S.search(ix, query, visibility="private", limit=50))
-
-
-def test_postings_are_pruned(spark, postings):
-    _, index = postings
-    plan = index.candidates("widget")._jdf.queryExecution().toString()
-    assert "In(token" in plan or "EqualTo(token,widget)" in plan
-    assert "PartitionFilters: [bucket" in plan or "(bucket#" in plan.split("PartitionFilters: [", 1)[1]
-    assert "PartitionFilters: [segment" in plan or "segment#" in plan.split("PartitionFilters: [", 1)[1]
-
-
-def test_postings_read_only_the_segments_of_their_rows(spark, postings):
-    ix, index = postings
-    every = spark.read.parquet(f"{index.path}/rows")
-    name = ix.symbols.filter("name IS NOT NULL").first().name
-    found = index.candidates(name.split(".")[-1].split("_")[0])
-    held = {r.segment for r in found.select("segment").distinct().collect()}
-    assert held <= {r.segment for r in every.select("segment").distinct().collect()}
-    assert index.candidates("nosuchword").count() == 0 and index.search("nosuchword").count() == 0
-
-
-def test_postings_of_nothing(spark, tmp_path):
-    index = PostingIndex(spark, str(tmp_path))
-    index.build(files(spark, ("", "a.py", "")).map(lambda df, _: df.limit(0)))
-    assert index.search("word").columns == S.RESULT and index.search("word").count() == 0
