@@ -15,9 +15,10 @@ back to the chunks that asked for them, never to the driver and never to all.
 from __future__ import annotations
 
 import json
-import os
+import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from srcatlas.llm._store import bound_batches, materialize, release
 
 #: Bytes of text aligned at once, and kept together as a chunk; a longer document is one alone.
 BATCH_BYTES, CHUNK_BYTES = 1 << 20, 1 << 23
-#: Units of text whose tokens a worker remembers, and the longest of them in characters.
-UNITS, UNIT_CHARS = 1 << 17, 64
+#: Characters that a library gets at once, about; a text without a cut goes whole.
+PART_CHARS = 1 << 18
 SALTS = 16
 #: A pair is a's id times this and b's.
 B_IDS = 1 << 32
@@ -45,25 +46,61 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-class ByteTokens:
-    """A byte-level BPE file of the tokenizers library."""
+#: How a byte-level vocabulary cuts a text before it merges bytes (a fixed value of the vocabulary).
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    def __init__(self, content: str) -> None:
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
-        self.library = Tokenizer.from_str(content)
-        self.library.encode_special_tokens = True
+class _Tokens:
+    """The bytes of a vocabulary's tokens, as one table."""
+
+    def _laid_out(self) -> None:
+        raw = [self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)]
+        self.size = np.array([len(x) for x in raw], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.table = np.frombuffer(b"".join(raw), np.uint8)
+
+    def joined(self, ids: bytes) -> bytes:
+        """The bytes of all tokens of unsigned 32-bit ids."""
+        own = np.frombuffer(ids, np.uint32)
+        size = self.size[own]
+        begin = np.cumsum(size) - size
+        return self.table[np.arange(int(size.sum())) + np.repeat(self.start[own] - begin, size)].tobytes()
+
+
+class ByteTokens(_Tokens):
+    """A byte-level BPE file of the tokenizers library. Where its merges stand in the order of their ids, which is what
+    tiktoken takes for ranks, that library encodes (several times as fast, the same ids)."""
+
+    def __init__(self, content: str) -> None:
         letters = byte_alphabet()
-        vocabulary = json.loads(content)["model"]["vocab"]
+        spec = json.loads(content)
+        vocabulary, special = spec["model"]["vocab"], {t["content"] for t in spec["added_tokens"]}
+        self.content, self._slow = content, None
         self.bytes: dict[int, bytes] = {i: bytes(letters[c] for c in t) for t, i in vocabulary.items() if all(c in letters for c in t)}
+        self._laid_out()
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        self.fast = None
+        if [vocabulary["".join(m)] for m in merges] == list(range(256, 256 + len(merges))):
+            from tiktoken import Encoding
+
+            self.fast = Encoding("own", pat_str=PATTERN, mergeable_ranks={self.bytes[i]: i for t, i in vocabulary.items() if t not in special}, special_tokens={})
 
-    def encode(self, units: list[str]) -> list[list[int]]:
-        """Tokens of a space and each unit."""
-        return [e.ids for e in self.library.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
+    def slow(self, text: str) -> list[int]:
+        if self._slow is None:
+            from tokenizers import Tokenizer
 
+            self._slow = Tokenizer.from_str(self.content)
+            self._slow.encode_special_tokens = True
+        return self._slow.encode(text, add_special_tokens=False).ids
 
-class PieceTokens:
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Tokens of a space and each text."""
+        if self.fast is None:
+            return [self.slow(f" {t}") for t in texts]
+        return [self.fast.encode_ordinary(f" {t}") for t in texts]
+
+
+class PieceTokens(_Tokens):
     """A sentencepiece model; it adds the space itself."""
 
     def __init__(self, content: bytes) -> None:
@@ -75,84 +112,52 @@ class PieceTokens:
             piece = self.library.id_to_piece(i)
             self.bytes[i] = bytes([int(piece[3:5], 16)]) if self.library.is_byte(i) else piece.replace("▁", " ").encode()
         if any(" " in p.decode("utf-8", "replace").lstrip(" ") for p in self.bytes.values()):
-            raise ValueError("a piece goes on after a space; units can't be encoded one by one")
+            raise ValueError("a piece goes on after a space; texts can't be cut there")
+        self._laid_out()
 
-    def encode(self, units: list[str]) -> list[list[int]]:
-        return self.library.encode(units, num_threads=1)
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.library.encode(texts, num_threads=1)
 
 
-def units_of(text: str) -> list[str]:
-    """Parts of a text, each to be encoded after a space: cut at each space after a character that is no white space.
-
-    No token of either kind crosses such a space, and what comes after it is encoded the same whatever comes before.
-    """
-    parts = text.split(" ")
-    if len(parts) > 1 and parts[-1] == "":  # a space at the end is no unit of its own
-        parts[-2:] = [f"{parts[-2]} "]
-    if len(parts) > 1 and not all(map(_closed, parts[:-1])):
-        joined, own = [], parts[0]
-        for part in parts[1:]:
-            if _closed(own):
-                joined.append(own)
-                own = part
-            else:
-                own = f"{own} {part}"
-        return [*joined, own]
-    return parts
+#: No token of either kind crosses a space after a character that is no white space (nor a piece's own mark), and what comes after it is encoded the same whatever comes before.
+_CUT = re.compile(r"(?<=[^\s▁]) ")
 
 
-def _closed(part: str) -> bool:
-    return part != "" and not part[-1].isspace() and part[-1] not in "\x1c\x1d\x1e\x1f\x85"
+def parts_of(text: str, size: int) -> list[str]:
+    """Parts of a text of about `size` characters, each to be encoded after a space: the libraries' memory grows with what they get at once."""
+    out, at = [], 0
+    while len(text) - at > size and (cut := _CUT.search(text, at + size)):
+        out.append(text[at : cut.start()])
+        at = cut.end()
+    # A space at the very end would be left alone, and is no text of its own.
+    return [*out, text[at:]] if at < len(text) or not out else [*out[:-1], f"{out[-1]} "]
 
 
 class Pair:
-    """Two tokenizers and what they have encoded lately."""
-
-    def __init__(self, a: ByteTokens, b: PieceTokens, units: int = UNITS) -> None:
-        self.a, self.b, self.room = a, b, units
-        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
-        self.before: dict[str, tuple[bytes, bytes, bool]] = {}
-        size = lambda t: np.array([len(t.bytes.get(i, b"")) for i in range(max(t.bytes) + 1)], np.int64)
-        self.a_size, self.b_size = size(a), size(b)
-        names = lambda t: [sep + str(i) for sep in ("", ",", ";", "|") for i in range(len(t))]
-        self.a_names, self.b_names = names(self.a_size), names(self.b_size)
-
-    def _learn(self, units: list[str]) -> None:
-        """Both encodings of units, and whether both give the unit's bytes back."""
-        if len(self.known) + len(units) > self.room:  # what was not asked for since the last change is forgotten
-            self.known, self.before = {}, self.known
-        for u, x, y in zip(units, self.a.encode(units), self.b.encode(units), strict=True):
-            want = b" " + u.encode()
-            same = all(b"".join([t.bytes.get(i, b"") for i in ids]) == want for t, ids in ((self.a, x), (self.b, y)))
-            self.known[u] = np.array(x, np.uint32).tobytes(), np.array(y, np.uint32).tobytes(), same
+    """Two tokenizers."""
+
+    def __init__(self, a: ByteTokens, b: PieceTokens, part: int = PART_CHARS) -> None:
+        self.a, self.b, self.part = a, b, part
+        self.a_size, self.b_size = a.size, b.size
+        # A separator stands before each token: none, comma, semicolon, or bar before a group's first B token.
+        self.names = [sep + str(i) for n in (len(self.a_size), len(self.b_size)) for sep in ("", ",", ";", "|") for i in range(n)]
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Ids of each text by both, as unsigned 32-bit numbers; none for an empty text and for one whose bytes don't come back."""
-        split = [units_of(t) if t else [] for t in texts]
-        fresh: dict[str, None] = {}
-        for u in chain.from_iterable(split):
-            if u not in self.known:
-                old = self.before.get(u)
-                if old is None:
-                    fresh[u] = None
-                else:
-                    self.known[u] = old
-        new = list(fresh)
-        kept = self.known
-        if new:
-            self._learn(new)
-            if kept is not self.known:  # the generation has changed: this batch needs both
-                kept = {**kept, **self.known}
-        out_a, out_b = [], []
-        for units in split:
-            found = [kept[u] for u in units]
-            whole = all([x[2] for x in found])
-            out_a.append(b"".join([x[0] for x in found]) if whole else b"")
-            out_b.append(b"".join([x[1] for x in found]) if whole else b"")
-        for u in new:
-            if len(u) > UNIT_CHARS:
-                self.known.pop(u, None)
-        return out_a, out_b
+        split = [parts_of(t, self.part) if t else [] for t in texts]
+        parts = list(chain.from_iterable(split))
+        many = [len(p) for p in split]
+        raws = [f" {t}".encode() if t else b"" for t in texts]
+        outs = []
+        for t in (self.a, self.b):
+            found = iter([array("I", ids).tobytes() for ids in t.encode(parts)])
+            outs.append([b"".join(islice(found, n)) for n in many])
+        a, b = outs
+        if not all(t.joined(b"".join(out)) == b"".join(raws) for t, out in zip((self.a, self.b), outs, strict=True)):
+            for k, raw in enumerate(raws):
+                if self.a.joined(a[k]) != raw or self.b.joined(b[k]) != raw:
+                    a[k] = b[k] = b""
+        return a, b
 
 
 class Aligned:
@@ -177,20 +182,17 @@ class Aligned:
         self.link_doc = self.a_doc[self.link_a]
         self.n_links = np.bincount(self.link_doc, minlength=n)
 
-    def groups(self, a_names: list[str], b_names: list[str]) -> list[str]:
-        """Each document's groups as `a1,a2|b1;a3|b2,b3`."""
-        a_many, b_many = len(a_names) // 4, len(b_names) // 4
+    def groups(self, names: list[str], a_many: int, b_many: int) -> list[str]:
+        """Each document's groups as `a1,a2|b1;a3|b2,b3`. Names are those of A ids and then of B ids, with each separator before them."""
         doc_first = np.zeros(len(self.a), bool)
         doc_first[(np.cumsum(self.a_count) - self.a_count)[self.a_count > 0]] = True
         opens = np.diff(self.a_group, prepend=-1) != 0
-        # A separator stands before each token: none, comma, semicolon, or bar before a group's first B token.
         a_code = self.a + a_many * np.where(doc_first, 0, np.where(opens, 2, 1))
-        b_code = self.b + b_many * np.where(np.diff(self.b_group, prepend=-1) != 0, 3, 1)
+        b_code = self.b + b_many * np.where(np.diff(self.b_group, prepend=-1) != 0, 3, 1) + 4 * a_many
         order = np.argsort(np.concatenate([self.a_group * 2, self.b_group * 2 + 1]), kind="stable")
-        names = [*map(a_names.__getitem__, a_code.tolist()), *map(b_names.__getitem__, b_code.tolist())]
-        names = [names[i] for i in order.tolist()]
+        shown = list(map(names.__getitem__, np.concatenate([a_code, b_code])[order].tolist()))
         at = np.concatenate([[0], np.cumsum(self.a_count + self.b_count)]).tolist()
-        return ["".join(names[lo:hi]) for lo, hi in zip(at[:-1], at[1:], strict=True)]
+        return ["".join(shown[lo:hi]) for lo, hi in zip(at[:-1], at[1:], strict=True)]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, pair, links) for each pair of ids that a document links."""
@@ -273,7 +275,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
                 chunk.ids += ids[lo : lo + len(texts)]
                 for name, x in zip(DOCUMENT, (al.a_count, al.b_count, al.n_groups, al.n_links), strict=True):
                     chunk.columns[name].append(x)
-                chunk.groups += map(shown, al.groups(p.a_names, p.b_names))
+                chunk.groups += map(shown, al.groups(p.names, len(p.a_size), len(p.b_size)))
                 chunk.pair.append(pair)
                 chunk.links.append(links)
                 chunk.many.append(np.bincount(doc, minlength=len(texts)))

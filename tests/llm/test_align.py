@@ -144,12 +144,29 @@ def test_empty_table(spark):
     assert got(spark, []) == []
 
 
-def test_forgetting_changes_nothing():
-    """A worker that remembers hardly anything encodes the same."""
+@pytest.fixture(scope="module")
+def tokens():
     with open(PATHS[0], encoding="utf-8") as f, open(PATHS[1], "rb") as g:
-        a, b = f.read(), g.read()
-    small, large = (A.Pair(A.ByteTokens(a), A.PieceTokens(b), units=n) for n in (3, 10_000))
-    texts = [[f"w{i % 11} the w{i % 5}", "", f"{'long' * 30} {i}"] for i in range(40)]
+        return A.ByteTokens(f.read()), A.PieceTokens(g.read())
+
+
+def test_cuts_change_nothing(tokens):
+    """Texts cut as often as they can be are encoded as whole ones."""
+    rng = random.Random(4)
+    alphabet = [" ", " ", " ", "\n", "\t", "a", "b", "the", "ing", "é", "日", "▁", "'s", "12", ".", "\u00a0", "\x1c", "\u2028", "\u200b", "👍", "Ünï", "\u0301"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + [t or "" for t in ODD]
+    fine, whole = A.Pair(*tokens, part=1), A.Pair(*tokens)
+    assert fine.encode(texts) == whole.encode(texts)
+    assert max(len(A.parts_of(t, 1)) for t in texts) > 5
     for t in texts:
-        assert small.encode(t) == large.encode(t)
-    assert all(len(u) <= A.UNIT_CHARS for u in large.known)
+        assert " ".join(A.parts_of(t, 3)) == t
+
+
+def test_both_libraries_agree(tokens, plain):
+    """Ids by rank are those of the vocabulary's own library; long runs too."""
+    a, _ = tokens
+    rng = random.Random(6)
+    texts = [t for t in ODD if t] + ["".join(chr(rng.choice([*range(32, 127), *range(0xA0, 0x250), 0x2028, 0x3042, 0x1F600])) for _ in range(80)) for _ in range(400)]
+    texts += ["Z" * 30_000, " " * 30_000 + "x", "ab1'll" * 5000, "\n" * 20_000]
+    assert a.fast is not None
+    assert a.encode(texts) == [a.slow(f" {t}") for t in texts]
