@@ -35,7 +35,22 @@ SKIP = {
         "then catch finally resolve reject all race allSettled any abs ceil floor round max min pow sqrt random sin cos parse stringify "
         "describe it test expect beforeEach afterEach beforeAll afterAll jest mock spyOn toBe toEqual".split()
     ),
-    "c":frozenset("printf fprintf sprintf snprintf malloc calloc realloc free memcpy memset memmove strlen strcmp strcpy strncpy strcat exit abort".split()),
+    "c": frozenset(
+        "printf fprintf sprintf snprintf scanf fscanf sscanf fopen fclose fread fwrite fgets fputs getc putc getchar putchar fflush fseek ftell rewind feof ferror perror remove rename "
+        "malloc calloc realloc free exit abort atexit atoi atol atof strtol strtoul strtod rand srand qsort bsearch abs labs div ldiv getenv system "
+        "strlen strcpy strncpy strcat strncat strcmp strncmp strchr strrchr strstr strtok memcpy memmove memset memcmp memchr "
+        "isalpha isdigit isalnum isspace isupper islower toupper tolower "
+        "sin cos tan asin acos atan atan2 sinh cosh tanh exp log log10 pow sqrt ceil floor fabs fmod assert sizeof offsetof".split()
+    ),
+    "cpp": frozenset(
+        "printf fprintf sprintf snprintf scanf malloc calloc realloc free strlen strcpy strcmp memcpy memset sizeof "
+        "push_back pop_back push_front pop_front insert erase clear empty size capacity reserve resize begin end rbegin rend cbegin cend front back at find count lower_bound upper_bound emplace emplace_back "
+        "make_unique make_shared make_pair make_tuple get reset release swap "
+        "sort find_if copy move transform for_each accumulate count_if remove remove_if reverse unique binary_search min max min_element max_element "
+        "cout cin cerr clog endl flush getline to_string stoi stol stod substr length c_str data append compare "
+        "new delete static_cast dynamic_cast const_cast reinterpret_cast "
+        "EXPECT_EQ EXPECT_TRUE EXPECT_FALSE ASSERT_EQ ASSERT_TRUE ASSERT_FALSE TEST TEST_F".split()
+    ),
     "java": frozenset(
         "System out err in println print printf exit currentTimeMillis nanoTime gc getenv getProperty toString equals hashCode getClass clone wait notify notifyAll "
         "length charAt substring indexOf lastIndexOf contains startsWith endsWith replace replaceAll split trim toLowerCase toUpperCase format valueOf isEmpty "
@@ -43,7 +58,15 @@ SKIP = {
         "Object String Integer Long Double Float Boolean Byte Short Character Number Math Arrays Collections List ArrayList LinkedList Map HashMap TreeMap Set HashSet TreeSet Queue Deque Stack Optional Stream Collectors "
         "Class Enum Exception RuntimeException Error Throwable Thread Runnable assertEquals assertTrue assertFalse assertNull assertNotNull assertThrows fail".split()
     ),
-    "csharp": frozenset("nameof typeof default checked unchecked WriteLine Write".split()),
+    "csharp": frozenset(
+        "Console WriteLine ReadLine Write Read Clear Beep ToString GetType Equals GetHashCode ReferenceEquals MemberwiseClone "
+        "Format Join Split Substring Trim TrimStart TrimEnd ToUpper ToLower Replace Contains StartsWith EndsWith IndexOf LastIndexOf Length IsNullOrEmpty IsNullOrWhiteSpace Concat Compare "
+        "Add Remove RemoveAt Insert Find FindAll FindIndex Sort Reverse ToArray ToList ToDictionary First FirstOrDefault Last LastOrDefault Single SingleOrDefault "
+        "Where Select SelectMany OrderBy OrderByDescending GroupBy Any All Count Sum Average Min Max Aggregate Distinct Skip Take SkipWhile TakeWhile "
+        "Wait WaitAll WaitAny Run FromResult Delay WhenAll WhenAny ContinueWith ConfigureAwait Abs Ceiling Floor Round Pow Sqrt Sin Cos Tan "
+        "Parse TryParse Convert GetBytes GetString Dispose Close Invoke BeginInvoke EndInvoke "
+        "Assert AreEqual AreNotEqual IsTrue IsFalse IsNull IsNotNull Throws ThrowsAsync Fact Theory Test TestCase Setup TearDown".split()
+    ),
 }
 # Names that only one of the two script languages leaves out, and objects whose methods TypeScript leaves out.
 SCRIPT_SKIP = {
@@ -61,7 +84,15 @@ PRIMITIVE = {
     ),
     "java": frozenset("int long short byte char float double boolean void var String Integer Long Short Byte Float Double Boolean Character Void Object Number Class".split()),
     "c": frozenset("int long short char float double void unsigned signed bool auto size_t const struct union enum".split()),
-    "csharp": frozenset("int long short byte char float double decimal bool void string object var dynamic uint ulong ushort sbyte".split()),
+    "cpp": frozenset(
+        "int long short char float double bool void signed unsigned size_t ssize_t ptrdiff_t auto decltype "
+        "string vector map set unordered_map unordered_set list deque queue stack pair tuple array unique_ptr shared_ptr weak_ptr optional variant any function iterator const_iterator".split()
+    ),
+    "csharp": frozenset(
+        "int long short byte sbyte float double decimal bool char string object void dynamic var "
+        "Int32 Int64 Int16 Byte SByte Single Double Decimal Boolean Char String Object Void "
+        "DateTime TimeSpan Guid Type Array List Dictionary HashSet Queue Stack IEnumerable IList ICollection IDictionary IQueryable Task Action Func Predicate EventHandler Exception EventArgs".split()
+    ),
 }
 STOP = {
     "rust": frozenset("self Self crate mod pub mut ref let type impl trait fn where loop match unsafe async await dyn move use as Some None Ok Err std core alloc cx rx tx io buf drop".split()),
@@ -243,6 +274,8 @@ class Reader:
             if before in ("function", "fn", "func", "class", "def", "@") or self.skipped(name, base):
                 continue
             kind = "instantiation" if before == "new" else "call"
+            if kind == "instantiation" and self.family in ("c", "csharp") and name in self.primitive:
+                continue
             self.out.refs.append(Ref(name.lstrip("#"), kind, t.line, t.line, self.scopes.around(i)))
 
     def skipped(self, name: str, base: str) -> bool:
@@ -920,6 +953,9 @@ class Java(Typed):
 
 
 class CSharp(Typed):
+    def skipped(self, name: str, base: str) -> bool:
+        return name in self.skip or name in ("base", "this", "nameof", "typeof", "default", "checked", "unchecked")  # no calls: initialisers and operators
+
     def member_default(self, kind: str) -> str:
         return "public" if kind == "interface" else "private"
 
@@ -950,6 +986,9 @@ class CSharp(Typed):
             i += 1
         if word in self.TYPES and self.word(i + 1):
             return self.type_body(i + 1, hi, first, level, shown, self.TYPES[word])
+        if word == "event":  # neither a member that is called nor a type of one
+            stop = self.find(i, hi, (";", "{"))
+            return self.past(stop)
         if word == "delegate":
             last = self.find(i, hi, (";",))
             p = self.find(i, last, ("(",))
@@ -959,6 +998,15 @@ class CSharp(Typed):
 
 
 class C(Typed):
+    def __init__(self, source: str, language: str) -> None:
+        super().__init__(source, language)
+        if language == "cpp":
+            self.skip, self.primitive = SKIP["cpp"], PRIMITIVE["cpp"] | PRIMITIVE["c"]
+
+    def skipped(self, name: str, base: str) -> bool:
+        """A call through an object or a namespace is named with it, and stays."""
+        return name in self.skip
+
     def member_default(self, kind: str) -> str:
         return "private" if kind == "class" else "public"
 
@@ -1067,9 +1115,12 @@ class C(Typed):
             name = "~" + name
         if self.text(stop) == "(" and self.text(stop + 1) != "*":
             constructor = name.lstrip("~") == level.name
-            owner = level
-            if self.text(name_at - 1) == "::" and self.word(name_at - 2):
-                owner = Level(self.text(name_at - 2), "class", self.text(name_at - 2))
+            owner, begin = level, name_at - (self.text(name_at - 1) == "~")
+            while self.text(begin - 1) == "::" and self.word(begin - 2) and begin - 2 >= i:
+                begin -= 2
+            if begin < name_at - (self.text(name_at - 1) == "~"):
+                around = "::".join(self.text(x) for x in range(begin, name_at, 2) if self.word(x))
+                owner = Level(around, "class", around.rpartition("::")[2])
             elif name_at == i and not constructor:
                 return None
             self.named(name_at)
@@ -1077,7 +1128,7 @@ class C(Typed):
             last = self.match.get(body, body) if self.text(body) == "{" else self.find(body, hi, (";",))
             kind = "method" if member or owner is not level else "function"
             full = self.symbol(owner, name, kind, first, last, shown, (body, last) if self.text(body) == "{" else None)
-            self.types(i, name_at - 2 * (owner is not level), full)
+            self.types(i, begin, full)
             return last + 1
         if name_at == i:
             return None

@@ -9,8 +9,17 @@ OPENERS = frozenset("def class module if unless while until case begin for do".s
 #: These open a block only at the start of a statement.
 MODIFIER = frozenset("if unless while until".split())
 KEYWORDS = OPENERS | frozenset("end else elsif when then return yield self nil true false and or not in rescue ensure retry next break redo super alias undef defined? __method__".split())
-# Calls that are no references.
-SKIP = frozenset("puts print p pp raise require require_relative load include extend prepend attr_reader attr_writer attr_accessor private public protected private_constant module_function lambda proc loop format sprintf printf freeze".split())
+# Calls that are no references, by the method's name.
+SKIP = frozenset(
+    (
+        "puts print p pp gets require require_relative load raise fail catch throw exit abort sleep rand srand loop lambda proc binding eval exec system spawn fork open sprintf format warn "
+        "class object_id send public_send respond_to? method methods instance_variables is_a? kind_of? instance_of? nil? tap then yield_self freeze frozen? dup clone to_s to_a to_h to_i to_f to_sym inspect hash eql? equal? "
+        "each each_with_index each_with_object map collect select filter reject find detect find_all first last take drop count length size empty? any? all? none? one? include? member? min max minmax sum reduce inject sort sort_by reverse flatten compact uniq zip group_by partition push pop shift unshift delete clear concat join split "
+        "keys values fetch store merge merge! update has_key? key? has_value? value? dig strip chomp chop upcase downcase capitalize gsub sub match match? start_with? end_with? encode bytes chars lines "
+        "attr_reader attr_writer attr_accessor attr include extend prepend alias_method define_method module_function private protected public new initialize allocate superclass ancestors "
+        "describe context it before after let expect should assert assert_equal refute"
+    ).split()
+)
 STOP = KEYWORDS | frozenset("attr_reader attr_writer attr_accessor require include extend initialize puts".split())
 
 
@@ -51,7 +60,7 @@ def extract(source: str, language: str = "ruby") -> Extracted:
             k, single = i + 1, False
             if text(k + 1) == "." and text(k) == "self" or text(k + 1) == "." and code[k].kind == "word":
                 k, single = k + 2, True
-            name = text(k) + ("=" if text(k + 1) == "=" and text(k + 2) == "(" else "")
+            name = text(k) + ("=" if text(k + 1) == "=" and text(k + 2) == "(" and not _apart(code, k + 1) else "")
             last = ends.get(i, len(code) - 1)
             full = f"{parent}.{name}" if parent else name
             kind = "method" if parent or single else "function"
@@ -127,7 +136,13 @@ def _endless(code, text, i: int) -> bool:
             k += 1
             if not depth:
                 break
-    return k < len(code) and text(k) == "=" and code[k].line == code[k - 1].line and k > i + 2
+    # A setter's `=` stands at its name, an endless method's apart from it.
+    return k < len(code) and text(k) == "=" and code[k].line == code[k - 1].line and (k > i + 2 or _apart(code, k))
+
+
+def _apart(code, k: int) -> bool:
+    """Is there a blank before a token?"""
+    return code[k].line != code[k - 1].end_line or code[k].column > code[k - 1].column + len(code[k - 1].text)
 
 
 def _line_end(code, i: int) -> int:

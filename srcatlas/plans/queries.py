@@ -18,7 +18,7 @@ from srcatlas.operators import render as R
 from srcatlas.operators import search as S
 from srcatlas.operators import snippets, texts
 from srcatlas.operators.postings import PostingIndex
-from srcatlas.plans import code, schema
+from srcatlas.plans import code, schema, varied
 from srcatlas.plans.schema import Index
 from srcatlas.sources import bridge, languages
 from srcatlas.sources.bridge import duck_ctes, index, table, view
@@ -393,3 +393,5 @@ add("html_files", lambda s, d: _pages_index(s, d).files.select("path", "lang", "
 # Extraction, manifests, ignore rules and rendering over files made from rows.
 QUERIES.update(code.QUERIES)
 ORACLE.update(code.ORACLE)
+QUERIES.update(varied.QUERIES)
+ORACLE.update(varied.ORACLE)
