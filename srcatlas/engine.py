@@ -18,6 +18,7 @@ from srcatlas.functions.blake3 import short_hashes
 from srcatlas.operators import explore as X
 from srcatlas.operators import lookup, maintain, render, search, snippets
 from srcatlas.operators.postings import PostingIndex
+from srcatlas.operators.suffixes import SuffixIndex
 from srcatlas.plans.schema import Index
 from srcatlas.sources import jsonl, listing, locks, manifests
 from srcatlas.sources.store import SnapshotStore, shared_folder
@@ -46,6 +47,7 @@ class CodeIndex:
         self._writing = threading.RLock()
         self._steps = 0
         self._lists: PostingIndex | None = None
+        self._tails: dict[str, SuffixIndex] = {}
         if store is not None:
             store.write(index)
             self.index = store.read()
@@ -88,11 +90,18 @@ class CodeIndex:
     def get_children(self, file: str, parent: str, visibility: str = "public", context_lines: int | None = None) -> DataFrame:
         return self._enrich(lookup.children(self.index, file, parent, visibility), context_lines)
 
+    def _find(self, column: str) -> Callable[[str], DataFrame]:
+        """References by the suffixes of a column, which are stored when they are first asked for after a change."""
+        if column not in self._tails:
+            self._tails[column] = SuffixIndex(self.spark, f"{shared_folder(self.spark)}/suffixes-{uuid.uuid4().hex}", column)
+            self._tails[column].build(self.index.refs)
+        return self._tails[column].find
+
     def get_callers(self, name: str, kind: str | None = None, project: str | None = None, visibility: str = "private", limit: int = lookup.LIMIT, offset: int = 0, context_lines: int | None = None) -> DataFrame:
-        return self._enrich(lookup.callers(self.index, name, kind, project, visibility, limit, offset), context_lines)
+        return self._enrich(lookup.callers(self.index, name, kind, project, visibility, limit, offset, self._find("name")), context_lines)
 
     def get_callees(self, caller: str, kind: str | None = None, project: str | None = None, visibility: str = "private", limit: int = lookup.LIMIT, offset: int = 0, context_lines: int | None = None) -> DataFrame:
-        return self._enrich(lookup.callees(self.index, caller, kind, project, visibility, limit, offset), context_lines)
+        return self._enrich(lookup.callees(self.index, caller, kind, project, visibility, limit, offset, self._find("caller")), context_lines)
 
     def explore(self, path: str | None = None, project: str | None = None, visibility: str = "public", max_entries: int = X.MAX_ENTRIES) -> dict:
         projects = [r.project for r in lookup.list_projects(self.index).collect()]
@@ -195,6 +204,7 @@ class CodeIndex:
             if self.sources is not None and self._steps % CUT == 0:
                 self.sources = cut(self.sources)
             self.dirty |= projects
+            self._tails = {}
             if self._lists is not None:
                 self._lists.apply(named, fresh_rows)
                 self._lists.compact()

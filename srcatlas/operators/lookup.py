@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,8 +73,7 @@ def _semi_by_symbol(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     return found
 
 
-def _refs(ix: Index, condition: Column, kind: str | None, project: str | None, visibility: str | None, limit: int | None, offset: int) -> DataFrame:
-    found = ix.refs.filter(condition)
+def _refs(ix: Index, found: DataFrame, kind: str | None, project: str | None, visibility: str | None, limit: int | None, offset: int) -> DataFrame:
     if kind is not None:
         found = found.filter(F.col("kind") == kind)
     if project is not None:
@@ -84,12 +85,16 @@ def _refs(ix: Index, condition: Column, kind: str | None, project: str | None, v
     return page(ordered(found, "file", "line_start", rest=REF), limit, offset)
 
 
-def callers(ix: Index, name: str, kind: str | None = None, project: str | None = None, visibility: str | None = "private", limit: int | None = LIMIT, offset: int = 0) -> DataFrame:
-    return _refs(ix, named(F.col("name"), name), kind, project, visibility, limit, offset)
+def callers(ix: Index, name: str, kind: str | None = None, project: str | None = None, visibility: str | None = "private", limit: int | None = LIMIT, offset: int = 0, find: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """References to a name. `find` may give them from a stored index of suffixes; else all references are read."""
+    found = find(name) if find else ix.refs.filter(named(F.col("name"), name))
+    return _refs(ix, found, kind, project, visibility, limit, offset)
 
 
-def callees(ix: Index, caller: str, kind: str | None = None, project: str | None = None, visibility: str | None = "private", limit: int | None = LIMIT, offset: int = 0) -> DataFrame:
-    return _refs(ix, named(F.col("caller"), caller), kind, project, visibility, limit, offset)
+def callees(ix: Index, caller: str, kind: str | None = None, project: str | None = None, visibility: str | None = "private", limit: int | None = LIMIT, offset: int = 0, find: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """References from a name, as callers."""
+    found = find(caller) if find else ix.refs.filter(named(F.col("caller"), caller))
+    return _refs(ix, found, kind, project, visibility, limit, offset)
 
 
 def list_projects(ix: Index) -> DataFrame:

@@ -18,6 +18,7 @@ from srcatlas.operators import render as R
 from srcatlas.operators import search as S
 from srcatlas.operators import snippets, texts
 from srcatlas.operators.postings import PostingIndex
+from srcatlas.operators.suffixes import SuffixIndex
 from srcatlas.plans import code, schema, varied
 from srcatlas.plans.schema import Index
 from srcatlas.sources import bridge, languages
@@ -52,14 +53,33 @@ add("file_symbols_glob", over(lambda ix: L.file_symbols(ix, GLOB)), rf"SELECT {S
 add("file_symbols_page2", over(lambda ix: L.file_symbols(ix, "en/*", "private", 20, 20)), f"SELECT {SYMBOL} FROM ix_symbols WHERE starts_with(file, 'en/') ORDER BY {SYMBOL_ORDER} LIMIT 20 OFFSET 20", "ix_symbols")
 for level, test, file, parent in (("public", "visibility_level <= 1", "en/d2/f157.rs", "Brand_24"), ("private", "true", FILE, "Brand_14")):
     add(f"children_{level}", over(lambda ix, v=level, f=file, p=parent: L.children(ix, f, p, v)), f"SELECT {SYMBOL} FROM ix_symbols WHERE file = '{file}' AND parent = '{parent}' AND {test}", "ix_symbols")
-add("callers_base_name", over(lambda ix: L.callers(ix, "red_plate", limit=None)), f"SELECT {REF} FROM ix_refs WHERE name = 'red_plate' OR name ILIKE '%.red_plate'", "ix_refs")
-add("callers_kind_project", over(lambda ix: L.callers(ix, "red_plate", "call", PROJECT)), f"SELECT {REF} FROM ix_refs WHERE (name = 'red_plate' OR name ILIKE '%.red_plate') AND kind = 'call' AND project = '{PROJECT}' ORDER BY {REF_ORDER} LIMIT 100", "ix_refs")
+_TAILS: dict[tuple[str, str, str], SuffixIndex] = {}
+
+
+def _tails(spark: SparkSession, d: str, column: str) -> Callable[[str], DataFrame]:
+    """The stored suffixes of a folder's references, written once in a session."""
+    key = (spark.sparkContext.applicationId, d, column)
+    if key not in _TAILS:
+        _TAILS[key] = SuffixIndex(spark, f"{shared_folder(spark)}/suffixes-{uuid.uuid4().hex}", column)
+        _TAILS[key].build(index(spark, d).refs)
+    return _TAILS[key].find
+
+
+def add_refs(name: str, ask: Callable, column: str, sql: str, *views: str) -> None:
+    """A query over stored suffixes, and the same rows from a scan of all references."""
+    add(name, lambda s, d: ask(index(s, d), _tails(s, d, column)), sql, *views)
+    add(f"{name}_scan", lambda s, d: ask(index(s, d), None), None)
+    ORACLE[f"{name}_scan"] = ORACLE[name]
+
+
+add_refs("callers_base_name", lambda ix, find: L.callers(ix, "red_plate", limit=None, find=find), "name", f"SELECT {REF} FROM ix_refs WHERE name = 'red_plate' OR name ILIKE '%.red_plate'", "ix_refs")
+add_refs("callers_kind_project", lambda ix, find: L.callers(ix, "red_plate", "call", PROJECT, find=find), "name", f"SELECT {REF} FROM ix_refs WHERE (name = 'red_plate' OR name ILIKE '%.red_plate') AND kind = 'call' AND project = '{PROJECT}' ORDER BY {REF_ORDER} LIMIT 100", "ix_refs")
 _VISIBLE = """SELECT DISTINCT {r} FROM ix_refs r JOIN ix_symbols s ON (s.name = r.name OR s.name ILIKE '%.' || r.name) AND s.project = r.project
 WHERE {c} AND s.visibility_level <= {n}"""
 _R = ", ".join(f"r.{c.strip()}" for c in REF.split(","))
-add("callers_visibility_public", over(lambda ix: L.callers(ix, "red_plate", visibility="public", limit=None)), _VISIBLE.format(r=_R, c="(r.name = 'red_plate' OR r.name ILIKE '%.red_plate')", n=1), "ix_refs", "ix_symbols")
-add("callees_base_name", over(lambda ix: L.callees(ix, "run_f")), f"SELECT {REF} FROM ix_refs WHERE caller = 'run_f' OR caller ILIKE '%.run_f' ORDER BY {REF_ORDER} LIMIT 100", "ix_refs")
-add("callees_visibility_internal", over(lambda ix: L.callees(ix, "S4.run_o", visibility="internal", limit=None)), _VISIBLE.format(r=_R, c="(r.caller = 'S4.run_o' OR r.caller ILIKE '%.S4.run_o')", n=2), "ix_refs", "ix_symbols")
+add_refs("callers_visibility_public", lambda ix, find: L.callers(ix, "red_plate", visibility="public", limit=None, find=find), "name", _VISIBLE.format(r=_R, c="(r.name = 'red_plate' OR r.name ILIKE '%.red_plate')", n=1), "ix_refs", "ix_symbols")
+add_refs("callees_base_name", lambda ix, find: L.callees(ix, "run_f", find=find), "caller", f"SELECT {REF} FROM ix_refs WHERE caller = 'run_f' OR caller ILIKE '%.run_f' ORDER BY {REF_ORDER} LIMIT 100", "ix_refs")
+add_refs("callees_visibility_internal", lambda ix, find: L.callees(ix, "S4.run_o", visibility="internal", limit=None, find=find), "caller", _VISIBLE.format(r=_R, c="(r.caller = 'S4.run_o' OR r.caller ILIKE '%.S4.run_o')", n=2), "ix_refs", "ix_symbols")
 add("list_projects", over(L.list_projects), "SELECT DISTINCT project FROM ix_files", "ix_files")
 add("dir_files", over(lambda ix: L.dir_files(ix, PROJECT, "en/d0")), f"SELECT string_split(path, '/')[-1] AS filename, lang FROM ix_files WHERE project = '{PROJECT}' AND parent_path = 'en/d0' AND NOT regexp_matches(path, '(^|/)\\.')", "ix_files")
 add("file_hash", over(lambda ix: L.file_hash(ix, PROJECT, "fr/d0/f0.py")), f"SELECT hash FROM ix_files WHERE project = '{PROJECT}' AND path = 'fr/d0/f0.py'", "ix_files")
