@@ -25,6 +25,7 @@ from srcatlas.sources import bridge, languages
 from srcatlas.sources.bridge import duck_ctes, index, table, view
 from srcatlas.sources.store import shared_folder
 from srcatlas.streaming import events as E
+from srcatlas.streaming import state as FS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -198,6 +199,43 @@ SELECT 'p' AS project, path, 'old' AS hash FROM o WHERE path NOT IN (SELECT path
 UNION ALL SELECT 'p', path, 'new' || regexp_extract(path, '(\\d+)', 1) FROM l WHERE kind <> 'remove'""", "ix_events")
 
 
+def _event_state(spark: SparkSession, d: str) -> DataFrame:
+    """The changes that the same events make to the same files, from a stream with a state for each file."""
+    folder = f"{shared_folder(spark)}/event-state-{uuid.uuid4().hex}"
+    n = F.regexp_extract("path", r"(\d+)", 1)
+    events = view(spark, d, "ix_events").select(F.lit("p").alias("project"), "path", "kind", F.concat(F.lit("new"), n).alias("hash"), F.col("ts").cast("timestamp").alias("ts"), "seq")
+    # One event long after all others moves the watermark past them.
+    clock = events.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).select(F.lit("").alias("project"), F.lit("clock").alias("path"), F.lit("modify").alias("kind"), F.lit("x").alias("hash"), "ts", F.lit(-1).cast("long").alias("seq"))
+    events.unionByName(clock).write.parquet(f"{folder}/in")
+    stored = spark.range(0, 50, 2).select(F.lit("p").alias("project"), F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".py")).alias("path"), F.lit("old").alias("hash"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, FS.PROVIDER)
+    try:
+        out = FS.changes(spark.readStream.schema(FS.EVENT).parquet(f"{folder}/in"), stored, 3 * 3600 * 1000)
+        query = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(provider, before) if before is not None else spark.conf.unset(provider)
+    changed = spark.read.schema(FS.CHANGE).parquet(f"{folder}/out").filter("path <> 'clock'")
+    return changed.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "last_ts")})
+
+
+def _event_state_files(spark: SparkSession, d: str) -> DataFrame:
+    """The files that are there after these changes."""
+    changed = _event_state(spark, d)
+    last = changed.groupBy("project", "path").agg(F.max_by(F.struct("kind", "hash"), "first_ts").alias("c"))
+    old = spark.range(0, 50, 2).select(F.lit("p").alias("project"), F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".py")).alias("path"), F.lit("old").alias("hash"))
+    return old.join(last, ["project", "path"], "left_anti").unionByName(last.filter("c.kind <> 'remove'").select("project", "path", F.col("c.hash").alias("hash")))
+
+
+add("event_state_files", _event_state_files, ORACLE["event_apply"])
+add("event_state_changes", lambda s, d: _event_state(s, d).drop("project"), _GAP + """, n AS (SELECT *, CAST(regexp_extract(path, '(\\d+)', 1) AS INT) AS i FROM deb),
+a AS (SELECT *, CASE WHEN kind <> 'remove' THEN 'new' || i END AS after FROM n),
+b2 AS (SELECT *, CASE WHEN row_number() OVER w > 1 THEN lag(after) OVER w WHEN i % 2 = 0 AND i < 50 THEN 'old' END AS before FROM a WINDOW w AS (PARTITION BY path ORDER BY first_ts))
+SELECT path, CASE WHEN after IS NULL THEN 'remove' WHEN before IS NULL THEN 'create' ELSE 'modify' END AS kind, after AS hash, first_ts, last_ts, n_events FROM b2 WHERE after IS DISTINCT FROM before""", "ix_events")
+
+
 # Full text.
 _DOCS = r""", docs AS (
 SELECT 'file' AS type, project, path AS file, coalesce(title, '') AS name, coalesce(description, '') AS content, lang AS kind, 0 AS visibility_level, CAST(NULL AS INT) AS line_start, CAST(NULL AS INT) AS line_end, CAST(NULL AS VARCHAR) AS parent, CAST(NULL AS VARCHAR) AS text FROM ix_files

@@ -73,3 +73,37 @@ def test_bursts_hashes_and_restart(rocks, tmp_path):
     rows = spark.read.schema(S.CHANGE).parquet(out).withColumns({c: F.unix_micros(c) / 1_000_000 for c in ("first_ts", "last_ts")}).collect()
     assert sorted(map(tuple, rows), key=repr) == brute(events, stored)
     assert any(r.kind == "remove" for r in rows) and any(r.n_events > 1 for r in rows)
+
+
+def test_source_goes_on_after_a_restart(spark, tmp_path):
+    """What changes while no stream runs comes as events when it runs again, once."""
+    from srcatlas import ship
+    from srcatlas.streaming.source import TreeEvents
+
+    ship.ensure(spark)
+    spark.dataSource.register(TreeEvents)
+    root = tmp_path / "tree"
+    (root / "sub").mkdir(parents=True)
+    (root / "a.py").write_text("a")
+    (root / "sub" / "b.py").write_text("b")
+    out, checkpoint, listings = (str(tmp_path / x) for x in ("out", "check", "listings"))
+
+    def step():
+        events = spark.readStream.format("tree_events").option("root", str(root)).option("listings", listings).load()
+        q = events.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        return sorted((r.path, r.kind) for r in spark.read.parquet(out).collect()) if any(tmp_path.joinpath("out").glob("*.parquet")) else []
+
+    assert step() == []
+    (root / "a.py").write_text("changed")
+    (root / "sub" / "b.py").unlink()
+    (root / "c.md").write_text("new")
+    first = step()
+    assert first == [("a.py", "modify"), ("c.md", "create"), ("sub/b.py", "remove")]
+    assert step() == first
+    (root / "a.py").unlink()
+    assert step() == sorted([*first, ("a.py", "remove")])
+    assert len([n for n in (tmp_path / "listings").iterdir()]) <= 3
