@@ -106,6 +106,9 @@ def solved(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) ->
         tried.append((sum(t for t, _, _ in plan), plan, bound, share))
         if tried[-1][0] <= (1 + GAP) * bound:
             break
+    if min(x[0] for x in tried) > tried[-1][2]:  # no plan is proved the best: none may need more sequences than best fit alone
+        plan = best_fit(lengths, left.copy(), capacity)
+        tried.append((sum(t for t, _, _ in plan), plan, 0, 0.0))
     _, plan, _, share = min(tried, key=lambda x: x[0])
     return plan, max(x[2] for x in tried), share
 
@@ -131,7 +134,13 @@ def attempt(lengths: np.ndarray, left: np.ndarray, capacity: int, rng: np.random
                 break
             room = max(1, 2 * room)
     share = 1 - int(left.sum()) / pieces
-    while left.any():  # best fit for the rest: the longest left, then the longest that fits beside it
+    return [*plan, *best_fit(lengths, left, capacity)], bound, share
+
+
+def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """The longest left, then the longest that fits beside it, and so on; `left` is used up."""
+    plan: list[tuple[int, np.ndarray, np.ndarray]] = []
+    while left.any():
         free, held = capacity, np.zeros(len(lengths), np.int64)
         while len(fits := np.flatnonzero((left > held) & (lengths <= free))):
             k = fits[-1]
@@ -142,7 +151,7 @@ def attempt(lengths: np.ndarray, left: np.ndarray, capacity: int, rng: np.random
         times = int(np.min(left[at] // held[at]))
         left[at] -= times * held[at]
         plan.append((times, lengths[at], held[at]))
-    return plan, bound, share
+    return plan
 
 
 def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, np.ndarray, np.ndarray]]:

@@ -122,3 +122,18 @@ def test_the_linear_program_places_nearly_all(monkeypatch):
         plan, bound, share = packing.solved(a, times * n)
         made = sum(t for t, _, _ in plan)
         assert share > 0.98 and made <= best_fit(a, times * n, 4096, monkeypatch) and made <= 1.001 * bound + 1
+
+
+def test_never_more_sequences_than_best_fit():
+    """Also where layouts leave much room, and where the fullest layouts use up what the rest needs."""
+    rng = np.random.default_rng(0)
+    sets = {
+        "room in every layout": [1366] * 300 + [1025] * 200 + [2049] * 250,
+        "few fillers": 4 * np.clip(rng.lognormal(5.8, 0.6, 1500).astype(int) + 1, 1, 1024),
+        "no fillers": 16 * rng.integers(63, 127, 1500),
+    }
+    for name, lengths in sets.items():
+        a, n = np.unique(lengths, return_counts=True)
+        made = check_plan(a.tolist(), n.tolist(), 4096)
+        plain = packing.best_fit(a.astype(np.int64), n.astype(np.int64).copy(), 4096)
+        assert made <= sum(t for t, _, _ in plain), name
