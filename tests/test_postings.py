@@ -12,7 +12,7 @@ from srcatlas.functions import query as Q
 from srcatlas.operators import maintain as M
 from srcatlas.operators import search as S
 from srcatlas.operators.postings import PostingIndex, _Slots
-from srcatlas.plans.schema import union
+from srcatlas.plans.schema import Index, union
 from srcatlas.sources import bridge
 
 QUERIES = ["red", "red bolt", "red OR bolt", "widget NOT red", "wid*", "red_widget", "NEAR(red economy, 1)", "NEAR(red economy bolt, 4)", "name: red", "- {name file} : red", "^function", "nosuchword", "red OR (bolt AND steel)", "red red", '"small gizmo" OR wid*', "small + gi*", "en", '"..." red', "red OR nosuch*", "É*"]
@@ -31,13 +31,17 @@ def postings(spark, sf_dir, tmp_path_factory):
     ix = bridge.index(spark, sf_dir).map(lambda df, _: df.persist())
     out = PostingIndex(spark, str(tmp_path_factory.mktemp("postings")), block_bits=4, first=2)
     out.build(ix)
-    return ix, out
+    return S.tokenized(S.search_docs(ix)).persist(), out, ix
+
+
+def scan(docs, query, **options):
+    return S.search(Index(None, None, None, None), query, docs=docs, **options)
 
 
 @pytest.mark.parametrize("query", QUERIES)
 def test_equals_a_scan(postings, query):
-    ix, index = postings
-    assert rows(index.search(query, visibility="private", limit=50)) == rows(S.search(ix, query, visibility="private", limit=50))
+    docs, index, _ = postings
+    assert rows(index.search(query, visibility="private", limit=50)) == rows(scan(docs, query, visibility="private", limit=50))
 
 
 @pytest.mark.parametrize(
@@ -45,12 +49,12 @@ def test_equals_a_scan(postings, query):
     [{}, {"scope": ["symbol"]}, {"scope": ["text", "file"]}, {"scope": ["nothing"]}, {"kind": ["class", "method"]}, {"path": "en/d1/*"}, {"path": "en/d[01]/f?.*"}, {"path": "en/d1/f1.rs", "visibility": "private"}, {"project": "src1"}, {"project": "nosuch"}, {"visibility": "internal", "limit": 7, "offset": 9}, {"limit": None}, {"limit": 0}, {"kind": ["class"], "project": "src1", "path": "en/*", "scope": ["symbol"]}],
 )
 def test_filters(postings, options):
-    ix, index = postings
-    assert rows(index.search("red OR widget", **options)) == rows(S.search(ix, "red OR widget", **options))
+    docs, index, _ = postings
+    assert rows(index.search("red OR widget", **options)) == rows(scan(docs, "red OR widget", **options))
 
 
 def test_exact_names_come_first(spark, postings, tmp_path):
-    ix, _ = postings
+    *_, ix = postings
     named = ix.with_(files=ix.files.withColumn("title", F.when(F.col("doc_id") % 50 == 1, F.lit("Widget")).otherwise(F.col("title"))))
     index = PostingIndex(spark, str(tmp_path), block_bits=3, first=1)
     index.build(named)
@@ -71,7 +75,7 @@ def plan_of(df):
 
 def test_words_and_prefixes_read_their_range(spark, postings, tmp_path):
     """The folders of a range, and in them the row groups of the term."""
-    ix, _ = postings
+    docs, _, ix = postings
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         index = PostingIndex(spark, str(tmp_path), block_bits=4)
@@ -91,11 +95,11 @@ def test_words_and_prefixes_read_their_range(spark, postings, tmp_path):
         # Bounds of blocks don't read positions.
         small = plan_of(df.groupBy("segment", "block").agg(F.max("content_n")))
         assert "entries" not in small.split("== Physical Plan ==")[1].split("ReadSchema")[1]
-    assert rows(index.search("wid*")) == rows(S.search(ix, "wid*"))
+    assert rows(index.search("wid*")) == rows(scan(docs, "wid*"))
 
 
 def test_rows_beyond_the_best_are_not_read(postings):
-    _, index = postings
+    _, index, _ = postings
     plan = plan_of(index.search("red", limit=5)).split("== Physical Plan ==")[1]
     assert plan.count("FileScan parquet") == 1 and "/rows]" in plan and "entries" not in plan and re.search(r"PushedFilters: \[.*(In\(row|EqualTo\(row)", plan)
 
@@ -137,15 +141,15 @@ def test_bounds_hold_and_prune(spark, tmp_path):
 
 def test_change_equals_a_rebuild(spark, postings, tmp_path):
     """Upserts, deletes, new files and merges: the same answers and statistics as from scratch."""
-    ix, _ = postings
+    *_, ix = postings
     index = PostingIndex(spark, str(tmp_path / "a"), block_bits=4, first=2)
     index.build(ix)
     now = ix
 
     def check():
-        for query in ("red OR widget", '"red widget"', "wid* NOT bolt", "NEAR(red economy, 2)"):
-            assert rows(index.search(query, visibility="private", limit=30)) == rows(S.search(now, query, visibility="private", limit=30)), query
-        fresh = S.tokenized(S.search_docs(now))
+        fresh = S.tokenized(S.search_docs(now)).persist()
+        for query in ("red OR widget", '"red widget"', "NEAR(red economy, 2)"):
+            assert rows(index.search(query, visibility="private", limit=30)) == rows(scan(fresh, query, visibility="private", limit=30)), query
         step, live = index._live()
         assert (sum(n for n, _ in live.values()), sum(t for _, t in live.values())) == tuple(fresh.agg(F.count(F.lit(1)), F.sum("n_tokens")).first())
         for word in ("red", "widget", "en"):
