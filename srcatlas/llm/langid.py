@@ -81,8 +81,12 @@ class Mixture:
         return TEMPER * np.add.reduceat(self.four[four] - self.three[three], first, axis=0).astype(np.float64)
 
     def _sum(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
-        total = np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)])
-        return total[first[1:]] - total[first[:-1]]
+        """Sums over each document's own words, by themselves: no other document of the batch changes a digit."""
+        out = np.zeros((len(first) - 1, x.shape[1]))
+        full = np.flatnonzero(np.diff(first))
+        if len(full):
+            out[full] = np.add.reduceat(x, first[full], axis=0)
+        return out
 
     def _em(self, p: np.ndarray, doc: np.ndarray, first: np.ndarray, share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
         """Proportions after `steps` rounds from `share`, and each document's log-likelihood (of p, which is scaled by word)."""
@@ -130,7 +134,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """One row per row: doc_id, held_out boolean, lang_pred string, score double (share of the document), n_langs int, and the columns in `carry`.
 
     Learned from rows with a language whose crc32(id) mod 4 is not 2; a prediction
-    depends on the text alone. `und` with score 0 if the text is null, has no letter, or
+    depends on the text alone, to the last digit of its score, so repeated rows get equal
+    ones (each repetition counts in learning). A text of any length is handled whole. `und` with score 0 if the text is null, has no letter, or
     no language could be learned. Null ids are never held out. Memory grows with the
     number of languages (1 MB each). An empty table gives an empty result.
     """

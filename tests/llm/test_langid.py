@@ -1,4 +1,9 @@
+import math
 import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
 
 from srcatlas.llm import langid
 
@@ -32,3 +37,79 @@ def test_carried_columns_and_nothing_to_learn(spark):
     out = langid.identify(df.withColumnRenamed("score", "source"), carry=("text", "source"))
     assert sorted((r.doc_id, r.lang_pred, r.text or "", r.source or "") for r in out.collect()) == [(1, "und", "abc", "s"), (2, "und", "", "")]
     assert langid.identify(df.limit(0)).count() == 0
+
+
+def learned(spark, sf_dir):
+    rows = [r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r.text and r.lang]
+    parts = list(langid.count(iter([pa.RecordBatch.from_arrays([pa.array([r.text for r in rows]), pa.array([r.lang for r in rows])], ["text", "lang"])])))
+    tables = {}
+    for words in langid.tokenized(pa.array([r.text for r in rows])):
+        four, three, _, n = langid.grams(words)
+        own = np.repeat(np.array([r.lang for r in rows], object)[words.lo : words.hi][words.doc()], n)
+        for lang in set(own.tolist()):
+            for k, at in (("4", four), ("3", three)):
+                tables.setdefault(k + lang, np.zeros(langid.GRAMS, np.int64))
+                tables[k + lang] += np.bincount(at[own == lang], minlength=langid.GRAMS)
+    assert parts
+    return langid.Mixture(tables), [r.text for r in rows]
+
+
+def answers(model, texts):
+    out = []
+    for words in langid.tokenized(pa.array(texts)):
+        out += zip(*(x.tolist() for x in model.predict(words)), strict=True)
+    return out
+
+
+def test_neighbours_change_no_digit(spark, sf_dir):
+    model, texts = learned(spark, sf_dir)
+    texts = [*texts[:150], "", *texts[:3], "\n".join(texts[20:60]), ""]
+    assert answers(model, texts) == [answers(model, [t])[0] for t in texts]
+
+
+def by_hand(model, text):
+    """Expectation-maximisation word by word, with plain sums."""
+    words = next(langid.tokenized(pa.array([text])))
+    ll, n, k = model.likelihoods(words).tolist(), len(words.start), len(model.langs)
+    p = [[math.exp(x - max(row)) for x in row] for row in ll]
+
+    def em(share, steps):
+        for _ in range(steps):
+            new = [0.0] * k
+            for row in p:
+                total = sum(a * b for a, b in zip(row, share, strict=True))
+                for j in range(k):
+                    new[j] += row[j] * share[j] / max(total, 1e-300) / n
+            share = new
+        return share, sum(math.log(max(sum(a * b for a, b in zip(row, share, strict=True)), 1e-300)) for row in p)
+
+    share, _ = em([1 / k] * k, langid.EM_STEPS)
+    single = [sum(row[j] - max(row) for row in ll) for j in range(k)]
+    best = max(range(k), key=lambda j: single[j])
+    chosen, value, size = [float(j == best) for j in range(k)], single[best], 1
+    order = sorted(range(k), key=lambda j: -share[j])
+    for take in range(2, k + 1):
+        start = [share[j] + 1e-6 if j in order[:take] else 0.0 for j in range(k)]
+        s, fit = em([x / sum(start) for x in start], 2)
+        if fit - math.log(max(n, 2)) / 2 * (take - 1) <= value:
+            break
+        chosen, value, size = s, fit - math.log(max(n, 2)) / 2 * (take - 1), take
+    pick = max(range(k), key=lambda j: chosen[j])
+    return pick, chosen[pick], size
+
+
+def test_mixtures_equal_those_worked_out_by_hand(spark, sf_dir):
+    model, texts = learned(spark, sf_dir)
+    texts = [t for t in texts[:60] if t.split()] + [f"{a} {b}" for a, b in zip(texts[:20], texts[20:40], strict=True)]
+    for got, text in zip(answers(model, texts), texts, strict=True):
+        want = by_hand(model, text)
+        assert got[0] == want[0] and got[2] == want[2] and abs(got[1] - want[1]) < 1e-9
+
+
+def test_repeated_rows_get_equal_answers(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    found = defaultdict(set)
+    out = langid.identify(docs.unionByName(docs.limit(40)).repartition(3)).collect()
+    for r in out:
+        found[r.doc_id].add((r.lang_pred, r.score))
+    assert all(len(x) == 1 for x in found.values()) and Counter(r.doc_id for r in out).most_common(1)[0][1] == 2
