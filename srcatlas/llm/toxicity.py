@@ -9,13 +9,14 @@ counts, always below the count, so that what was seen once keeps mass.
 
 Counts are exact and keyed by 44-bit word keys; no table is held whole anywhere.
 Documents become chunks: distinct words and the sequence of their indices. A chunk
-sends the distinct pairs of its training rows with their counts, and a 32-bit key of
+sends the distinct pairs of its training rows with their counts, and a 28-bit key of
 each pair that it only wants to know, sorted and as differences, cut into cells by hash.
 A cell adds up, answers every chunk with the totals of its pairs, and hands on what the
-pairs say about single words. These sums meet the chunks' words in ranges in the same
+pairs say about single words. A key only finds candidates: the answer has every pair of
+the cell that has it, each with 32 other bits of its hash, by which the chunk takes its
+own and no other. These sums meet the chunks' words in ranges in the same
 way. A chunk then has all counts that its words need. Cells and ranges grow with the
-tokens, so a key that was asked for meets a wrong pair of its cell less than once in
-2000, at every size.
+tokens, so there are at every size less than 3 candidates in a hundred too many.
 
 A logistic curve over length-normalised log ratios, those of the document, its worst
 passage, its five worst words and the worst one, beside the length, makes a probability
@@ -49,7 +50,7 @@ PASSAGE, SAMPLE, TOXIC_AT = 24, 20000, 0.3
 LABELS_BROADCAST = 1_000_000
 #: Groups of counts are 2 * fold + class; models are 2 * (0 early, 1 full) + class.
 GROUPS, FEATURES = 4, 5
-WORD_BITS, KEY_BITS = 44, 32
+WORD_BITS, KEY_BITS = 44, 28
 CHUNKS = "chunk long, tokens long, keys binary, times binary, seq binary, first binary, groups binary, rows binary"
 PAIRS = "cell int, chunk long, words binary, m binary, v binary, n binary, asked binary"
 MERGED = "kind string, chunk long, part int, words binary, value binary, hits binary"
@@ -135,15 +136,16 @@ class Chunk:
         learned[at[own >= 0]] = True
         key = pair_hash(self.words[w], self.words[v])
         cell = (key >> np.uint64(40)) % np.uint64(parts)
+        check = (key >> np.uint64(32)).astype(np.uint32)
         key &= np.uint64((1 << KEY_BITS) - 1)
         by = cell << np.uint64(1)
         by |= ~learned
-        by <<= np.uint64(KEY_BITS)
+        by <<= np.uint64(32)
         by |= np.where(learned, np.arange(len(w), dtype=np.uint64), key)
         by_cell = np.argsort(by, kind="stable")
         del by
-        self.w, self.v, self.key, self.learned, self.cell = w[by_cell], v[by_cell], key[by_cell], learned[by_cell], cell[by_cell].astype(np.int32)
-        del w, v, key, learned, cell
+        self.w, self.v, self.key, self.check, self.learned, self.cell = w[by_cell], v[by_cell], key[by_cell], check[by_cell], learned[by_cell], cell[by_cell].astype(np.int32)
+        del w, v, key, check, learned, cell
         rank = np.empty(len(by_cell), np.int32)
         rank[by_cell] = np.arange(len(by_cell), dtype=np.int32)
         self.pair, self.own = rank[at], own
@@ -244,16 +246,22 @@ def add_pairs(parts: int):
         code = code[new]
         w, v = known[code >> np.uint64(32)], known[code & np.uint64((1 << 32) - 1)]
         del code, new
-        key, at = np.unique(pair_hash(w, v) & np.uint64((1 << KEY_BITS) - 1), return_index=True)
+        full = pair_hash(w, v)
+        key = full & np.uint64((1 << KEY_BITS) - 1)
+        by_key = np.argsort(key, kind="stable")
+        key, check = key[by_key], (full >> np.uint64(32)).astype(np.uint32)
+        del full
         rows, done = [], 0
         for r in got:
             k = len(unpacked(r["v"], np.uint32))
             q = ascended(r["asked"])
-            where = np.minimum(np.searchsorted(key, q), max(len(key) - 1, 0))
-            hit = key[where] == q if len(key) else np.zeros(len(q), bool)
-            rows.append(("a", r["chunk"], r["cell"], np.packbits(hit).tobytes(), packed(total[:, back[done : done + k]].astype(np.uint32)), packed(total[:, at[where[hit]]].astype(np.uint32) if len(key) else np.zeros(0, np.uint32))))
+            lo = np.searchsorted(key, q)
+            found = np.searchsorted(key, q, "right") - lo
+            at = by_key[np.repeat(lo - (np.cumsum(found) - found), found) + np.arange(found.sum())]
+            hits = np.concatenate([total[:, at].astype(np.uint32), check[None, at]])
+            rows.append(("a", r["chunk"], r["cell"], packed(found.astype(np.uint16)), packed(total[:, back[done : done + k]].astype(np.uint32)), packed(hits)))
             done += k
-        del got, back, key, at
+        del got, back, key, check, by_key
         total[2:] += total[:2]  # groups become models
         rows.append(("c", -1, -1, None, packed(counts_of_counts(total)), None))
         if len(w):
@@ -271,8 +279,10 @@ def counts_of_pairs(c: Chunk, a: int, b: int, answer: dict) -> np.ndarray:
     k = int(c.learned[a:b].sum())
     out = np.zeros((GROUPS, b - a), np.uint32)
     out[:, :k] = unpacked(answer["value"], np.uint32).reshape(GROUPS, -1)
-    hit = k + np.flatnonzero(np.unpackbits(np.frombuffer(answer["words"], np.uint8), count=b - a - k))
-    out[:, hit] = unpacked(answer["hits"], np.uint32).reshape(GROUPS, -1)
+    found, hits = unpacked(answer["words"], np.uint16), unpacked(answer["hits"], np.uint32).reshape(GROUPS + 1, -1)
+    at = k + np.repeat(np.arange(b - a - k), found)
+    own = hits[GROUPS] == c.check[a + at]
+    out[:, at[own]] = hits[:GROUPS, own]
     return out
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 from collections import Counter
@@ -5,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pytest
 
 from srcatlas.llm import toxicity
 
@@ -102,7 +104,9 @@ def test_rare_markers_are_evidence(spark):
     assert sum(toxic) / len(toxic) > 0.8 and sum(clean) / len(clean) < 0.1
 
 
-def test_counts_are_exact_over_chunks_and_cells():
+@pytest.mark.parametrize("bits", [28, 3])
+def test_counts_are_exact_over_chunks_and_cells(bits, monkeypatch):
+    monkeypatch.setattr(toxicity, "KEY_BITS", bits)  # with 3 bits nearly every key that is asked for has several candidates
     rng = np.random.default_rng(4)
     words = np.concatenate([np.zeros(1, np.uint64), np.unique(rng.integers(1, 2**44, 3000).astype(np.uint64))])
     held, truth = [], Counter()
@@ -144,3 +148,70 @@ def test_discounts_stay_below_their_counts():
     assert (d[:, 1:] > 0).all() and (d[:, 1:] < [1, 2, 3]).all()
     y = 100 / 180
     assert np.allclose(d[0, 1:], [1 - 2 * y * 0.4, 2 - 3 * y * 0.5, 3 - 4 * y * 0.6])
+
+
+def test_a_pair_of_the_same_key_changes_nothing(spark):
+    """The pairs "ano amz" and "adi bhu" have the last 32 bits of their hashes in common."""
+    docs = corpus(300)
+    asked = next(i for i in range(10000, 10100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    got = []
+    for pair in ("ano amz", "ano awz"):
+        rows = [(i, f"{t} {pair}" if y and zlib.crc32(str(i).encode()) % 4 != 2 else t, "x") for i, t, y in docs] + [(asked, "adi bhu", "x")]
+        out = toxicity.score(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, y, 0) for i, _, y in docs], LABELS)).collect()
+        got.append(next(r.score for r in out if r.doc_id == asked))
+    assert abs(got[0] - got[1]) < 1e-9  # the rows of the fit come in another order
+
+
+def by_hand(docs):
+    """Scores from dictionaries of counts, word by word."""
+    rest = {i: zlib.crc32(str(i).encode()) % 4 for i, _, _ in docs}
+    texts = {i: t.split() for i, t, _ in docs}
+    pairs = {i: list(zip(["", *w[:-1]], w)) for i, w in texts.items()}
+    every = Counter(w for t in texts.values() for w in t)
+    tokens, vocabulary = sum(every.values()), len(every)
+
+    def model(rows, toxic):
+        n = Counter(p for i, _, y in docs if i in rows and y == toxic for p in pairs[i])
+        before, after, times = Counter(w for _, w in n), {}, Counter()
+        for (v, _), x in n.items():
+            after.setdefault(v, Counter())[min(x, 3)] += 1
+            times[v] += x
+
+        def discount(values):
+            c = [sum(x == j for x in values) for j in (1, 2, 3, 4)]
+            y = c[0] / (c[0] + 2 * c[1]) if c[0] else 0.5
+            return [0.0] + [min(max(j - (j + 1) * y * c[j] / c[j - 1] if c[j - 1] else y, 0.05), 0.95 * j) for j in (1, 2, 3)]
+
+        d, low = discount(n.values()), discount(before.values())
+        free, total = sum(low[min(x, 3)] for x in before.values()), sum(before.values())
+
+        def p(v, w):
+            base = (every[w] + 0.5) / (tokens + 0.5 * vocabulary)
+            lower = (before[w] - low[min(before[w], 3)] + free * base) / total
+            if not times[v]:
+                return lower
+            return (n[v, w] - d[min(n[v, w], 3)]) / times[v] + sum(d[j] * after[v][j] for j in (1, 2, 3)) / times[v] * lower
+
+        return p
+
+    def features(i, toxic, ordinary):
+        r = [math.log(toxic(*x)) - math.log(ordinary(*x)) for x in pairs[i]]
+        k = toxicity.PASSAGE
+        passages = [r[a : a + k] for a in range(max(len(r) - k, 0) + 1)]
+        worst = sorted(r)[::-1][:5]
+        return [sum(r) / len(r), max(sum(x) / len(x) for x in passages), sum(worst) / len(worst), max(r), math.log1p(len(r))]
+
+    early, full = ([model({i for i in rest if rest[i] in own}, y) for y in (1, 0)] for own in ((0, 1), (0, 1, 3)))
+    seen = [(features(i, *early), y) for i, _, y in docs if rest[i] == 3]
+    x, y = np.array([f for f, _ in seen]), np.array([y for _, y in seen], float)
+    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    beta = toxicity.fit((x - centre) / scale, y)
+    return {i: 1 / (1 + math.exp(-(beta[0] + (np.array(features(i, *full)) - centre) / scale @ beta[1:]))) for i in rest}
+
+
+def test_scores_equal_those_counted_by_hand(spark):
+    docs = corpus(240, seed=8) + [(5000, " ".join(["talon mi grumbok"] * 4000), 0)]  # a long text, and repeated rows below
+    docs += [(6000, docs[7][1], docs[7][2])]
+    want = by_hand(docs)
+    out = toxicity.score(spark.createDataFrame([(i, t, "x") for i, t, _ in docs], SCHEMA), spark.createDataFrame([(i, y, 0) for i, _, y in docs], LABELS)).collect()
+    assert len(out) == len(docs) and all(abs(r.score - want[r.doc_id]) < 1e-4 for r in out)
