@@ -219,7 +219,7 @@ def summed(keys: np.ndarray, rows: Iterator[np.ndarray]) -> tuple[np.ndarray, np
 
 
 def add_pairs(parts: int):
-    """One cell: totals of every pair for each chunk ('a'), sums over the pairs for words ('w', 'v'), counts of counts ('c')."""
+    """One cell: for each chunk what others add to its own pairs, and totals of those that it asks for ('a'), sums over the pairs for words ('w', 'v'), counts of counts ('c')."""
 
     def merge(t: pa.Table) -> pa.Table:
         release()
@@ -239,6 +239,7 @@ def add_pairs(parts: int):
         new[1:] = code[1:] != code[:-1]
         at = np.flatnonzero(new)
         total = np.stack([np.add.reduceat(x[order], at, dtype=np.int64) for x in n]) if len(code) else n.astype(np.int64)
+        own = n
         del n
         back = np.empty(len(code), np.int32)
         back[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
@@ -259,9 +260,9 @@ def add_pairs(parts: int):
             found = np.searchsorted(key, q, "right") - lo
             at = by_key[np.repeat(lo - (np.cumsum(found) - found), found) + np.arange(found.sum())]
             hits = np.concatenate([total[:, at].astype(np.uint32), check[None, at]])
-            rows.append(("a", r["chunk"], r["cell"], packed(found.astype(np.uint16)), packed(total[:, back[done : done + k]].astype(np.uint32)), packed(hits)))
+            rows.append(("a", r["chunk"], r["cell"], packed(found.astype(np.uint16)), packed((total[:, back[done : done + k]] - own[:, done : done + k]).astype(np.uint32)), packed(hits)))
             done += k
-        del got, back, key, check, by_key
+        del got, back, own, key, check, by_key
         total[2:] += total[:2]  # groups become models
         rows.append(("c", -1, -1, None, packed(counts_of_counts(total)), None))
         if len(w):
@@ -274,15 +275,15 @@ def add_pairs(parts: int):
     return merge
 
 
-def counts_of_pairs(c: Chunk, a: int, b: int, answer: dict) -> np.ndarray:
-    """The totals by group of a chunk's pairs a..b, a cell, from the cell's answer."""
+def counts_of_pairs(c: Chunk, a: int, b: int, answer: dict, own: np.ndarray) -> np.ndarray:
+    """The totals by group of a chunk's pairs a..b, a cell, from the chunk's own counts and the cell's answer, which has what other chunks add."""
     k = int(c.learned[a:b].sum())
     out = np.zeros((GROUPS, b - a), np.uint32)
-    out[:, :k] = unpacked(answer["value"], np.uint32).reshape(GROUPS, -1)
+    out[:, :k] = own[:, a : a + k] + unpacked(answer["value"], np.uint32).reshape(GROUPS, -1)
     found, hits = unpacked(answer["words"], np.uint16), unpacked(answer["hits"], np.uint32).reshape(GROUPS + 1, -1)
     at = k + np.repeat(np.arange(b - a - k), found)
-    own = hits[GROUPS] == c.check[a + at]
-    out[:, at[own]] = hits[:GROUPS, own]
+    same = hits[GROUPS] == c.check[a + at]
+    out[:, at[same]] = hits[:GROUPS, same]
     return out
 
 
@@ -391,11 +392,11 @@ def measure(models: Models, parts: int, names: list[str]):
         row = own.drop_columns(["rows"]).to_pylist()[0]
         c = Chunk(row, parts)
         del row
-        n, u = np.zeros((GROUPS, len(c.w)), np.uint32), np.zeros((21, len(c.words)), np.int64)
+        n, u = c.counts(), np.zeros((21, len(c.words)), np.int64)
         found = {(kind, part): k for k, (kind, part) in enumerate(zip(answers["kind"].to_pylist(), answers["part"].to_pylist(), strict=True))}
         answer = lambda kind, part: answers.slice(found[kind, part], 1).to_pylist()[0]
         for cell, a, b in cuts(c.cell):
-            n[:, a:b] = counts_of_pairs(c, a, b, answer("a", cell))
+            n[:, a:b] = counts_of_pairs(c, a, b, answer("a", cell), n)
         for part, a, b in cuts(ranges(c.words, parts)):
             u[:, a:b] = unpacked(answer("u", part)["value"], np.int64).reshape(21, -1)
         x = [np.concatenate([features(ratio[c.pair[c.first[a] : c.first[b]]], c.first[a : b + 1] - c.first[a]) for a, b in blocks(c.first)]) for ratio in (models.ratios(c, n, u, m) for m in (1, 0))]
