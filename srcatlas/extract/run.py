@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from srcatlas.extract import base, curly, markdown, metadata, python, ruby, sfc
 from srcatlas.functions.blake3 import short_hashes
@@ -37,37 +39,62 @@ def line_count(source: str) -> int:
     return source.count("\n") + (1 if source and not source.endswith("\n") else 0)
 
 
-def rows(project: str, path: str, content: bytes, hashed: str | None = None) -> Iterator[tuple[str, str]]:
-    """(relation, JSON row) for one file. A file that can't be parsed keeps its file row."""
-    source = content.decode("utf-8", "replace").removeprefix("﻿")
-    language = languages.of(path)
-    title, description = metadata.of(source, language)
-    yield "files", json.dumps({"project": project, "path": path, "lang": language, "hash": hashed or short_hashes([content])[0], "lines": line_count(source), "title": title, "description": description})
+def found_in(source: str, language: str | None) -> base.Extracted:
+    """What `parse` finds; nothing without a language or in a file that can't be parsed, which keeps its file row."""
     try:
-        found = parse(source, language) if language else base.Extracted()
+        return parse(source, language) if language else base.Extracted()
     except (RecursionError, IndexError, ValueError):
-        return
-    for s in found.symbols:
-        yield "symbols", json.dumps({"project": project, "file": path, "name": s.name, "kind": s.kind, "line": [s.start, s.end], "parent": s.parent, "tokens": s.tokens, "alias": s.alias, "visibility": s.visibility})
-    for t in found.texts:
-        yield "texts", json.dumps({"project": project, "file": path, "kind": t.kind, "line": [t.start, t.end], "text": t.text, "parent": t.parent})
-    for r in found.refs:
-        yield "refs", json.dumps({"project": project, "file": path, "name": r.name, "kind": r.kind, "line": [r.start, r.end], "caller": r.caller})
+        return base.Extracted()
+
+
+def arrow(kind: T.DataType) -> pa.DataType:
+    if isinstance(kind, T.StructType):
+        return pa.struct([pa.field(f.name, arrow(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return pa.list_(arrow(kind.elementType))
+    return pa.string() if isinstance(kind, T.StringType) else pa.int32()
+
+
+def structs(columns: dict[str, list], schema: T.StructType) -> pa.StructArray:
+    """One typed array for each field, side by side."""
+    return pa.StructArray.from_arrays([pa.array(columns[f.name], arrow(f.dataType)) for f in schema], fields=list(arrow(schema)))
+
+
+def per_file(found: list[list], columns: dict[str, list], schema: T.StructType) -> pa.ListArray:
+    """The rows of all files as one array, cut by file."""
+    ends = np.cumsum([0, *map(len, found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs(columns, schema))
+
+
+def extracted(projects: list[str], paths: list[str], contents: list[bytes]) -> pa.RecordBatch:
+    """One row per file: its file row and the lists of its symbols, texts and references, as typed arrays."""
+    sources = [c.decode("utf-8", "replace").removeprefix("\ufeff") for c in contents]
+    langs = [languages.of(path) for path in paths]
+    about = [metadata.of(source, lang) for source, lang in zip(sources, langs, strict=True)]
+    files = {"project": projects, "path": paths, "lang": langs, "hash": short_hashes(contents), "lines": [line_count(x) for x in sources], "title": [x for x, _ in about], "description": [x for _, x in about]}
+    found = [found_in(source, lang) for source, lang in zip(sources, langs, strict=True)]
+    arrays = [structs(files, FILES)]
+    for name, schema in (("symbols", SYMBOLS), ("texts", TEXTS), ("refs", REFS)):
+        lists = [getattr(x, name) for x in found]
+        every = [(k, x) for k, own in enumerate(lists) for x in own]
+        columns = {"project": [projects[k] for k, _ in every], "file": [paths[k] for k, _ in every], "line": [[x.start, x.end] for _, x in every]}
+        columns |= {f.name: [getattr(x, f.name) for _, x in every] for f in schema if f.name not in columns}
+        arrays.append(per_file(lists, columns, schema))
+    return pa.RecordBatch.from_arrays(arrays, ["files", "symbols", "texts", "refs"])
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """files (project, path, content binary) to (relation, row), one JSON row each."""
+    """files (project, path, content binary) to one row each: files struct, and arrays of structs symbols, texts, refs."""
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), BATCH):
-                part = batch.iloc[lo : lo + BATCH]
-                contents = [bytes(c or b"") for c in part["content"]]
-                every = zip(part["project"], part["path"], contents, short_hashes(contents), strict=True)
-                made = [x for p, path, c, h in every for x in rows(p or "", path, c, h)]
-                yield pd.DataFrame(made, columns=["relation", "row"])
+            for lo in range(0, batch.num_rows, BATCH):
+                projects, paths, contents = (c.to_pylist() for c in batch.slice(lo, BATCH).columns)
+                yield extracted([p or "" for p in projects], paths, [bytes(c or b"") for c in contents])
 
-    return files.select("project", "path", F.col("content").cast("binary")).mapInPandas(task, "relation string, row string")
+    many = lambda name, schema: T.StructField(name, T.ArrayType(schema))
+    made = T.StructType([T.StructField("files", FILES), many("symbols", SYMBOLS), many("texts", TEXTS), many("refs", REFS)])
+    return files.select("project", "path", F.col("content").cast("binary").alias("content")).mapInArrow(task, made)
 
 
 def hashes(files: DataFrame) -> DataFrame:
@@ -83,11 +110,10 @@ def hashes(files: DataFrame) -> DataFrame:
 
 
 def build(files: DataFrame) -> Index:
-    """The index of a table of files. The extraction is one pass; its result is persisted, as it is read four times."""
+    """The index of a table of files. The extraction is one pass; its result is persisted, as it is read four times, each time one column."""
     return relations(extract(files).persist())
 
 
 def relations(made: DataFrame) -> Index:
     """The index of what `extract` has found."""
-    one = lambda name, schema: made.filter(F.col("relation") == name).select(F.from_json("row", schema).alias("r")).select("r.*")
-    return to_query_form(one("files", FILES), one("symbols", SYMBOLS), one("texts", TEXTS), one("refs", REFS))
+    return to_query_form(made.select("files.*"), *(made.select(F.inline(name)) for name in ("symbols", "texts", "refs")))

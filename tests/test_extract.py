@@ -224,3 +224,15 @@ def test_ruby_endless_methods():
     got = {s.name: (s.start, s.end) for s in run.parse(source, "ruby").symbols}
     assert got == {"A": (1, 11), "A.f": (2, 2), "A.h": (3, 5), "A.q": (6, 6), "A.z=": (7, 9), "A.s": (10, 10), "last": (12, 12)}
     assert refs(source, "ruby") == {("g", "call", "A.f"), ("k", "call", "A.h"), ("r", "call", "A.q"), ("w", "call", "A.z="), ("t", "call", "A.s")}
+
+
+def test_relations_are_typed_columns_of_one_pass(spark):
+    rows = [("p", "a.py", b"class A:\n    \"\"\"Says several words here.\"\"\"\n    def f(self):\n        g(1)\n"), (None, "b.cfg", b"x = 1"), ("p", "c.rb", b""), ("q", "d.go", None), ("q", "e.rs", b"\xef\xbb\xbffn k() { m(); }\n\xff")]
+    made = run.extract(spark.createDataFrame(rows, "project string, path string, content binary"))
+    ix = run.relations(made)
+    assert "from_json" not in ix.symbols._jdf.queryExecution().toString()
+    assert sorted((r.project, r.path, r.lang, r.lines) for r in ix.files.collect()) == [("", "b.cfg", None, 1), ("p", "a.py", "python", 4), ("p", "c.rb", "ruby", 0), ("q", "d.go", "go", 0), ("q", "e.rs", "rust", 2)]
+    assert sorted((r.file, r.name, r.kind, r.line_start, r.line_end, r.parent) for r in ix.symbols.collect()) == [("a.py", "A", "class", 1, 4, None), ("a.py", "A.f", "method", 3, 4, "A"), ("e.rs", "k", "function", 1, 1, None)]
+    assert [(r.file, r.kind, r.text, r.parent) for r in ix.texts.collect()] == [("a.py", "docstring", "Says several words here.", "A")]
+    assert sorted((r.file, r.name, r.caller) for r in ix.refs.collect()) == [("a.py", "g", "A.f"), ("e.rs", "m", "k")]
+    assert run.relations(made.limit(0)).refs.count() == 0
