@@ -25,10 +25,13 @@ ROOT = "."  # stands for the root project, whose name is empty, in folder names
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which the cluster shares; one of our own only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir, which the cluster shares; one of our own only where that is unset and all runs on this machine, as in tests."""
     context = spark.sparkContext
+    own = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not own and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="srcatlas-"))
+        context.setCheckpointDir(own or tempfile.mkdtemp(prefix="srcatlas-"))
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 

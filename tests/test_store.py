@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from srcatlas.extract.run import build
 from srcatlas.sources.store import SnapshotStore
 
@@ -24,3 +26,13 @@ def test_snapshots(spark, tmp_path):
     assert names(store.read(first))[1] == ("p", "two", 1) and store.versions() == [1, 2, 3]
     plan = store.read().symbols.filter("project = 'p'")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(project" in plan or "PartitionFilters: [" in plan
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from srcatlas.sources.store import shared_folder
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context, conf={}))
