@@ -15,9 +15,11 @@ from srcatlas import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; one of our own only where that is unset and all runs on this machine, as in tests."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
         own = tempfile.mkdtemp(prefix="srcatlas-")
         spark.sparkContext.setCheckpointDir(own)
     return own.rstrip("/")
