@@ -61,3 +61,16 @@ def test_of_nothing(spark, tmp_path):
     assert index.find("run").count() == 0
     index.build(spark.createDataFrame([], COLUMNS))
     assert index.find("run").columns == L.REF and index.find("run").count() == 0
+
+
+def test_references_are_stored_once(spark, tmp_path):
+    """However many dots a name has and however many references it; a task's references lie by their names."""
+    refs = spark.range(2000).repartition(2).selectExpr("'p' AS project", "'f' AS file", "concat('a.b.c', id % 10) AS name", "'call' AS kind", "1 AS line_start", "1 AS line_end", "CAST(NULL AS STRING) AS caller")
+    index = SuffixIndex(spark, str(tmp_path))
+    index.build(refs)
+    assert spark.read.parquet(f"{index.path}/refs").count() == 2000 and spark.read.parquet(f"{index.path}/tails").count() == 30
+    for file in (tmp_path / "refs").glob("*.parquet"):
+        names = [r.name for r in spark.read.parquet(str(file)).collect()]
+        assert names == sorted(names)
+    found = index.find("c3")
+    assert found.count() == 200 and "EqualTo(name,a.b.c3)" in found._jdf.queryExecution().toString()
