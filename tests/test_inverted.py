@@ -6,7 +6,9 @@ from collections import defaultdict
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from srcatlas.functions.text import folded, tokens
 from srcatlas.operators import inverted
 
 BITS = 2
@@ -55,3 +57,28 @@ def test_rows_that_hold_a_term():
         for term in {t for c in columns for t in c}:
             want[segment, term, sum(1 << k for k, c in enumerate(columns) if term in c)] += 1
     assert {k: n for k, n in got.items() if n} == want
+
+
+def test_folded_texts_give_the_tokens_of_a_scan(spark):
+    """Letters of all kinds, marks, private use and empty texts, in one batch and in slices of it."""
+    every = "".join(chr(c) + (" " if c % 7 == 0 else "") for c in range(1, 0x3000) if chr(c).isprintable() or c < 0x20)
+    texts = [None, "", "red_bolt", "Éan ǢǾ Ǯx", "áb", "x-\U0001f600y\U00010400", "x" * 50, "...", every, *every.split(" ")]
+    df = spark.createDataFrame([(k, t, "f.py", "") for k, t in enumerate(texts)], "row int, name string, file string, content string").coalesce(1)
+    want = [r.t for r in df.select("row", tokens(F.col("name")).alias("t")).orderBy("row").collect()]
+    batch = df.select("row", *(folded(F.col(c)).alias(f"{c}_t") for c in ("name", "file", "content"))).orderBy("row").toArrow().combine_chunks().to_batches()[0]
+    got = [r for a in range(0, len(texts), 7) for b in inverted.words([batch.slice(a, 7)]) for r in b.to_pylist()]
+    assert [r["name_t"] for r in got] == want
+    assert [r["n_tokens"] for r in got] == [len(t) + 2 for t in want]
+
+
+def test_sizes_of_a_task_and_of_segments():
+    """The rows and tokens of an index come from the pass that makes the lists."""
+    texts = [("red bolt", "f.py", ""), ("", "g", "é"), ("red", "f.py", "a b c")]
+    columns = [pa.array(c) for c in zip(*texts, strict=True)]
+    head = [pa.array(list(range(3)), pa.int64()), pa.array([0] * 3, pa.int32()), pa.array([0] * 3, pa.int32()), pa.array([[]] * 3, pa.list_(pa.string()))]
+    batch = pa.RecordBatch.from_arrays([*head, *columns], ["row", "type", "level", *NAMES[4:]])
+    sizes = [(r["m1"], r["m2"]) for b in inverted.sized(BITS)(iter([batch])) for r in b.to_pylist() if r["term"] == inverted.SIZE]
+    assert sizes == [(3, 12)]
+    batch = pa.RecordBatch.from_arrays([pa.array([4, 2, 4], pa.int32()), head[-1], *columns], ["segment", *NAMES[4:]])
+    sizes = {r["segment"]: (r["m1"], r["m2"]) for b in inverted.sized_counts(iter([batch])) for r in b.to_pylist() if r["term"] == inverted.SIZE}
+    assert sizes == {4: (2, 10), 2: (1, 2)}
