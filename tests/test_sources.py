@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import time
 
+from pyspark.sql import functions as F
+
 from srcatlas.functions import udtf
+from srcatlas.operators import render
 from srcatlas.streaming.source import TreeEvents, _Reader
 
 
@@ -53,3 +56,13 @@ def test_table_functions(spark):
     assert {tuple(r) for r in rows} == {("a.py", "os", "import"), ("a.py", "f", "function"), ("c.md", "T", "section")}
     assert {tuple(r) for r in spark.sql("SELECT r.name, r.caller FROM sources, LATERAL extract_refs(path, content) r").collect()} == {("os", None), ("g", "f")}
     assert [r.text for r in spark.sql("SELECT t.text FROM sources, LATERAL extract_texts(path, content) t").collect()] == ["two words"]
+
+
+def test_the_indent_of_a_snippet_is_found_once(spark):
+    """Not again for each line: lines by lines would be 400 million here."""
+    text = spark.range(1).select(F.repeat(F.lit("    some words\n"), 20_000).alias("text")).persist()
+    text.count()
+    began = time.perf_counter()
+    block = text.select(render.snippet_block(F.col("text")).alias("b")).first().b
+    assert time.perf_counter() - began < 20
+    assert block == f"{render.BAR}some words\n" * 20_000 + f"{render.BAR}\n"
