@@ -17,6 +17,8 @@ the cell that has it, each with 32 other bits of its hash, by which the chunk ta
 own and no other. These sums meet the chunks' words in ranges in the same
 way. A chunk then has all counts that its words need. Cells and ranges grow with the
 tokens, so there are at every size less than 3 candidates in a hundred too many.
+Cells, then ranges, then chunks are worked off in rounds: what a round has sent is
+deleted before the next one, and so is what only that round reads.
 
 A logistic curve over length-normalised log ratios, those of the document, its worst
 passage, its five worst words and the worst one, beside the length, makes a probability
@@ -28,11 +30,12 @@ these rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,12 +49,14 @@ CHUNK, CELL = 16 << 20, 1 << 23
 FLUSH = 4 << 20
 #: Words of a passage; training rows for the curve; the score from which a document counts as toxic.
 PASSAGE, SAMPLE, TOXIC_AT = 24, 20000, 0.3
+#: Rounds in which the cells, the ranges and the chunks are worked off.
+ROUNDS = 4
 #: Label rows up to which they are broadcast; beyond, the join is shuffled.
 LABELS_BROADCAST = 1_000_000
 #: Groups of counts are 2 * fold + class; models are 2 * (0 early, 1 full) + class.
 GROUPS, FEATURES = 4, 5
 WORD_BITS, KEY_BITS = 44, 28
-CHUNKS = "chunk long, tokens long, keys binary, times binary, seq binary, first binary, groups binary, rows binary"
+CHUNKS = "chunk long, tokens long, keys binary, times binary, seq binary, first binary, groups binary, rows binary, share int"
 PAIRS = "cell int, chunk long, words binary, m binary, v binary, n binary, asked binary"
 MERGED = "kind string, chunk long, part int, words binary, value binary, hits binary"
 
@@ -60,6 +65,22 @@ def pair_hash(w: np.ndarray, v: np.ndarray) -> np.ndarray:
     return W.mix(w * np.uint64(0x9E3779B97F4A7C15) + W.mix(v + np.uint64(0x632BE59BD9B4E019)))
 
 
+def part_of(parts: int, k: int) -> tuple[int, int]:
+    """The cells or ranges of a round: from, to."""
+    return -(-parts * k // ROUNDS), -(-parts * (k + 1) // ROUNDS)
+
+
+def share(chunk: int) -> int:
+    """The round in which a chunk gets its answers; a task's chunks are dealt over all of them."""
+    return ((chunk >> 32) + (chunk & 0xFFFFFFFF)) % ROUNDS
+
+
+def shares(parts: int) -> Column:
+    """The round that reads a row of MERGED: that of its chunk, or of its range where it is for no chunk."""
+    chunk = F.pmod(F.shiftright("chunk", 32) + F.col("chunk").bitwiseAND(0xFFFFFFFF), F.lit(ROUNDS))
+    return F.when(F.col("kind").isin("w", "v"), F.floor(F.col("part") * ROUNDS / parts)).otherwise(chunk).cast("int")
+
+
 def ranges(words: np.ndarray, parts: int) -> np.ndarray:
     """The range of each word key; in order of the keys."""
     return ((words >> np.uint64(WORD_BITS - 24)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
@@ -82,7 +103,7 @@ def chunks(carry: list[str]):
             out.write_table(t.select(carry))
         blobs = (ascending(words), packed(times.astype(np.uint32)), packed(rank[seq]), packed(np.diff(first).astype(np.uint32)), packed(t["g"].to_numpy().astype(np.int32)), sink.getvalue().to_pybytes())
         name = TaskContext.get().partitionId() << 32 | k
-        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(h)]), *(pa.array([b], pa.binary()) for b in blobs)], ["chunk", "tokens", "keys", "times", "seq", "first", "groups", "rows"])
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(h)]), *(pa.array([b], pa.binary()) for b in blobs), pa.array([share(name)], pa.int32())], ["chunk", "tokens", "keys", "times", "seq", "first", "groups", "rows", "share"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -106,9 +127,9 @@ def vocabulary_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Chunk:
-    """A chunk's tokens, and its distinct pairs in the order of cells; in a cell those of training rows, by word, before the others, by key."""
+    """A chunk's tokens, and its distinct pairs in the order of cells; in a cell those of training rows, by word, before the others, by key. With `cells` (from, to) only the tokens whose pairs are in these."""
 
-    def __init__(self, row: dict, parts: int) -> None:
+    def __init__(self, row: dict, parts: int, cells: tuple[int, int] | None = None) -> None:
         self.words, times = vocabulary_of(row)
         by_times = np.concatenate([[0], 1 + np.argsort(-times[1:], kind="stable")])
         seq = by_times.astype(np.uint32)[unpacked(row["seq"], np.uint32)]
@@ -122,6 +143,11 @@ class Chunk:
         code <<= np.uint64(32)
         code |= before
         del seq, before
+        if cells:
+            cell = (pair_hash(self.words[code >> np.uint64(32)], self.words[code & np.uint64((1 << 32) - 1)]) >> np.uint64(40)) % np.uint64(parts)
+            inside = (cell >= cells[0]) & (cell < cells[1])
+            code, own = code[inside], own[inside]
+            del cell, inside
         order = np.argsort(code)
         code = code[order]
         new = np.ones(len(code), bool)
@@ -173,10 +199,12 @@ def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             release()
 
 
-def pairs(parts: int):
+def pairs(parts: int, cells: tuple[int, int] | None = None):
+    """The distinct pairs of each chunk by cell; of the cells from, to, or all."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in one_by_one(batches):
-            c = Chunk(row, parts)
+            c = Chunk(row, parts, cells)
             n, rows, size = c.counts(), [], 0
             for cell, a, b in cuts(c.cell):
                 k = a + int(c.learned[a:b].sum())
@@ -193,13 +221,13 @@ def pairs(parts: int):
     return task
 
 
-def asked(parts: int):
-    """The words of each chunk and how often they stand in it, by range."""
+def asked(parts: int, of: tuple[int, int]):
+    """The words of each chunk and how often they stand in it, by range; of the ranges from, to."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in one_by_one(batches):
             words, times = vocabulary_of(row)
-            rows = [("q", row["chunk"], p, ascending(words[a:b]), packed(times[a:b]), None) for p, a, b in cuts(ranges(words, parts))]
+            rows = [("q", row["chunk"], p, ascending(words[a:b]), packed(times[a:b]), None) for p, a, b in cuts(ranges(words, parts)) if of[0] <= p < of[1]]
             yield from batch_of(rows, MERGED).to_batches()
 
     return task
@@ -408,14 +436,18 @@ def measure(models: Models, parts: int, names: list[str]):
     return task
 
 
-def total(rows: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+def total(tables: list[DataFrame], shape: tuple[int, int]) -> np.ndarray:
     """The sum of the 'c' rows, one from each cell or range."""
     out = np.zeros(shape, np.int64)
-    for r in rows.filter("kind = 'c'").select("value").toLocalIterator():
+    for r in of_kinds(tables, "c").select("value").toLocalIterator():
         out += unpacked(bytes(r.value), np.int64).reshape(shape)
     return out
 
 
+def of_kinds(tables: list[DataFrame], *kinds: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, (t.filter(F.col("kind").isin(*kinds)) for t in tables))
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = TOXIC_AT, sample: int = SAMPLE, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, held_out boolean, score double (0 to 1), predicted int, and the columns in `carry`.
 
@@ -438,18 +470,29 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     names = ["id", "g", "pick", *(f"c{k}" for k in range(len(carry)))]
     source = joined.select("text", "id", group.alias("g"), F.xxhash64("id", "text").alias("pick"), *names[3:])
 
-    cut = bucketed(source.mapInArrow(chunks(names), CHUNKS), "toxicity_chunks", "chunk")
+    cut = bucketed(source.mapInArrow(chunks(names), CHUNKS), "toxicity_chunks", "chunk", by="share")
     parts = 16 + (cut.agg(F.sum("tokens")).first()[0] or 0) // CELL
-    bare = cut.drop("rows")
-    of_pairs = materialize(bare.mapInArrow(pairs(parts), PAIRS).groupBy("cell").applyInArrow(add_pairs(parts), MERGED), "toxicity-pairs", by="kind")
-    words = bare.mapInArrow(asked(parts), MERGED).unionByName(of_pairs.filter(F.col("kind").isin("w", "v")))
-    of_words = materialize(words.groupBy("part").applyInArrow(add_words, MERGED), "toxicity-words")
+    bare = cut.drop("rows", "share")
+    of_pairs, of_words, found = [], [], []
+    for k in range(ROUNDS):
+        merged = bare.mapInArrow(pairs(parts, part_of(parts, k)), PAIRS).groupBy("cell").applyInArrow(add_pairs(parts), MERGED)
+        of_pairs.append(materialize(merged.withColumn("share", shares(parts)), "toxicity-pairs", by=["kind", "share"]))
+    for k in range(ROUNDS):
+        words = bare.mapInArrow(asked(parts, part_of(parts, k)), MERGED).unionByName(of_kinds(of_pairs, "w", "v").filter(F.col("share") == k).drop("share"))
+        of_words.append(materialize(words.groupBy("part").applyInArrow(add_words, MERGED).withColumn("share", shares(parts)), "toxicity-words", by=["kind", "share"]))
+        for t in of_pairs:
+            drop_part(t, f"kind=w/share={k}", f"kind=v/share={k}")
     models = Models(total(of_pairs, (4, 6)), total(of_words, (5, 6)))
-    drop_part(of_pairs, "kind=w", "kind=v")
-    answers = of_pairs.filter("kind = 'a'").unionByName(of_words.filter("kind = 'u'"))
+    answers = of_kinds(of_pairs + of_words, "a", "u")
     schema = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("early", T.ArrayType(T.DoubleType())), *(source.schema[c] for c in names)])
-    found = materialize(cut.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(measure(models, parts, names), schema), "toxicity")
-    discard(cut, of_pairs, of_words)
+    for k in range(ROUNDS):
+        own, told = (t.filter(F.col("share") == k).drop("share").groupBy("chunk") for t in (cut, answers))
+        found.append(materialize(own.cogroup(told).applyInArrow(measure(models, parts, names), schema), "toxicity"))
+        drop_part(cut, f"share={k}")
+        for t in of_pairs + of_words:
+            drop_part(t, f"kind=a/share={k}", f"kind=u/share={k}")
+    found = reduce(DataFrame.unionByName, found)
+    discard(cut, *of_pairs, *of_words)
 
     rows = found.filter("g >= 2").select("early", (F.col("g") - 2).alias("toxic"), "pick").orderBy("pick", "toxic", "early").limit(sample).collect()
     x, y = np.array([r.early for r in rows]).reshape(-1, FEATURES), np.array([r.toxic for r in rows], float)

@@ -2,6 +2,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -216,3 +217,43 @@ def test_scores_equal_those_counted_by_hand(spark):
     want = by_hand(docs)
     out = toxicity.score(spark.createDataFrame([(i, t, "x") for i, t, _ in docs], SCHEMA), spark.createDataFrame([(i, y, 0) for i, _, y in docs], LABELS)).collect()
     assert len(out) == len(docs) and all(abs(r.score - want[r.doc_id]) < 1e-4 for r in out)
+
+
+def test_rounds_leave_little_on_disk(spark, monkeypatch):
+    """No write of answers holds most of them, and chunks and answers go as they are used."""
+    size = lambda path: sum(f.stat().st_size for f in Path(path.removeprefix("file:")).rglob("*.parquet"))
+    folders, written, left = [], {}, []
+
+    def watched(make):
+        def run(df, name, *args, **kw):
+            if name == "toxicity":
+                left.append(sum(map(size, folders)))
+            out = make(df, name, *args, **kw)
+            if name != "toxicity":
+                folders.append(out._scratch)
+            written.setdefault(name, []).append(size(out._scratch))
+            return out
+
+        return run
+
+    monkeypatch.setattr(toxicity, "materialize", watched(toxicity.materialize))
+    monkeypatch.setattr(toxicity, "bucketed", watched(toxicity.bucketed))
+    docs = corpus(400)
+    df = spark.createDataFrame([(i, t, "x") for i, t, _ in docs], SCHEMA).repartition(8)
+    assert toxicity.score(df, spark.createDataFrame([(i, y, 0) for i, _, y in docs], LABELS)).count() == len(docs)
+    for name in ("toxicity-pairs", "toxicity-words", "toxicity"):
+        assert max(written[name]) < 0.5 * sum(written[name]), name
+    assert left[-1] < 0.5 * left[0] and not sum(map(size, folders))
+
+
+def test_rounds_send_every_pair_once():
+    rng = np.random.default_rng(6)
+    words = np.unique(rng.integers(1, 2**44, 500).astype(np.uint64))
+    seq = np.concatenate([np.arange(len(words)), rng.integers(0, len(words), 4000)])
+    times = np.bincount(seq)
+    rank = np.empty(len(words), np.uint32)
+    rank[np.argsort(-times, kind="stable")] = np.arange(1, len(words) + 1)
+    row = {"chunk": 1, "keys": toxicity.ascending(words), "times": toxicity.packed(times.astype(np.uint32)), "seq": toxicity.packed(rank[seq]), "first": toxicity.packed(np.array([len(seq) - 100, 0, 100], np.uint32)), "groups": toxicity.packed(np.array([2, -1, -1], np.int32)), "rows": b""}
+    sent = lambda parts, *cells: [r for b in toxicity.pairs(parts, *cells)(iter([pa.RecordBatch.from_pylist([row])])) for r in b.to_pylist()]
+    for parts in (2, 7, 16):  # with 2 cells some rounds have none
+        assert [r for k in range(toxicity.ROUNDS) for r in sent(parts, toxicity.part_of(parts, k))] == sent(parts)
