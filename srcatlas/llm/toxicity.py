@@ -144,10 +144,13 @@ class Chunk:
         code |= before
         del seq, before
         if cells:
-            cell = (pair_hash(self.words[code >> np.uint64(32)], self.words[code & np.uint64((1 << 32) - 1)]) >> np.uint64(40)) % np.uint64(parts)
-            inside = (cell >= cells[0]) & (cell < cells[1])
+            inside = np.empty(len(code), bool)
+            for k in range(0, len(code), 1 << 18):  # few at a time: memory
+                x = code[k : k + (1 << 18)]
+                cell = (pair_hash(self.words[x >> np.uint64(32)], self.words[x & np.uint64((1 << 32) - 1)]) >> np.uint64(40)) % np.uint64(parts)
+                inside[k : k + len(x)] = (cell >= cells[0]) & (cell < cells[1])
             code, own = code[inside], own[inside]
-            del cell, inside
+            del inside
         order = np.argsort(code)
         code = code[order]
         new = np.ones(len(code), bool)
